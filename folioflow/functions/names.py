@@ -23,8 +23,8 @@ def is_pdf(name: Column) -> Column:
 
 
 def base_name(name: Column) -> Column:
-    """The name without its last extension; a leading dot starts no extension."""
-    return F.regexp_replace(name, r"(?<=[^./])\.[^./]*$", "")
+    """The name without its last extension; leading dots start no extension."""
+    return F.regexp_replace(name, r"(?s)^((?:.*/)?\.*[^./][^/]*)\.[^./]*$", "$1")
 
 
 def merged_name(name: Column) -> Column:
