@@ -1,0 +1,16 @@
+"""Broadcast only what has been counted."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def broadcast_if_small(keys: DataFrame, max_rows: int) -> DataFrame:
+    """Mark a narrow key table for broadcast if it is counted to hold at most `max_rows`.
+
+    The count stops after `max_rows` + 1 rows. A larger table is returned as it is, so the
+    join is shuffled. Meant for sides of a few fixed-width columns that are cheap to find.
+    """
+    few = keys.limit(max_rows + 1).count() <= max_rows
+    return F.broadcast(keys) if few else keys
