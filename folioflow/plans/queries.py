@@ -545,9 +545,8 @@ def _streamed(v: Views, rows: DataFrame, files: int = 4) -> tuple[DataFrame, str
     return sinks.file_stream(v.spark, f"{folder}/source", rows.schema, 1), folder
 
 
-def _landed_parts(v: Views) -> tuple[DataFrame, str]:
-    chunks = v.chunks()
-    stream, folder = _streamed(v, chunks)
+def _landed_parts(v: Views, chunks: DataFrame, files: int = 4) -> tuple[DataFrame, str]:
+    stream, folder = _streamed(v, chunks, files)
     uploads.start_parts(
         stream, f"{folder}/parts", f"{folder}/parts_log", available_now=True
     ).awaitTermination()
@@ -556,7 +555,7 @@ def _landed_parts(v: Views) -> tuple[DataFrame, str]:
 
 @query
 def stream_assemble(v: Views) -> DataFrame:
-    parts, folder = _landed_parts(v)
+    parts, folder = _landed_parts(v, v.chunks())
     uploads.start_completions(
         parts, f"{folder}/complete", f"{folder}/complete_log", available_now=True
     ).awaitTermination()
@@ -639,14 +638,10 @@ def expired_uploads(v: Views) -> DataFrame:
 
 @query
 def stream_expire(v: Views) -> DataFrame:
-    # One micro-batch: the files are in no order of time, so none may be late for another.
-    chunks = daily_chunks(v)
-    folder = storage.shared_folder(v.spark)
-    storage.written(chunks, f"{folder}/source")
-    stream = sinks.file_stream(v.spark, f"{folder}/source", chunks.schema)
+    # One source file: files come in no order of time, so none may be late for another.
+    parts, folder = _landed_parts(v, daily_chunks(v), files=1)
     uploads.start_expiry(
-        uploads.distinct_chunks(stream), f"{folder}/expired", f"{folder}/expired_log",
-        available_now=True,
+        parts, f"{folder}/expired", f"{folder}/expired_log", available_now=True
     ).awaitTermination()
     return storage.read_table(v.spark, f"{folder}/expired").select(
         "upload_id", "n_chunks", "total_chunks"

@@ -25,6 +25,7 @@ def local_session(cores: int = 8, name: str = "folioflow") -> SparkSession:
         **SETTINGS,
         "spark.sql.shuffle.partitions": str(cores),
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "8g",
     }
     for key, value in settings.items():

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 # Fixed value: how often status is looked up.
 POLL_INTERVAL = "10 seconds"
@@ -68,8 +68,9 @@ def read_updates(
     spark: SparkSession, path: str, schema: StructType, keys: Sequence[str]
 ) -> DataFrame:
     """Last version of each key's row written by `updates_to`."""
-    versions = spark.read.schema(schema.add("batch_id", "bigint")).parquet(path)
-    columns = [c for c in versions.columns if c != "batch_id"]
+    columns = schema.names
+    stored = StructType([*schema.fields, StructField("batch_id", LongType())])
+    versions = spark.read.schema(stored).parquet(path)
     latest = versions.groupBy(*keys).agg(
         F.max_by(F.struct(*columns), F.col("batch_id")).alias("_row")
     )

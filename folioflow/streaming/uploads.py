@@ -28,7 +28,7 @@ def distinct_chunks(chunks: DataFrame, ttl: str = UPLOAD_TTL) -> DataFrame:
 
 
 def upload_counts(parts: DataFrame, ttl: str = UPLOAD_TTL) -> DataFrame:
-    """Chunks received per upload, from a stream of distinct chunks.
+    """Chunks received per upload, from the stream of the table that `start_parts` writes.
 
     Grouping by the start time lets the state be dropped when the watermark passes it. In
     update mode a row is `complete` in exactly one micro-batch; in append mode each upload
