@@ -82,15 +82,16 @@ def ascii_fold(text: Column) -> Column:
     passed through after one pattern test.
     """
     source, target, longer = _ascii_forms()
-    longer_class = "[" + "".join(longer) + "]"
     longer_map = F.create_map(*[F.lit(part) for pair in longer.items() for part in pair])
     single = F.translate(text, source, target)
+    # Removing them is one hash lookup per character; a class of so many is not.
+    has_longer = F.translate(single, "".join(longer), "") != single
     expanded = F.array_join(
         F.transform(F.split(single, ""), lambda c: F.coalesce(longer_map[c], c)), ""
     )
     return (
         F.when(~text.rlike(r"[^\x00-\x7F]"), text)
-        .when(text.rlike(longer_class), expanded)
+        .when(has_longer, expanded)
         .otherwise(single)
     )
 

@@ -11,10 +11,17 @@ BATCH_PAGES = 10
 SECTION_PAGES = 1000
 
 
-def page_array(text: Column, separator: str = "\n") -> Column:
-    """Pages of a document's text; null or empty text has no pages."""
-    return F.when(F.length(text) > 0, F.split(text, separator)).otherwise(
-        F.array().cast("array<string>")
+def _pattern(separator: str) -> str:
+    return separator if separator.isspace() else rf"\Q{separator}\E"
+
+
+def _with_pages(documents: DataFrame, separator: str) -> DataFrame:
+    """(doc_id, _all): the pages of each document that has any.
+
+    Null or empty text has no pages. The test is on the text, so that it is split once only.
+    """
+    return documents.where(F.length("text") > 0).select(
+        "doc_id", F.split("text", _pattern(separator)).alias("_all")
     )
 
 
@@ -28,8 +35,8 @@ def _runs(pages: Column, length: int) -> Column:
 
 def pages_long(documents: DataFrame, separator: str = "\n") -> DataFrame:
     """One row per page: doc_id, page_no from 1, text."""
-    return documents.select(
-        "doc_id", F.posexplode(page_array(F.col("text"), separator)).alias("_pos", "text")
+    return _with_pages(documents, separator).select(
+        "doc_id", F.posexplode("_all").alias("_pos", "text")
     ).select("doc_id", (F.col("_pos") + 1).alias("page_no"), "text")
 
 
@@ -37,8 +44,7 @@ def burst(
     documents: DataFrame, batch_pages: int = BATCH_PAGES, separator: str = "\n"
 ) -> DataFrame:
     """Split each document into batches: 1-based inclusive ranges, the last one short."""
-    pages = documents.select("doc_id", page_array(F.col("text"), separator).alias("_all"))
-    batches = pages.where(F.size("_all") > 0).select(
+    batches = _with_pages(documents, separator).select(
         "doc_id", F.posexplode(_runs(F.col("_all"), batch_pages)).alias("batch_no", "pages")
     )
     start = F.col("batch_no") * batch_pages + 1
@@ -99,8 +105,7 @@ def sections(
     """
     if section_pages % batch_pages:
         raise ValueError("section_pages must be a multiple of batch_pages")
-    pages = documents.select("doc_id", page_array(F.col("text"), separator).alias("_all"))
-    cut = pages.where(F.size("_all") > 0).select(
+    cut = _with_pages(documents, separator).select(
         "doc_id", F.posexplode(_runs(F.col("_all"), section_pages)).alias("section_no", "_pages")
     )
     return cut.select(
@@ -112,7 +117,12 @@ def sections(
 
 
 def source_page_counts(documents: DataFrame, separator: str = "\n") -> DataFrame:
-    """(doc_id, n_pages) of the documents as they came in; documents without pages count 0."""
+    """(doc_id, n_pages) of the documents as they came in; documents without pages count 0.
+
+    Separators are counted, no page is built.
+    """
+    marks = F.octet_length("text") - F.octet_length(F.replace("text", F.lit(separator), F.lit("")))
+    pages = F.floor(marks / len(separator.encode())).cast("int") + 1
     return documents.select(
-        "doc_id", F.size(page_array(F.col("text"), separator)).alias("n_pages")
+        "doc_id", F.when(F.length("text") > 0, pages).otherwise(0).alias("n_pages")
     )

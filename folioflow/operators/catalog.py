@@ -112,9 +112,9 @@ def projects_with_files(
 
 
 def project_json(listing: DataFrame) -> DataFrame:
-    """The rows of `projects_with_files` as JSON text, nulls written out."""
+    """Add `body`: the row of `projects_with_files` as JSON text, nulls written out."""
     body = F.to_json(F.struct("name", "client_name", "files"), {"ignoreNullFields": "false"})
-    return listing.select("project_id", "part_no", body.alias("body"))
+    return listing.withColumn("body", body)
 
 
 def catalog(clients: DataFrame, projects: DataFrame, files: DataFrame) -> DataFrame:

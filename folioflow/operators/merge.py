@@ -31,19 +31,23 @@ def gather(batches: DataFrame, section_pages: int = SECTION_PAGES) -> DataFrame:
     return merged.withColumn("n_pages", F.size("pages"))
 
 
-def merged_pages(merged: DataFrame, block: int = BLOCK) -> DataFrame:
+def merged_pages(merged: DataFrame, complete: bool = False, block: int = BLOCK) -> DataFrame:
     """Long form of merged sections: doc_id, page_no from 1 in the merged document, text.
 
-    Pages are renumbered without gaps, also where failed batches were left out.
+    Pages are renumbered without gaps where failed batches were left out. With `complete`
+    (no page is missing, as under `fallback`) the numbers follow from `start_page`, and
+    nothing is joined or shuffled.
     """
-    sizes = running_total(
-        merged.select("doc_id", "section_no", "n_pages"),
-        ["doc_id"], "section_no", F.col("n_pages").cast("bigint"), "_offset", block,
-    ).drop("n_pages")
-    return (
-        merged.join(sizes, ["doc_id", "section_no"])
-        .select("doc_id", "_offset", F.posexplode("pages").alias("_pos", "text"))
-        .select("doc_id", (F.col("_offset") + F.col("_pos") + 1).alias("page_no"), "text")
+    if complete:
+        placed = merged.withColumn("_offset", F.col("start_page").cast("bigint") - 1)
+    else:
+        sizes = running_total(
+            merged.select("doc_id", "section_no", "n_pages"),
+            ["doc_id"], "section_no", F.col("n_pages").cast("bigint"), "_offset", block,
+        ).drop("n_pages")
+        placed = merged.join(sizes, ["doc_id", "section_no"])
+    return placed.select("doc_id", "_offset", F.posexplode("pages").alias("_pos", "text")).select(
+        "doc_id", (F.col("_offset") + F.col("_pos") + 1).alias("page_no"), "text"
     )
 
 

@@ -179,6 +179,10 @@ _QUERIES = {
     "write_merged": f"""
         SELECT doc_id, CAST(page_no AS BIGINT) AS page_no, md5(text) AS text_md5
         FROM ({_RUN_PAGES})""",
+    "merged_pages": f"""
+        SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY page_no) AS page_no,
+               md5(text) AS text_md5
+        FROM ({_RUN_PAGES}) WHERE NOT bad""",
     "resolve_outputs": """
         SELECT id, 'order_' || id || '_OCRed_with_bookmarks.pdf' AS output_name,
                replace(file_path, '.pdf', '_OCRed_with_bookmarks.pdf') AS path,
@@ -261,7 +265,7 @@ _QUERIES = {
               FROM files) f
         JOIN projects p ON f.project_id = p.id JOIN clients c ON p.client_id = c.id
         GROUP BY p.id, part, p.name, c.name""",
-    "catalog_rows": f"SELECT {_CATALOG} FROM catalog",
+    "catalog": f"SELECT {_CATALOG} FROM catalog",
     "orphan_check": """
         SELECT f.id, f.project_id + 3 AS project_id, p.id IS NOT NULL AS accepted,
                CASE WHEN p.id IS NULL THEN 'Project not found' END AS reject_reason

@@ -30,7 +30,8 @@ DELETED_CLIENT = "ASIA"
 
 
 def query(build: Callable[[Views], DataFrame]) -> Callable[[Views], DataFrame]:
-    QUERIES[build.__name__] = lambda spark, folder: build(Views(spark, folder))
+    name = build.__name__.removesuffix("_")
+    QUERIES[name] = lambda spark, folder: build(Views(spark, folder))
     return build
 
 
@@ -95,13 +96,24 @@ def upsert_projects(v: Views) -> DataFrame:
     return ingest.upsert_projects(v.projects(), after, v.requests())
 
 
+@query
+def merged_pages(v: Views) -> DataFrame:
+    """Pages that are left when failed batches are skipped, numbered without gaps."""
+    folder = storage.shared_folder(v.spark)
+    sections = storage.written(
+        merged_sections(v.documents(), sample_page_function, "skip", section_pages=50),
+        f"{folder}/sections",
+    )
+    return merge.merged_pages(sections).select("doc_id", "page_no", F.md5("text").alias("text_md5"))
+
+
 @query
 def write_merged(v: Views) -> DataFrame:
     folder = storage.shared_folder(v.spark)
     sections = storage.written(
         merged_sections(v.documents(), sample_page_function, vectorised=True), f"{folder}/sections"
     )
-    storage.write_merged(merge.merged_pages(sections), f"{folder}/pages")
+    storage.write_merged(merge.merged_pages(sections, complete=True), f"{folder}/pages")
     pages = storage.read_table(v.spark, f"{folder}/pages")
     return pages.select("doc_id", "page_no", F.md5("text").alias("text_md5"))
 
@@ -238,20 +250,15 @@ def project_client(v: Views) -> DataFrame:
 def projects_with_files(v: Views) -> DataFrame:
     listing = catalog.projects_with_files(v.projects(), v.clients(), v.files(), part_files=100)
     files = F.col("files")
-    return catalog.project_json(listing).join(
-        listing.select(
-            "project_id", "part_no", "name", "client_name", F.size(files).alias("n_files"),
-            F.array_min("files.id").alias("first_id"), F.array_max("files.id").alias("last_id"),
-        ),
-        ["project_id", "part_no"],
-    ).select(
-        "project_id", "part_no", "name", "client_name", "n_files", "first_id", "last_id",
+    return catalog.project_json(listing).select(
+        "project_id", "part_no", "name", "client_name", F.size(files).alias("n_files"),
+        F.array_min("files.id").alias("first_id"), F.array_max("files.id").alias("last_id"),
         F.md5("body").alias("body_md5"),
     )
 
 
 @query
-def catalog_rows(v: Views) -> DataFrame:
+def catalog_(v: Views) -> DataFrame:
     return shown_files(catalog.catalog(v.clients(), v.projects(), v.files()))
 
 

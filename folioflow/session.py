@@ -5,14 +5,12 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 # AQE is on by default in Spark; it is named here because hot keys in joins rely on it.
-# State stays on local disk with a RocksDB store instead of in executor memory, and rows with
-# many pages reach Python in small blocks.
+# State stays on local disk with a RocksDB store instead of in executor memory.
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.session.timeZone": "UTC",
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "256",
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
