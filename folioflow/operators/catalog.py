@@ -34,7 +34,7 @@ def in_filter(rows: DataFrame, column: str, wanted: Sequence | DataFrame) -> Dat
     """Rows whose column is in a short list, or in the one column of another table."""
     if isinstance(wanted, DataFrame):
         keys = wanted.select(F.col(wanted.columns[0]).alias(column))
-        return rows.join(keys, column, "left_semi")
+        return rows.join(keys, column, "left_semi").select(*rows.columns)
     return rows.where(F.col(column).isin(list(wanted)))
 
 

@@ -39,7 +39,7 @@ def delete_projects(projects: DataFrame, files: DataFrame, ids: DataFrame) -> De
         )
     )
     return Deletion(
-        projects.join(wanted, "id", "left_anti"),
+        projects.join(wanted, "id", "left_anti").select(*projects.columns),
         files.join(owned, "project_id", "left_anti").select(*files.columns),
         counts,
     )

@@ -178,7 +178,7 @@ def apply_policy(results: DataFrame, on_error: str = "fallback") -> DataFrame:
     if on_error == "skip":
         return good
     failed = results.where(F.col("status") == rules.FAILED).select("doc_id").distinct()
-    return good.join(failed, "doc_id", "left_anti")
+    return good.join(failed, "doc_id", "left_anti").select(*results.columns)
 
 
 def merge_sections(results: DataFrame, on_error: str = "fallback") -> DataFrame:
