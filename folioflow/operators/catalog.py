@@ -103,12 +103,15 @@ def projects_with_files(
     named = project_client(projects, clients).select(
         F.col("id").alias("project_id"), "name", "client_name", "user_id"
     )
-    return named.join(parts, "project_id", "left").withColumns(
+    # An outer join could not be split at a project with very many parts; an inner one can.
+    idle = named.join(files.select("project_id").distinct(), "project_id", "left_anti")
+    empty = idle.withColumns(
         {
-            "part_no": F.coalesce("part_no", F.lit(0)),
-            "files": F.coalesce("files", F.array().cast(parts.schema["files"].dataType)),
+            "part_no": F.lit(0),
+            "files": F.array().cast(parts.schema["files"].dataType),
         }
     )
+    return parts.join(named, "project_id").select(*empty.columns).unionByName(empty)
 
 
 def project_json(listing: DataFrame) -> DataFrame:

@@ -18,6 +18,9 @@ from folioflow.functions import rules
 PageFunction = Callable[[pa.Array], object]
 
 _RESULT = "array<struct<pages:array<string>,error:string>>"
+_ARROW_RESULT = pa.list_(
+    pa.struct([("pages", pa.list_(pa.string())), ("error", pa.string())])
+)
 INVALID_OPTION = "Invalid OCR option provided."
 
 
@@ -34,50 +37,71 @@ def _call(function: PageFunction, pages: pa.Array) -> pa.Array:
         result = pa.array(result, pa.string(), from_pandas=True)
     if len(result) != len(pages):
         raise ValueError(f"page function returned {len(result)} pages for {len(pages)}")
-    return result.cast(pa.string())
+    return result if result.type == pa.string() else result.cast(pa.string())
 
 
-def _batch_udf(function: PageFunction, vectorised: bool):
-    """Arrow function over rows of batches: one {pages, error} per batch."""
+def _one_batch(function: PageFunction, pages: pa.Array, by_page: bool) -> list[pa.Array]:
+    if not by_page:
+        return [_call(function, pages)]
+    return [_call(function, pages.slice(i, 1)) for i in range(len(pages))]
+
+
+def _run(function: PageFunction, texts: pa.Array, ends: np.ndarray, by_page: np.ndarray,
+         vectorised: bool):
+    """Page texts of all batches that went well, and the error of each that did not.
+
+    Vectorised, a stretch of batches is one call; a stretch that fails is halved until the
+    failing batches stand alone.
+    """
+    errors: list[str | None] = [None] * len(ends)
+    parts: list[pa.Array] = []
+    stretches = [(0, len(ends))] if vectorised else [(i, i + 1) for i in range(len(ends))]
+    stretches.reverse()
+    while stretches:
+        low, high = stretches.pop()
+        start = ends[low - 1] if low else 0
+        pages = texts.slice(start, ends[high - 1] - start)
+        try:
+            if high - low > 1:
+                parts.append(_call(function, pages))
+            else:
+                parts += _one_batch(function, pages, bool(by_page[low]) and not vectorised)
+        except Exception as problem:
+            if high - low > 1:
+                middle = (low + high) // 2
+                stretches += [(middle, high), (low, middle)]
+            else:
+                errors[low] = str(problem) or type(problem).__name__
+    done = pa.concat_arrays(parts) if parts else pa.array([], pa.string())
+    return done, errors
+
+
+def recognise_block(
+    function: PageFunction, vectorised: bool, rows: pa.Array, by_page: pa.Array
+) -> pa.Array:
+    """One Arrow block: rows of batches of page texts to one {pages, error} per batch."""
+    batches = rows.flatten()
+    if not len(batches):
+        return pa.array([[]] * len(rows), _ARROW_RESULT)
+    per_row = pc.list_value_length(rows).to_numpy(zero_copy_only=False)
+    sizes = pc.list_value_length(batches).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(sizes, dtype=np.int64)
+    single = np.repeat(by_page.to_numpy(zero_copy_only=False), per_row)
+    done, errors = _run(function, batches.flatten(), ends, single, vectorised)
+    failed = np.array([error is not None for error in errors])
+    offsets = np.concatenate([[0], np.cumsum(np.where(failed, 0, sizes))]).astype(np.int32)
+    pages = pa.ListArray.from_arrays(pa.array(offsets), done, mask=pa.array(failed))
+    results = pa.StructArray.from_arrays(
+        [pages, pa.array(errors, pa.string())], ["pages", "error"]
+    )
+    row_ends = np.concatenate([[0], np.cumsum(per_row)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(row_ends), results)
 
+
+def _batch_udf(function: PageFunction, vectorised: bool):
     @arrow_udf(_RESULT)
-    def recognise_rows(rows: pa.Array, per_page: pa.Array) -> pa.Array:
-        per_row = pc.list_value_length(rows).to_numpy(zero_copy_only=False)
-        batches = rows.flatten()
-        sizes = pc.list_value_length(batches).to_numpy(zero_copy_only=False)
-        texts = batches.flatten()
-        ends = np.cumsum(sizes, dtype=np.int64)
-        single = np.repeat(per_page.to_numpy(zero_copy_only=False), per_row)
-        errors: list[str | None] = [None] * len(sizes)
-        done = None
-        if vectorised and len(texts):
-            try:
-                done = _call(function, texts)
-            except Exception:  # one bad batch must not fail the others: go one by one
-                done = None
-        if done is None:
-            parts = []
-            for i, (size, end) in enumerate(zip(sizes, ends)):
-                step = 1 if single[i] else size
-                try:
-                    parts.append(
-                        [_call(function, texts.slice(at, step))
-                         for at in range(end - size, end, max(step, 1))]
-                    )
-                except Exception as problem:
-                    errors[i] = str(problem) or type(problem).__name__
-                    parts.append([])
-            flat = [piece for part in parts for piece in part]
-            done = pa.concat_arrays(flat) if flat else pa.array([], pa.string())
-            sizes = np.array([sum(map(len, part)) for part in parts], dtype=np.int64)
-        offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-        failed = np.array([e is not None for e in errors], dtype=bool)
-        pages = pa.ListArray.from_arrays(pa.array(offsets), done, mask=pa.array(failed))
-        results = pa.StructArray.from_arrays(
-            [pages, pa.array(errors, pa.string())], ["pages", "error"]
-        )
-        row_ends = np.concatenate([[0], np.cumsum(per_row)]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(row_ends), results)
+    def recognise_rows(rows: pa.Array, by_page: pa.Array) -> pa.Array:
+        return recognise_block(function, vectorised, rows, by_page)
 
     return recognise_rows
 
@@ -113,8 +137,9 @@ def recognise_batches(
     An exception becomes a row with status `Failed`, the error text and null pages; the
     batch's own pages stay in `source_pages` for the failure policy. `option` names a
     column holding `basic` (one call per batch, the default) or `advanced` (one call per
-    page). With `vectorised` the function first gets all pages of an Arrow block at once
-    and only a block that fails is redone call by call.
+    page). With `vectorised`, for cheap functions that treat each page on its own, one call
+    takes the pages of many batches whatever the option; stretches that fail are halved
+    until the failing batches are found.
 
     `spread` repartitions by (doc_id, batch_no) into that many partitions first. It costs a
     shuffle of the pages and pays when the function is slow and documents are long; a fixed

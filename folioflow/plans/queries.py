@@ -535,7 +535,7 @@ def failure_policy(v: Views) -> DataFrame:
 @query
 def document_run(v: Views) -> DataFrame:
     """Flagship: split, recognise and merge whole documents without a shuffle."""
-    merged = merged_sections(v.documents(), sample_page_function, "fallback")
+    merged = merged_sections(v.documents(), sample_page_function, "fallback", vectorised=True)
     return merged.select(
         "doc_id", "section_no", "start_page", "n_pages", "n_failed",
         digest(F.col("pages")).alias("text_md5"),

@@ -92,6 +92,35 @@ def expected_results(option="basic"):
     return found
 
 
+def test_failing_batches_are_found_in_few_calls():
+    calls = []
+
+    def function(pages):
+        calls.append(len(pages))
+        if "bad" in pages.to_pylist():
+            raise ValueError("bad page")
+        return pages
+
+    rows_in = [[["x"] * 3 for _ in range(20)] for _ in range(10)] + [[]]
+    rows_in[4][7] = ["x", "bad"]
+    block = pa.array(rows_in, pa.list_(pa.list_(pa.string())))
+    by_page = pa.array([False] * len(rows_in))
+    stepwise = recognise.recognise_block(function, False, block, by_page)
+    assert len(calls) == 200
+    calls.clear()
+    halved = recognise.recognise_block(function, True, block, by_page)
+    assert len(calls) <= 2 * 8 + 1
+    assert halved.equals(stepwise)
+    out = halved.to_pylist()
+    assert out[4][7] == {"pages": None, "error": "bad page"} and out[10] == []
+    assert sum(r["error"] is not None for row in out for r in row) == 1
+    empty = recognise.recognise_block(function, True, block.slice(10), by_page.slice(10))
+    assert empty.to_pylist() == [[]]
+    # A slice of a larger array keeps its own rows.
+    part = recognise.recognise_block(function, True, block.slice(4, 2), by_page.slice(4, 2))
+    assert part.to_pylist() == out[4:6]
+
+
 @pytest.mark.parametrize("vectorised", [False, True])
 @pytest.mark.parametrize("spread", [None, 3])
 @pytest.mark.parametrize("option", ["basic", "advanced"])
