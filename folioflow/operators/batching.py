@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioflow.operators.ordering import explode_range
+
 # Fixed value: pages handed to one call of the page function.
 BATCH_PAGES = 10
 # Pages kept together in one row of a merged document.
@@ -84,9 +86,10 @@ def burst_pages(pages: DataFrame, batch_pages: int = BATCH_PAGES) -> DataFrame:
 
 def batch_ranges(page_counts: DataFrame, batch_pages: int = BATCH_PAGES) -> DataFrame:
     """Page ranges of the batches from (doc_id, n_pages) alone, without the pages."""
-    last = F.floor((F.col("n_pages") - 1) / batch_pages).cast("int")
-    batches = page_counts.where(F.col("n_pages") > 0).select(
-        "doc_id", "n_pages", F.explode(F.sequence(F.lit(0), last)).alias("batch_no")
+    last = F.floor((F.col("n_pages") - 1) / batch_pages)
+    counted = page_counts.where(F.col("n_pages") > 0).select("doc_id", "n_pages")
+    batches = explode_range(counted, F.lit(0), last, "batch_no").withColumn(
+        "batch_no", F.col("batch_no").cast("int")
     )
     start = F.col("batch_no") * batch_pages + 1
     end = F.least(start + batch_pages - 1, F.col("n_pages"))

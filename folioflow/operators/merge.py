@@ -89,9 +89,12 @@ def page_offsets(inputs: DataFrame, counts: DataFrame, block: int = BLOCK) -> Da
 
 
 def concat_pages(pages: DataFrame, offsets: DataFrame) -> DataFrame:
-    """Pages of all inputs, numbered through their target: target, page_no, doc_id, text."""
+    """Pages of all inputs, numbered through their target: target, page_no, doc_id, text.
+
+    Always a shuffled join: pages made from documents are larger than Spark expects.
+    """
     starts = offsets.where(~F.col("missing")).select("doc_id", "target", "page_offset")
-    return pages.join(starts, "doc_id").select(
+    return pages.join(starts.hint("merge"), "doc_id").select(
         "target",
         (F.col("page_offset") + F.col("page_no")).alias("page_no"),
         "doc_id",

@@ -55,3 +55,19 @@ def rank_from_zero(
 ) -> DataFrame:
     """Add `name`: 0, 1, 2, ... by `position` within the group, with no gaps."""
     return running_total(rows, group, position, F.lit(1).cast("bigint"), name, block)
+
+
+def explode_range(rows: DataFrame, first: Column, last: Column, name: str) -> DataFrame:
+    """One row per whole number from `first` to `last`; none where last < first.
+
+    Done in two steps, so that a very long range is never held as one array.
+    """
+    step = F.lit(BLOCK)
+    begun = rows.withColumns({"_first": first.cast("bigint"), "_last": last.cast("bigint")}).where(
+        F.col("_last") >= F.col("_first")
+    )
+    stretches = begun.withColumn("_from", F.explode(F.sequence("_first", "_last", step)))
+    to = F.least(F.col("_from") + BLOCK - 1, F.col("_last"))
+    return stretches.withColumn(name, F.explode(F.sequence(F.col("_from"), to))).drop(
+        "_first", "_last", "_from"
+    )

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.operators.batching import BATCH_PAGES
+from folioflow.operators.ordering import explode_range
 
 # A heading element: its level and its inner HTML.
 _HEADING = r"(?is)<h([1-6])\b[^>]*>(.*?)</h\1\s*>"
@@ -41,18 +42,18 @@ def outline_range(
     `ranges` has doc_id, start_page, end_page (1-based, inclusive) and any label columns.
     Both sides meet on (doc_id, page div width): a range is listed once for each stretch of
     `width` pages it touches, so an entry meets only ranges near it, never all ranges of a
-    long document. Set `width` to the usual range length.
+    long document. Set `width` to the usual range length. The join is always shuffled:
+    Spark takes the size of the listed ranges from before they are listed.
     """
     first = F.floor((F.col("start_page") - 1) / width)
     last = F.floor((F.col("end_page") - 1) / width)
-    spread = ranges.where(F.col("end_page") >= F.col("start_page")).withColumn(
-        "_stretch", F.explode(F.sequence(first, last))
-    )
+    whole = ranges.where(F.col("end_page") >= F.col("start_page"))
+    spread = explode_range(whole, first, last, "_stretch")
     entries = outline.withColumn("_stretch", F.floor(F.col("page") / width))
     zero_based_start = F.col("start_page") - 1
     inside = (F.col("page") >= zero_based_start) & (F.col("page") < F.col("end_page"))
     return (
-        entries.join(spread, ["doc_id", "_stretch"])
+        entries.join(spread.hint("merge"), ["doc_id", "_stretch"])
         .where(inside)
         .withColumn("page", (F.col("page") - zero_based_start + 1))
         .drop("_stretch")

@@ -210,7 +210,7 @@ def output_names(v: Views) -> DataFrame:
     ranges = batching.batch_ranges(counts)
     uploaded = v.uploads().select(F.col("pos").alias("doc_id"), "file_name")
     name = F.col("file_name")
-    return ranges.join(uploaded, "doc_id").select(
+    return ranges.join(uploaded.hint("merge"), "doc_id").select(
         "doc_id",
         "batch_no",
         names.batch_name(name, F.col("start_page"), F.col("end_page")).alias("batch_file"),
