@@ -103,7 +103,8 @@ def _batch_udf(function: PageFunction, vectorised: bool):
     def recognise_rows(rows: pa.Array, by_page: pa.Array) -> pa.Array:
         return recognise_block(function, vectorised, rows, by_page)
 
-    return recognise_rows
+    # Otherwise a filter on the outcome is moved below and calls the function once more.
+    return recognise_rows.asNondeterministic()
 
 
 def _results(rows: DataFrame, batches, function: PageFunction, option, vectorised: bool):

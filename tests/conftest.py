@@ -16,7 +16,7 @@ from folioflow.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session(8, "folioflow-tests")
+    session = local_session(4, "folioflow-tests")
     yield session
     session.stop()
 

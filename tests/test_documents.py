@@ -193,6 +193,14 @@ def test_document_run_has_no_shuffle(documents):
     assert "Exchange" not in plan and plan.count("ArrowEvalPython") == 1
 
 
+def test_a_filter_on_the_outcome_does_not_call_the_function_again(documents):
+    results = recognise.recognise_batches(batching.burst(documents), flaky)
+    for policy in ("fallback", "skip"):
+        kept = merge.gather(recognise.apply_policy(results, policy))
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("ArrowEvalPython") == 1
+
+
 def test_status_rollup(spark):
     data = [(1, "Processed"), (1, "Failed"), (2, "Processed"), (2, "Processed"), (3, "Processed"),
             (3, "Processing")]

@@ -32,6 +32,8 @@ def test_query_equals_sql(spark, duck, name):
     assert sorted(columns) == sorted(frame.columns)
     assert rows_of(frame.columns, [tuple(r) for r in frame.collect()]) == rows_of(
         columns, found.fetchall())
+    text = plan(frame)
+    assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
 
 
 def test_only_the_file_listing_has_no_twin():
@@ -66,10 +68,3 @@ def test_narrow_queries_do_not_shuffle(spark, name):
     text = plan(QUERIES[name](spark, FOLDER))
     joins = text.count("BroadcastExchange")
     assert text.count("Exchange") == joins
-
-
-def test_no_query_uses_a_cross_join(spark):
-    for name, query in QUERIES.items():
-        if not name.startswith(("stream_", "status_windows")):
-            text = plan(query(spark, FOLDER))
-            assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text, name
