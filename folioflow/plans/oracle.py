@@ -312,11 +312,34 @@ _QUERIES = {
                CAST(sum(octet_length(encode(body))) AS BIGINT) AS file_size
         FROM chunks {_COMPLETE} GROUP BY ALL""",
     "gather_batches": _SECTION.format(size=50),
+    "gather_lines": """
+        SELECT l_orderkey AS doc_id, CAST(0 AS INTEGER) AS section_no,
+               CAST(count(*) AS INTEGER) AS n_pages,
+               md5(string_agg(line, chr(10) ORDER BY l_linenumber, line)) AS text_md5
+        FROM (SELECT l_orderkey, l_linenumber, l_partkey || '|' || l_suppkey || '|'
+                || l_returnflag || '|' || l_linestatus AS line FROM lineitem)
+        GROUP BY l_orderkey""",
     "page_counts": """
         SELECT doc_id, counts.n_pages AS pages_before, coalesce(kept.n_pages, 0) AS pages_after,
                counts.n_pages - coalesce(kept.n_pages, 0) AS pages_lost
         FROM counts LEFT JOIN kept USING (doc_id)""",
     "status_latest": _STATUS,
+    "apply_status": f"""
+        SELECT id, file_name, coalesce(l.status, f.status) AS status,
+               CASE WHEN l.status IN ('Processed', 'Failed')
+                    THEN {_TIME.format('updated_at')} END AS completed_at
+        FROM files f LEFT JOIN latest l ON id = file_id""",
+    "start_runs": """
+        SELECT file_id, option, known AND option <> 'fast' AS accepted,
+               CASE WHEN NOT known THEN 'File not found'
+                    WHEN option = 'fast' THEN 'Invalid OCR option provided.' END AS reject_reason,
+               CASE WHEN known AND option <> 'fast' THEN 'Processing' END AS status,
+               CASE WHEN known AND option <> 'fast' THEN '2024-01-01 00:00:00.000000' END AS ts
+        FROM (SELECT c_custkey * 20 AS file_id,
+                     CASE c_mktsegment WHEN 'BUILDING' THEN 'advanced' WHEN 'MACHINERY' THEN 'fast'
+                          ELSE 'basic' END AS option,
+                     c_custkey * 20 IN (SELECT id FROM files) AS known
+              FROM customer)""",
     "status_rollup": """
         SELECT doc_id, count(*) AS n_batches, count(*) FILTER (bad) AS n_failed,
                CASE WHEN bool_or(bad) THEN 'Failed' ELSE 'Processed' END AS status

@@ -357,6 +357,20 @@ def gather_batches(v: Views) -> DataFrame:
     )
 
 
+@query
+def gather_lines(v: Views) -> DataFrame:
+    """The lines of every order, put in line order like the batches of a document."""
+    text = F.concat_ws("|", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus")
+    lines = v.table("lineitem").select(
+        F.col("l_orderkey").alias("doc_id"),
+        F.col("l_linenumber").alias("start_page"),
+        F.array(text).alias("pages"),
+    )
+    return merge.gather(lines).select(
+        "doc_id", "section_no", "n_pages", digest(F.col("pages")).alias("text_md5")
+    )
+
+
 @query
 def page_counts(v: Views) -> DataFrame:
     kept = recognise.apply_policy(v.batch_results(), "skip")
@@ -374,6 +388,28 @@ def status_latest(v: Views) -> DataFrame:
     )
 
 
+@query
+def apply_status(v: Views) -> DataFrame:
+    updated = status.apply_status(v.files(), status.status_latest(v.status_events()))
+    return updated.select(
+        "id", "file_name", "status", text_time(F.col("completed_at")).alias("completed_at")
+    )
+
+
+@query
+def start_runs(v: Views) -> DataFrame:
+    # Every customer asks for one file; the later keys have none.
+    requests = v.table("customer").select(
+        (F.col("c_custkey") * 20).alias("file_id"), F.col("c_mktsegment").alias("_segment")
+    ).select(
+        "file_id", F.when(F.col("_segment") == "BUILDING", "Advanced")
+        .when(F.col("_segment") == "MACHINERY", "fast").alias("option"),
+    )
+    now = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    marked = status.start_runs(requests, v.files(), now)
+    return marked.withColumn("ts", text_time(F.col("ts")))
+
+
 @query
 def status_rollup(v: Views) -> DataFrame:
     return recognise.status_rollup(v.batch_results())

@@ -186,3 +186,24 @@ def test_outputs_resolve_for_upper_case_names(spark):
     assert rows(got.select("id", "state")) == [(1, "found"), (2, "missing")]
     name = files.select(names.outlined_name(F.col("file_name")).alias("n")).first().n
     assert got.where("id = 1").first().output_name == name
+
+
+def test_status_reaches_the_files(spark):
+    files = spark.createDataFrame([(1, "Not processed"), (2, "Processing"), (3, "Processed")],
+                                  "id long, status string")
+    at = spark.sql("select timestamp'2024-01-01 00:00:00' t").first().t
+    latest = spark.createDataFrame([(1, "Failed", at), (2, "Processing", None), (9, "Failed", at)],
+                                   "file_id long, status string, completed_at timestamp")
+    got = status.apply_status(files, latest)
+    assert got.columns == ["id", "status", "completed_at"]
+    assert rows(got) == [(1, "Failed", at), (2, "Processing", None), (3, "Processed", None)]
+
+
+def test_runs_start_for_known_files_with_a_valid_option(spark):
+    files = spark.createDataFrame([(1,), (2,)], "id long")
+    requests = spark.createDataFrame([(1, None), (2, "FAST"), (3, "basic")], "file_id long, option string")
+    now = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    got = rows(status.start_runs(requests, files, now).drop("ts"))
+    assert got == [(1, "basic", True, None, "Processing"),
+                   (2, "fast", False, "Invalid OCR option provided.", None),
+                   (3, "basic", False, "File not found", None)]
