@@ -123,6 +123,30 @@ def sections(
     )
 
 
+def sections_of_pages(
+    pages: DataFrame, section_pages: int = SECTION_PAGES, batch_pages: int = BATCH_PAGES
+) -> DataFrame:
+    """The same sections from a table that already has one row per page, without gaps.
+
+    One shuffle on (doc_id, section_no), whose groups are bounded; it is the only one of a
+    document run over such a table, however long a document is.
+    """
+    if section_pages % batch_pages:
+        raise ValueError("section_pages must be a multiple of batch_pages")
+    section_no = F.floor((F.col("page_no") - 1) / section_pages).cast("int")
+    grouped = (
+        pages.withColumn("section_no", section_no)
+        .groupBy("doc_id", "section_no")
+        .agg(F.sort_array(F.collect_list(F.struct("page_no", "text"))).alias("_pages"))
+    )
+    return grouped.select(
+        "doc_id",
+        "section_no",
+        F.col("_pages")[0]["page_no"].alias("start_page"),
+        _runs(F.col("_pages.text"), batch_pages).alias("batches"),
+    )
+
+
 def source_page_counts(documents: DataFrame, separator: str = "\n") -> DataFrame:
     """(doc_id, n_pages) of the documents as they came in; documents without pages count 0.
 

@@ -24,11 +24,13 @@ def merged_sections(
 
     Sections carry their batches as arrays through the page function, so the fan-in of a
     section is a local array merge. `spread` adds one repartition for slow page functions.
+    A table of pages (doc_id, page_no, text) is taken as well, with one shuffle.
     """
-    cut = batching.sections(documents, section_pages)
-    done = recognise.recognise_sections(
-        cut, function, spread=spread, vectorised=vectorised
-    )
+    if "page_no" in documents.columns:
+        cut = batching.sections_of_pages(documents, section_pages)
+    else:
+        cut = batching.sections(documents, section_pages)
+    done = recognise.recognise_sections(cut, function, spread=spread, vectorised=vectorised)
     return recognise.merge_sections(done, on_error)
 
 

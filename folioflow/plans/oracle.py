@@ -150,6 +150,14 @@ _RUN_PAGES = """
     FROM pages_long p JOIN batches b
       ON p.doc_id = b.doc_id AND p.page_no BETWEEN b.start_page AND b.end_page"""
 
+_RUN = f"""
+    SELECT doc_id, CAST((page_no - 1) // 1000 AS INTEGER) AS section_no,
+           CAST(min(page_no) AS INTEGER) AS start_page, CAST(count(*) AS INTEGER) AS n_pages,
+           CAST(count(DISTINCT CASE WHEN bad THEN (page_no - 1) // 10 END) AS INTEGER)
+             AS n_failed,
+           md5(string_agg(text, chr(10) ORDER BY page_no)) AS text_md5
+    FROM ({_RUN_PAGES}) GROUP BY ALL"""
+
 _STATUS = f"""
     SELECT file_id, status, {_time('updated_at')},
            CASE WHEN status IN ('Processed', 'Failed')
@@ -397,13 +405,8 @@ _QUERIES = {
         UNION ALL SELECT 'skip', doc_id, n_pages FROM kept
         UNION ALL SELECT 'abort', doc_id, n_pages FROM counts
           WHERE doc_id NOT IN (SELECT doc_id FROM batches WHERE bad)""",
-    "document_run": f"""
-        SELECT doc_id, CAST((page_no - 1) // 1000 AS INTEGER) AS section_no,
-               CAST(min(page_no) AS INTEGER) AS start_page, CAST(count(*) AS INTEGER) AS n_pages,
-               CAST(count(DISTINCT CASE WHEN bad THEN (page_no - 1) // 10 END) AS INTEGER)
-                 AS n_failed,
-               md5(string_agg(text, chr(10) ORDER BY page_no)) AS text_md5
-        FROM ({_RUN_PAGES}) GROUP BY ALL""",
+    "document_run": _RUN,
+    "document_run_pages": _RUN,
     "stream_assemble": _SEGMENTS.format(size=16, where=_COMPLETE),
     "stream_status": _STATUS,
     "stream_gather": """

@@ -568,16 +568,29 @@ def failure_policy(v: Views) -> DataFrame:
     return outcomes[0].unionByName(outcomes[1]).unionByName(outcomes[2])
 
 
-@query
-def document_run(v: Views) -> DataFrame:
-    """Flagship: split, recognise and merge whole documents without a shuffle."""
-    merged = merged_sections(v.documents(), sample_page_function, "fallback", vectorised=True)
+def run_rows(merged: DataFrame) -> DataFrame:
     return merged.select(
         "doc_id", "section_no", "start_page", "n_pages", "n_failed",
         digest(F.col("pages")).alias("text_md5"),
     )
 
 
+@query
+def document_run(v: Views) -> DataFrame:
+    """Flagship: split, recognise and merge whole documents without a shuffle."""
+    return run_rows(
+        merged_sections(v.documents(), sample_page_function, "fallback", vectorised=True)
+    )
+
+
+@query
+def document_run_pages(v: Views) -> DataFrame:
+    """The same from a table of pages, with one shuffle."""
+    return run_rows(
+        merged_sections(v.pages_long(), sample_page_function, "fallback", vectorised=True)
+    )
+
+
 # Streams: each run is driven to its end and compares with its batch twin
 
 
@@ -593,7 +606,7 @@ def _landed_parts(v: Views, chunks: DataFrame, files: int = 4) -> tuple[DataFram
     uploads.start_parts(
         stream, f"{folder}/parts", f"{folder}/parts_log", available_now=True
     ).awaitTermination()
-    return sinks.file_stream(v.spark, f"{folder}/parts", chunks.schema), folder
+    return sinks.file_stream(v.spark, f"{folder}/parts", uploads.parts_schema(chunks)), folder
 
 
 @query
@@ -603,7 +616,8 @@ def stream_assemble(v: Views) -> DataFrame:
         parts, f"{folder}/complete", f"{folder}/complete_log", available_now=True
     ).awaitTermination()
     landed = storage.read_table(v.spark, f"{folder}/parts")
-    return segment_rows(uploads.assembled(v.spark, landed, f"{folder}/complete"))
+    complete = storage.read_table(v.spark, f"{folder}/complete")
+    return segment_rows(uploads.assembled(landed, complete))
 
 
 @query

@@ -30,11 +30,13 @@ def _trigger(available_now: bool) -> dict[str, object]:
 
 
 def append_to(
-    stream: DataFrame, path: str, checkpoint: str, available_now: bool = False
+    stream: DataFrame, path: str, checkpoint: str, available_now: bool = False,
+    partition_by: Sequence[str] = (),
 ) -> StreamingQuery:
     """Append each row exactly once to Parquet files below `path`."""
     return (
-        stream.writeStream.format("parquet")
+        stream.writeStream.partitionBy(*partition_by)
+        .format("parquet")
         .outputMode("append")
         .option("path", path)
         .option("checkpointLocation", checkpoint)

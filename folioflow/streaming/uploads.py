@@ -6,9 +6,10 @@ upload began, which is the same for all its chunks. An upload has 24 hours from
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import DateType, StructField, StructType
 
 from folioflow.operators.ingest import SEGMENT_CHUNKS, assemble_segments
 from folioflow.streaming import sinks
@@ -27,6 +28,11 @@ def distinct_chunks(chunks: DataFrame, ttl: str = UPLOAD_TTL) -> DataFrame:
     )
 
 
+def parts_schema(chunks: DataFrame) -> StructType:
+    """Schema of the table that `start_parts` writes."""
+    return StructType([*chunks.schema.fields, StructField("day", DateType())])
+
+
 def upload_counts(parts: DataFrame, ttl: str = UPLOAD_TTL) -> DataFrame:
     """Chunks received per upload, from the stream of the table that `start_parts` writes.
 
@@ -46,8 +52,13 @@ def upload_counts(parts: DataFrame, ttl: str = UPLOAD_TTL) -> DataFrame:
 def start_parts(
     chunks: DataFrame, parts_path: str, checkpoint: str, available_now: bool = False
 ) -> StreamingQuery:
-    """Land distinct chunks in a table; bodies pass through and are not kept in state."""
-    return sinks.append_to(distinct_chunks(chunks), parts_path, checkpoint, available_now)
+    """Land distinct chunks in a table; bodies pass through and are not kept in state.
+
+    The table is partitioned by the day the upload began, so that readers of finished
+    uploads skip the other days, and days out of use can be dropped.
+    """
+    landed = distinct_chunks(chunks).withColumn("day", F.to_date("started_at"))
+    return sinks.append_to(landed, parts_path, checkpoint, available_now, ["day"])
 
 
 def start_completions(
@@ -67,11 +78,14 @@ def start_expiry(
 
 
 def assembled(
-    spark: SparkSession, parts: DataFrame, completions_path: str,
-    segment_chunks: int = SEGMENT_CHUNKS,
+    parts: DataFrame, complete: DataFrame, segment_chunks: int = SEGMENT_CHUNKS
 ) -> DataFrame:
-    """Segments of the uploads that are complete so far, read from the streams' tables."""
-    done = spark.read.parquet(completions_path).select("upload_id")
+    """Segments of the given complete uploads, read from the streams' tables.
+
+    `complete` may be all of `start_completions` or the folder of one micro-batch; only the
+    days it names are read.
+    """
+    done = complete.select("upload_id", F.to_date("started_at").alias("day"))
     return assemble_segments(
-        parts.join(done, "upload_id", "left_semi"), segment_chunks=segment_chunks
+        parts.join(done, ["day", "upload_id"], "left_semi"), segment_chunks=segment_chunks
     )

@@ -186,6 +186,9 @@ def test_sections_equal_batches(documents, policy, spread):
     results = recognise.recognise_batches(batching.burst(documents), flaky)
     stepwise = merge.merged_pages(merge.gather(recognise.apply_policy(results, policy), 20))
     assert rows(fused) == rows(stepwise)
+    from_pages = merge.merged_pages(merged_sections(
+        batching.pages_long(documents), flaky, policy, section_pages=20, spread=spread))
+    assert rows(from_pages) == rows(stepwise)
 
 
 def test_document_run_has_no_shuffle(documents):

@@ -49,10 +49,10 @@ def feed(spark, tmp_path):
 def run_uploads(spark, feed, folder):
     """Drive both upload streams over whatever has arrived, from their checkpoints."""
     uploads.start_parts(feed.stream(), f"{folder}/parts", f"{folder}/log1", True).awaitTermination()
-    parts = sinks.file_stream(spark, f"{folder}/parts", feed.frame_schema())
+    parts = sinks.file_stream(spark, f"{folder}/parts", uploads.parts_schema(feed.batch()))
     uploads.start_completions(parts, f"{folder}/done", f"{folder}/log2", True).awaitTermination()
     landed = spark.read.parquet(f"{folder}/parts")
-    segments = uploads.assembled(spark, landed, f"{folder}/done", segment_chunks=4)
+    segments = uploads.assembled(landed, spark.read.parquet(f"{folder}/done"), segment_chunks=4)
     whole = {}
     for r in sorted(segments.collect()):
         whole[r.upload_id] = whole.get(r.upload_id, "") + r.body
@@ -78,7 +78,7 @@ def test_chunks_in_any_order_with_restart(spark, feed, tmp_path):
     assert len(run_uploads(spark, feed, tmp_path)) == 12
     batch = ingest.assemble_chunks(feed.batch(), segment_chunks=4)
     landed = spark.read.parquet(f"{tmp_path}/parts")
-    streamed = uploads.assembled(spark, landed, f"{tmp_path}/done", segment_chunks=4)
+    streamed = uploads.assembled(landed, done, segment_chunks=4)
     assert batch.exceptAll(streamed).count() == streamed.exceptAll(batch).count() == 0
 
 
@@ -90,7 +90,8 @@ def test_incomplete_uploads_expire_and_late_chunks_are_dropped(spark, feed, tmp_
 
     def run():
         uploads.start_parts(feed.stream(), f"{tmp_path}/parts", f"{tmp_path}/l1", True).awaitTermination()
-        parts = sinks.file_stream(spark, f"{tmp_path}/parts", feed.frame_schema(), 1)
+        parts = sinks.file_stream(
+            spark, f"{tmp_path}/parts", uploads.parts_schema(feed.batch()), 1)
         uploads.start_expiry(parts, f"{tmp_path}/gone", f"{tmp_path}/l2", True).awaitTermination()
         return rows(spark.read.parquet(f"{tmp_path}/gone").select("upload_id", "n_chunks", "total_chunks"))
 
