@@ -83,9 +83,11 @@ def assembled(
     """Segments of the given complete uploads, read from the streams' tables.
 
     `complete` may be all of `start_completions` or the folder of one micro-batch; only the
-    days it names are read.
+    days it spans are read.
     """
     done = complete.select("upload_id", F.to_date("started_at").alias("day"))
+    first, last = done.select(F.min("day")).scalar(), done.select(F.max("day")).scalar()
+    near = parts.where(F.col("day").between(first, last))
     return assemble_segments(
-        parts.join(done, ["day", "upload_id"], "left_semi"), segment_chunks=segment_chunks
+        near.join(done, ["day", "upload_id"], "left_semi"), segment_chunks=segment_chunks
     )
