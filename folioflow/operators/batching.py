@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,13 +19,13 @@ def _pattern(separator: str) -> str:
     return separator if separator.isspace() else rf"\Q{separator}\E"
 
 
-def _with_pages(documents: DataFrame, separator: str) -> DataFrame:
-    """(doc_id, _all): the pages of each document that has any.
+def _with_pages(documents: DataFrame, separator: str, carry: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, carried columns, _all): the pages of each document that has any.
 
     Null or empty text has no pages. The test is on the text, so that it is split once only.
     """
     return documents.where(F.length("text") > 0).select(
-        "doc_id", F.split("text", _pattern(separator)).alias("_all")
+        "doc_id", *carry, F.split("text", _pattern(separator)).alias("_all")
     )
 
 
@@ -47,11 +49,19 @@ def pages_long(documents: DataFrame, separator: str = "\n") -> DataFrame:
 
 
 def burst(
-    documents: DataFrame, batch_pages: int = BATCH_PAGES, separator: str = "\n"
+    documents: DataFrame,
+    batch_pages: int = BATCH_PAGES,
+    separator: str = "\n",
+    carry: Sequence[str] = (),
 ) -> DataFrame:
-    """Split each document into batches: 1-based inclusive ranges, the last one short."""
-    batches = _with_pages(documents, separator).select(
-        "doc_id", F.posexplode(_runs(F.col("_all"), batch_pages)).alias("batch_no", "pages")
+    """Split each document into batches: 1-based inclusive ranges, the last one short.
+
+    Columns named in `carry`, such as the run option, are kept on every batch.
+    """
+    batches = _with_pages(documents, separator, carry).select(
+        "doc_id",
+        *carry,
+        F.posexplode(_runs(F.col("_all"), batch_pages)).alias("batch_no", "pages"),
     )
     start = F.col("batch_no") * batch_pages + 1
     return batches.select(
@@ -60,6 +70,7 @@ def burst(
         start.alias("start_page"),
         (start + F.size("pages") - 1).alias("end_page"),
         "pages",
+        *carry,
     )
 
 
@@ -103,6 +114,7 @@ def sections(
     section_pages: int = SECTION_PAGES,
     batch_pages: int = BATCH_PAGES,
     separator: str = "\n",
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """Split each document into sections, each holding its batches as arrays.
 
@@ -112,19 +124,25 @@ def sections(
     """
     if section_pages % batch_pages:
         raise ValueError("section_pages must be a multiple of batch_pages")
-    cut = _with_pages(documents, separator).select(
-        "doc_id", F.posexplode(_runs(F.col("_all"), section_pages)).alias("section_no", "_pages")
+    cut = _with_pages(documents, separator, carry).select(
+        "doc_id",
+        *carry,
+        F.posexplode(_runs(F.col("_all"), section_pages)).alias("section_no", "_pages"),
     )
     return cut.select(
         "doc_id",
         "section_no",
         (F.col("section_no") * section_pages + 1).alias("start_page"),
         _runs(F.col("_pages"), batch_pages).alias("batches"),
+        *carry,
     )
 
 
 def sections_of_pages(
-    pages: DataFrame, section_pages: int = SECTION_PAGES, batch_pages: int = BATCH_PAGES
+    pages: DataFrame,
+    section_pages: int = SECTION_PAGES,
+    batch_pages: int = BATCH_PAGES,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """The same sections from a table that already has one row per page, without gaps.
 
@@ -137,21 +155,27 @@ def sections_of_pages(
     grouped = (
         pages.withColumn("section_no", section_no)
         .groupBy("doc_id", "section_no")
-        .agg(F.sort_array(F.collect_list(F.struct("page_no", "text"))).alias("_pages"))
+        .agg(
+            F.sort_array(F.collect_list(F.struct("page_no", "text"))).alias("_pages"),
+            *[F.max(name).alias(name) for name in carry],
+        )
     )
     return grouped.select(
         "doc_id",
         "section_no",
         F.col("_pages")[0]["page_no"].alias("start_page"),
         _runs(F.col("_pages.text"), batch_pages).alias("batches"),
+        *carry,
     )
 
 
 def source_page_counts(documents: DataFrame, separator: str = "\n") -> DataFrame:
     """(doc_id, n_pages) of the documents as they came in; documents without pages count 0.
 
-    Separators are counted, no page is built.
+    Separators are counted, no page is built. The rows of a page table are counted.
     """
+    if "page_no" in documents.columns:
+        return documents.groupBy("doc_id").agg(F.count(F.lit(1)).cast("int").alias("n_pages"))
     marks = F.octet_length("text") - F.octet_length(F.replace("text", F.lit(separator), F.lit("")))
     pages = F.floor(marks / len(separator.encode())).cast("int") + 1
     return documents.select(

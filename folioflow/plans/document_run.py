@@ -11,6 +11,8 @@ from folioflow.functions import rules
 from folioflow.operators import batching, merge, outline, recognise
 from folioflow.sources.storage import written
 
+NO_PAGES = "Document has no pages"
+
 
 def merged_sections(
     documents: DataFrame,
@@ -19,18 +21,21 @@ def merged_sections(
     section_pages: int = batching.SECTION_PAGES,
     spread: int | None = None,
     vectorised: bool = False,
+    option: str | None = None,
 ) -> DataFrame:
     """Documents (doc_id, text) to merged sections without any shuffle.
 
     Sections carry their batches as arrays through the page function, so the fan-in of a
     section is a local array merge. `spread` adds one repartition for slow page functions.
-    A table of pages (doc_id, page_no, text) is taken as well, with one shuffle.
+    A table of pages (doc_id, page_no, text) is taken as well, with one shuffle. `option`
+    names the column with each document's run option.
     """
+    carry = [option] if option else []
     if "page_no" in documents.columns:
-        cut = batching.sections_of_pages(documents, section_pages)
+        cut = batching.sections_of_pages(documents, section_pages, carry=carry)
     else:
-        cut = batching.sections(documents, section_pages)
-    done = recognise.recognise_sections(cut, function, spread=spread, vectorised=vectorised)
+        cut = batching.sections(documents, section_pages, carry=carry)
+    done = recognise.recognise_sections(cut, function, option, spread, vectorised)
     return recognise.merge_sections(done, on_error)
 
 
@@ -51,6 +56,7 @@ def run_documents(
     folder: str,
     on_error: str = "fallback",
     spread: int | None = None,
+    option: str | None = None,
 ) -> Run:
     """The whole run, written below `folder`; status is set after the merge.
 
@@ -58,27 +64,29 @@ def run_documents(
     the status and the page counts are taken without the pages being read again.
     """
     merged = written(
-        merged_sections(documents, function, on_error, spread=spread), f"{folder}/sections"
+        merged_sections(documents, function, on_error, spread=spread, option=option),
+        f"{folder}/sections",
     )
     if on_error == "abort":
         kept = merged.join(recognise.failed_documents(merged), "doc_id", "left_anti")
     else:
         kept = merged
-    totals = merged.groupBy("doc_id").agg(
-        F.sum("n_failed").alias("n_failed"), F.sum("n_pages").alias("n_pages")
-    )
-    status = written(
-        totals.select(
-            "doc_id",
-            F.when(F.col("n_failed") > 0, rules.FAILED).otherwise(rules.PROCESSED).alias("status"),
-            "n_failed",
-        ),
-        f"{folder}/status",
-    )
-    counts = merge.compare_page_counts(
-        batching.source_page_counts(documents), merge.page_counts(kept)
+    source = batching.source_page_counts(documents)
+    lengths = merge.page_counts(kept)
+    failed = merged.groupBy("doc_id").agg(F.sum("n_failed").alias("n_failed"))
+    outcome = source.join(failed, "doc_id", "left")
+    processed = F.coalesce(F.col("n_failed") == 0, F.lit(False))
+    status = outcome.select(
+        "doc_id",
+        F.when(processed, rules.PROCESSED).otherwise(rules.FAILED).alias("status"),
+        "n_failed",
+        F.when(F.col("n_pages") == 0, NO_PAGES).alias("error"),
     )
-    attached = written(
-        outline.reattach_outline(outlines, merge.page_counts(kept)), f"{folder}/outline"
+    counts = merge.compare_page_counts(source, lengths)
+    attached = outline.reattach_outline(outlines, lengths)
+    return Run(
+        kept,
+        written(attached, f"{folder}/outline"),
+        written(status, f"{folder}/status"),
+        written(counts, f"{folder}/page_counts"),
     )
-    return Run(kept, attached, status, written(counts, f"{folder}/page_counts"))

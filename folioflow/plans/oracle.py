@@ -407,6 +407,14 @@ _QUERIES = {
           WHERE doc_id NOT IN (SELECT doc_id FROM batches WHERE bad)""",
     "document_run": _RUN,
     "document_run_pages": _RUN,
+    "document_run_options": _RUN.replace(
+        _RUN_PAGES,
+        """
+    SELECT r.doc_id, page_no, bad OR lang = 'es' AS bad,
+           CASE WHEN lang = 'es' THEN p.text ELSE r.text END AS text
+    FROM (""" + _RUN_PAGES + """) r
+    JOIN pages_long p USING (doc_id, page_no) JOIN documents d ON r.doc_id = d.doc_id""",
+    ),
     "stream_assemble": _SEGMENTS.format(size=16, where=_COMPLETE),
     "stream_status": _STATUS,
     "stream_gather": """

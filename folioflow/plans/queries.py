@@ -591,6 +591,14 @@ def document_run_pages(v: Views) -> DataFrame:
     )
 
 
+@query
+def document_run_options(v: Views) -> DataFrame:
+    """The run with each document's own option; invalid ones fail every batch."""
+    return run_rows(
+        merged_sections(v.documents_with_option(), sample_page_function, option="option")
+    )
+
+
 # Streams: each run is driven to its end and compares with its batch twin
 
 

@@ -90,6 +90,14 @@ class Views:
     def documents(self) -> DataFrame:
         return self.table("documents").select("doc_id", "text")
 
+    def documents_with_option(self) -> DataFrame:
+        """Documents with the run option by language; Spanish ones ask for an unknown one."""
+        lang = F.col("lang")
+        option = F.when(lang == "en", "Basic").when(lang == "de", "ADVANCED").when(
+            lang == "es", "fast"
+        )
+        return self.table("documents").select("doc_id", "text", option.alias("option"))
+
     def uploads(self) -> DataFrame:
         key = F.col("doc_id")
         suffix = F.when(key % 7 == 0, ".PDF").when(key % 11 == 0, ".txt").otherwise(".pdf")

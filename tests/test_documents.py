@@ -154,6 +154,18 @@ def test_invalid_option_and_wrong_length(documents):
     assert (marked.accepted, marked.reject_reason) == (False, recognise.INVALID_OPTION)
 
 
+def test_options_travel_with_the_document(documents):
+    chosen = documents.withColumn(
+        "option", F.when(F.col("doc_id") < 10, "basic").when(F.col("doc_id") < 20, "fast"))
+    pages = batching.pages_long(documents).join(chosen.select("doc_id", "option"), "doc_id")
+    for given_ in (chosen, pages):
+        done = merged_sections(given_, lambda p: p, section_pages=20, option="option")
+        failed = done.groupBy("doc_id").agg(F.sum("n_failed").alias("n")).collect()
+        assert {r.doc_id: r.n for r in failed} == {
+            n: (n + 9) // 10 if 10 <= n < 20 else 0 for n in EDGE_SIZES}
+    assert batching.burst(chosen, carry=["option"]).columns[-1] == "option"
+
+
 def test_pandas_functions_can_be_used(documents):
     upper = recognise.from_pandas(lambda s: s.str.upper())
     done = recognise.recognise_batches(batching.burst(documents), upper)
@@ -218,8 +230,11 @@ def test_whole_run(spark, documents):
     for policy in recognise.ON_ERROR:
         run = run_documents(documents, entries, flaky, storage.shared_folder(spark), policy)
         lost = {r.doc_id: r.pages_lost for r in run.page_counts.collect()}
-        failed = {r.doc_id for r in run.status.collect() if r.status == "Failed"}
-        assert failed == {n for n in EDGE_SIZES if n >= 12}
+        states = {r.doc_id: r for r in run.status.collect()}
+        assert states[1000].error == states[1001].error == "Document has no pages"
+        assert states.pop(1000).status == states.pop(1001).status == "Failed"
+        failed = {n for n, r in states.items() if r.status == "Failed"}
+        assert failed == {n for n in EDGE_SIZES if n >= 12} and set(states) == set(EDGE_SIZES)
         if policy == "fallback":
             assert set(lost.values()) == {0}
             assert run.outline.count() == sum(EDGE_SIZES)
