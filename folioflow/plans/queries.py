@@ -602,14 +602,14 @@ def document_run_options(v: Views) -> DataFrame:
 # Streams: each run is driven to its end and compares with its batch twin
 
 
-def _streamed(v: Views, rows: DataFrame, files: int = 4) -> tuple[DataFrame, str]:
+def _streamed(v: Views, rows: DataFrame, files: int = 2) -> tuple[DataFrame, str]:
     """Write rows to a few files and open them as a stream of one file per micro-batch."""
     folder = storage.shared_folder(v.spark)
     storage.written(rows.repartition(files), f"{folder}/source")
     return sinks.file_stream(v.spark, f"{folder}/source", rows.schema, 1), folder
 
 
-def _landed_parts(v: Views, chunks: DataFrame, files: int = 4) -> tuple[DataFrame, str]:
+def _landed_parts(v: Views, chunks: DataFrame, files: int = 2) -> tuple[DataFrame, str]:
     stream, folder = _streamed(v, chunks, files)
     uploads.start_parts(
         stream, f"{folder}/parts", f"{folder}/parts_log", available_now=True
