@@ -15,6 +15,13 @@ FAILED = "Failed"
 BASIC = "basic"
 ADVANCED = "advanced"
 
+# Reasons given for what is refused.
+NOT_A_PDF = "Invalid file type. Only PDFs are allowed."
+NO_PROJECT = "Project not found"
+NO_FILE = "File not found"
+NO_IDS = "No project IDs provided"
+INVALID_OPTION = "Invalid OCR option provided."
+
 
 def has_domain(email: Column, domains: Sequence[str]) -> Column:
     """True where the address ends with one of the allowed `@domain` suffixes."""

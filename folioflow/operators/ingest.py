@@ -11,8 +11,6 @@ from folioflow.functions import names, rules
 from folioflow.operators.ordering import BLOCK, rank_from_zero
 from folioflow.operators.sizing import broadcast_if_small
 
-NOT_A_PDF = "Invalid file type. Only PDFs are allowed."
-NO_PROJECT = "Project not found"
 WRONG_DOMAIN = "Email domain is not allowed"
 DUPLICATE = "already registered"
 
@@ -38,7 +36,7 @@ def rejected_rows(marked: DataFrame) -> DataFrame:
 
 
 def filter_extension(uploads: DataFrame, name: str = "file_name") -> DataFrame:
-    return accept_if(uploads, names.is_pdf(F.col(name)), NOT_A_PDF)
+    return accept_if(uploads, names.is_pdf(F.col(name)), rules.NOT_A_PDF)
 
 
 def filter_domain(users: DataFrame, domains: Sequence[str], email: str = "email") -> DataFrame:
@@ -57,7 +55,7 @@ def require_fields(rows: DataFrame, *required: str) -> DataFrame:
 def orphan_check(rows: DataFrame, projects: DataFrame) -> DataFrame:
     """Mark rows whose project does not exist. One join serves both outcomes."""
     known = projects.select(F.col("id").alias("project_id"), F.lit(True).alias("_known"))
-    marked = accept_if(rows.join(known, "project_id", "left"), F.col("_known"), NO_PROJECT)
+    marked = accept_if(rows.join(known, "project_id", "left"), F.col("_known"), rules.NO_PROJECT)
     return marked.select(*rows.columns, "accepted", "reject_reason")
 
 
@@ -79,7 +77,7 @@ def ingest_bulk(
     """
     good = names.is_pdf(F.col(name))
     if mode == "skip_bad":
-        return accept_if(uploads, good, NOT_A_PDF)
+        return accept_if(uploads, good, rules.NOT_A_PDF)
     firsts = uploads.where(~good).groupBy(batch).agg(F.min(position).alias("_first_bad"))
     joined = uploads.join(firsts, batch, "left")
     if mode == "prefix":
@@ -88,9 +86,9 @@ def ingest_bulk(
         taken = F.col("_first_bad").isNull()
     else:
         raise ValueError("mode must be prefix, all_or_nothing or skip_bad")
-    reason = F.when(good, "Upload stopped at an earlier file.").otherwise(NOT_A_PDF)
+    reason = F.when(good, "Upload stopped at an earlier file.").otherwise(rules.NOT_A_PDF)
     if mode == "all_or_nothing":
-        reason = F.when(good, "Another file of the upload is invalid.").otherwise(NOT_A_PDF)
+        reason = F.when(good, "Another file of the upload is invalid.").otherwise(rules.NOT_A_PDF)
     return accept_if(joined, taken, reason).select(*uploads.columns, "accepted", "reject_reason")
 
 

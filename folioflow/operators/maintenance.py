@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioflow.functions import rules
+
 # Fixed value: hours an upload is kept.
 RETENTION_HOURS = 24
 
@@ -47,7 +49,7 @@ def delete_projects(projects: DataFrame, files: DataFrame, ids: DataFrame) -> De
 
 def require_ids(ids: DataFrame) -> DataFrame:
     if ids.isEmpty():
-        raise ValueError("No project IDs provided")
+        raise ValueError(rules.NO_IDS)
     return ids
 
 

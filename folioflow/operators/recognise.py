@@ -21,7 +21,6 @@ _RESULT = "array<struct<pages:array<string>,error:string>>"
 _ARROW_RESULT = pa.list_(
     pa.struct([("pages", pa.list_(pa.string())), ("error", pa.string())])
 )
-INVALID_OPTION = "Invalid OCR option provided."
 
 
 def from_pandas(function: Callable[[pd.Series], pd.Series]) -> PageFunction:
@@ -117,7 +116,7 @@ def _results(rows: DataFrame, batches, function: PageFunction, option, vectorise
         batches,
         lambda b: F.struct(
             F.lit(None).cast("array<string>").alias("pages"),
-            F.lit(INVALID_OPTION).alias("error"),
+            F.lit(rules.INVALID_OPTION).alias("error"),
         ),
     )
     answered = rows.withColumn("_answer", udf(sent, rules.run_option(option) == rules.ADVANCED))
@@ -257,6 +256,6 @@ def option_rejects(files: DataFrame, option: str = "option") -> DataFrame:
         {
             "run_option": rules.run_option(F.col(option)),
             "accepted": valid,
-            "reject_reason": F.when(~valid, INVALID_OPTION),
+            "reject_reason": F.when(~valid, rules.INVALID_OPTION),
         }
     )

@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from folioflow.functions import rules
 from folioflow.operators.ingest import accept_if
-from folioflow.operators.recognise import INVALID_OPTION
-
-NO_FILE = "File not found"
 
 
 def status_latest(events: DataFrame) -> DataFrame:
@@ -64,7 +61,7 @@ def start_runs(requests: DataFrame, files: DataFrame, now: Column) -> DataFrame:
         "option", rules.run_option(F.col("option"))
     )
     valid = rules.is_valid_option(F.col("option"))
-    reason = F.when(F.col("_known").isNull(), NO_FILE).otherwise(INVALID_OPTION)
+    reason = F.when(F.col("_known").isNull(), rules.NO_FILE).otherwise(rules.INVALID_OPTION)
     marked = accept_if(found, F.col("_known") & valid, reason)
     return marked.withColumns(
         {

@@ -8,6 +8,7 @@ from conftest import rows
 from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
+from folioflow.functions import rules
 from folioflow.operators import batching, merge, ordering, outline, recognise
 from folioflow.plans.document_run import merged_sections, run_documents
 from folioflow.sources import storage
@@ -147,11 +148,11 @@ def test_advanced_calls_once_per_page(spark):
 def test_invalid_option_and_wrong_length(documents):
     batches = batching.burst(documents).withColumn("option", F.lit("fast"))
     refused = recognise.recognise_batches(batches, flaky, "option")
-    assert {(r.status, r.error) for r in refused.collect()} == {("Failed", recognise.INVALID_OPTION)}
+    assert {(r.status, r.error) for r in refused.collect()} == {("Failed", rules.INVALID_OPTION)}
     short = recognise.recognise_batches(batching.burst(documents), lambda p: p.slice(0, 0))
     assert {r.status for r in short.collect()} == {"Failed"}
     marked = recognise.option_rejects(batches.limit(1)).first()
-    assert (marked.accepted, marked.reject_reason) == (False, recognise.INVALID_OPTION)
+    assert (marked.accepted, marked.reject_reason) == (False, rules.INVALID_OPTION)
 
 
 def test_options_travel_with_the_document(documents):

@@ -5,7 +5,7 @@ from conftest import rows
 from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from folioflow.functions import names
+from folioflow.functions import names, rules
 from folioflow.operators import ingest, sizing, status
 
 BATCHES = {
@@ -52,8 +52,8 @@ def test_orphans(spark):
     files = spark.createDataFrame([(1, 7), (2, 8), (3, None)], "id int, project_id int")
     projects = spark.createDataFrame([(7,)], "id int")
     marked = ingest.orphan_check(files, projects)
-    assert rows(marked) == [(1, 7, True, None), (2, 8, False, ingest.NO_PROJECT),
-                            (3, None, False, ingest.NO_PROJECT)]
+    assert rows(marked) == [(1, 7, True, None), (2, 8, False, rules.NO_PROJECT),
+                            (3, None, False, rules.NO_PROJECT)]
 
 
 def test_unique_first(spark):
