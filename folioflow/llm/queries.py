@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm import line_dedup, quality, token_orc, toxicity
+from folioflow.llm import (
+    decontaminate, line_dedup, near_dedup, packing, pii, quality, substrings, token_orc, toxicity,
+    url_filter,
+)
 from folioflow.llm.tables import given, shared_folder, whole_text
 
 
@@ -23,6 +26,53 @@ def op1_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_orc.token_digest(token_orc.read_tokens(spark, path))
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    settings = packing.Settings(tokenizer_file("word_bpe_49k.json"), end_id=1, word_level=True)
+    return packing.pack(given(spark, sf_dir, "documents"), settings)
+
+
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each contaminated document and item."""
+    docs, benchmark = (given(spark, sf_dir, name) for name in ("documents", "benchmark"))
+    found = decontaminate.contaminated(docs, benchmark)
+    return found.groupBy("doc_id", "item_id").agg(
+        F.max("cover").alias("cover"), F.min("reworded").alias("reworded")
+    )
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(given(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", *[f"n_{kind}" for kind in pii.KINDS],
+        F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans",
+    )
+
+
+def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = substrings.remove_repeats(given(spark, sf_dir, "documents"), digest=True)
+    return left.select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.lower(F.hex("kept")).alias("kept_sha256")
+    )
+
+
+# The rules that op6 is given.
+URL_RULES = [
+    url_filter.Rule("allow", "org", "/"),
+    url_filter.Rule("block", "example.org", "/es/"),
+    url_filter.Rule("block", "example.org", "/en/1"),
+    url_filter.Rule("allow", "com", "/fr/"),
+    url_filter.Rule("block", "com", "/de/"),
+]
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(given(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(given(spark, sf_dir, "documents"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(given(spark, sf_dir, "documents"))
 
@@ -50,6 +100,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_orc": op1_token_orc,
+    "op2_packing": op2_packing,
+    "op3_decontaminate": op3_decontaminate,
+    "op4_pii": op4_pii,
+    "op5_substrings": op5_substrings,
+    "op6_url_filter": op6_url_filter,
+    "op7_near_dedup": op7_near_dedup,
     "op8_quality": op8_quality,
     "op9_line_dedup": op9_line_dedup,
     "op10_toxicity": op10_toxicity,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -58,3 +59,20 @@ def fresh_name(rows: DataFrame, name: str) -> str:
     while name in taken:
         name += "_"
     return name
+
+
+def release(spark: SparkSession) -> None:
+    """Have the shuffle files of finished steps deleted now. Spark deletes them when the plans
+    that made them are collected as garbage, which it asks for only twice an hour."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on keys where null equals null; the keys come from the left side."""
+    other = right.select(*[F.col(name).alias(f"_other_{name}" if name in keys else name) for name in right.columns])
+    on = None
+    for name in keys:
+        equal = left[name].eqNullSafe(other[f"_other_{name}"])
+        on = equal if on is None else on & equal
+    return left.join(other, on, how).drop(*[f"_other_{name}" for name in keys])
