@@ -12,13 +12,27 @@ from __future__ import annotations
 
 import os
 import sys
+from array import array
 from types import ModuleType
+from unicodedata import is_normalized
 
 # Words that a worker keeps; when full, it starts afresh. About 170 bytes each.
-KEPT_WORDS = 600_000
+KEPT_WORDS = 1_200_000
 
-# Characters that only some engines take for white space, and the mark used below.
-_DISPUTED = ("\x01", "\x1c", "\x1d", "\x1e", "\x1f", "\x85", "\u180e", "\u200b", "\ufeff")
+# White space besides blanks and line ends, characters that only some engines take for white
+# space, and the mark used below. The ones below \x80 are all that ASCII texts can hold.
+_OTHER_SPACE = (
+    "\t\r\x0b\x0c\x01\x1c\x1d\x1e\x1f"
+    "\x85\xa0\u1680\u180e\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u200b\u2028\u2029\u202f\u205f\u3000\ufeff"
+)
+_ASCII_SPACE = "".join(c for c in _OTHER_SPACE if c.isascii())
+
+# Byte-level tokenizers write a byte as a letter: visible Latin-1 characters stand for
+# themselves, the other bytes, in order, for the characters from U+0100 on.
+_VISIBLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_HIDDEN = [byte for byte in range(256) if byte not in _VISIBLE]
+_BYTE_LETTERS = {byte: 0x100 + at for at, byte in enumerate(_HIDDEN)}
 
 
 def _held() -> dict:
@@ -48,6 +62,7 @@ class Encoder:
         self.tokenizer, self.known = held[path]
         self.mark = "\x01" if word_level else "\n"
         self.mark_ids = self.whole(self.mark)
+        self.tails = {c: self.whole(c) for c in ".,"}
 
     def whole(self, text: str) -> bytes:
         import numpy as np
@@ -61,16 +76,55 @@ class Encoder:
         For byte-level tokenizers a word stands for a blank and the word, unless it begins
         with a line end; the first word is given one, which `encode` takes off again.
         """
-        if "<|" in text or any(c in text for c in _DISPUTED):
+        if "<|" in text:
             return None
+        for c in _ASCII_SPACE if text.isascii() else _OTHER_SPACE:
+            if c in text:
+                return None
         if self.word_level:
             return text.split()
         if not text or "  " in text or " \n" in text or "\n " in text or "\n\n" in text:
             return None
-        words = ("\n" + text).replace("\n", " \n").split(" ")[1:]
-        return words if len(words) == len(text.split()) and text[0] not in " \n" else None
+        if text[0] in " \n" or text[-1] in " \n":
+            return None
+        return ("\n" + text).replace("\n", " \n").split(" ")[1:]
+
+    def _plain(self, word: str) -> bytes | None:
+        """Ids of letters with at most a point or comma after them: the model's own pieces.
+
+        The tokenizer's word pattern takes such letters, with the blank before them, as one
+        word; None for anything else.
+        """
+        body, lead, blank = word, b"", "" if self.word_level else "\u0120"
+        if word[0] == "\n":
+            body, lead, blank = word[1:], self.mark_ids, ""
+        tail = b""
+        if body[-1:] in self.tails:
+            body, tail = body[:-1], self.tails[body[-1]]
+        if not body.isalpha():
+            return None
+        if not body.isascii():
+            if not is_normalized("NFC", body):
+                return None
+        if self.word_level:
+            body = body.lower()
+        if not body.isascii():
+            body = body.encode().decode("latin-1").translate(_BYTE_LETTERS)
+        ids = [token.id for token in self.tokenizer.model.tokenize(blank + body)]
+        return lead + array("I", ids).tobytes() + tail
 
     def _learn(self, words: list[str]) -> None:
+        known, others = self.known, []
+        for word in words:
+            ids = self._plain(word)
+            if ids is None:
+                others.append(word)
+            else:
+                known[word] = ids
+        if others:
+            self._learn_together(others)
+
+    def _learn_together(self, words: list[str]) -> None:
         """Encode new words as one text, with a mark between them that has an id of its own."""
         import numpy as np
 
@@ -91,17 +145,24 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [self._words(text) for text in texts]
-        every = set().union(*(words for words in cut if words))
-        known = self.known
-        new = every.difference(known)
-        if len(known) + len(new) > self.kept:
-            known.clear()
-            new = every
+        get, known = self.known.get, self.known
+        found = [words and list(map(get, words)) for words in cut]
+        new = {
+            word
+            for words, ids in zip(cut, found)
+            if ids and None in ids
+            for word, got in zip(words, ids)
+            if got is None
+        }
         if new:
+            if len(known) + len(new) > self.kept:
+                known.clear()
             self._learn(sorted(new))
-        get = known.__getitem__
+            for words, ids in zip(cut, found):
+                if ids and None in ids:
+                    ids[:] = [known[w] if got is None else got for w, got in zip(words, ids)]
         lead = 0 if self.word_level else len(self.mark_ids)
         return [
-            self.whole(text) if words is None else b"".join(map(get, words))[lead:]
-            for text, words in zip(texts, cut)
+            self.whole(text) if ids is None else b"".join(ids)[lead:]
+            for text, ids in zip(texts, found)
         ]
