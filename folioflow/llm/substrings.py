@@ -13,7 +13,7 @@ before and the `length` bytes from it, all that a string with this anchor can co
    then a blind trie for each group with a long common prefix. Common prefixes with the
    neighbours tell for each shift which contexts agree on the whole string.
 4. A gram with more than `block` distinct contexts is not sorted in one task: its strings are
-   counted by two hashes each instead, which is exact as well and splits by content.
+   counted by the hashes of gram, shift and string instead, which splits by content.
 
 Only documents with such anchors carry their bytes on; all others are settled when they first
 meet their anchors. Texts travel compressed.
@@ -315,13 +315,16 @@ def _sorted(contexts: DataFrame, settings: Settings) -> DataFrame:
 
 
 def _counted(contexts: DataFrame, settings: Settings) -> DataFrame:
-    """The same for grams with very many contexts, by counts of all their strings' hashes."""
+    """The same for grams with very many contexts, by counts of all their strings' hashes.
+
+    A string may lie in the contexts of several anchors, so it is counted by gram and shift.
+    """
 
     def strings(batches):
         import numpy as np
         import pyarrow as pa
 
-        one, two = Hasher(settings), Hasher(Settings(seed=settings.seed + 1))
+        hasher = Hasher(Settings(seed=settings.seed + 1))
         for batch in batches:
             for x in batch.to_pylist():
                 shift = np.arange(
@@ -330,29 +333,30 @@ def _counted(contexts: DataFrame, settings: Settings) -> DataFrame:
                 )
                 raw = np.frombuffer(x["around"], np.uint8)
                 begin = settings.shifts - 1 - shift
-                h1, h2 = (h.between(h.sums(raw), begin, begin + settings.length) for h in (one, two))
+                hashes = hasher.between(hasher.sums(raw), begin, begin + settings.length)
                 same = lambda v, kind: pa.array(np.full(len(shift), v), type=kind)
                 yield pa.record_batch(
                     [
-                        pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)),
+                        same(x["gram"], pa.int64()), pa.array(hashes.view(np.int64)),
                         same(x["times"], pa.int64()), same(x["row"], pa.int64()),
                         same(x["tag"], pa.int32()), same(x["place"], pa.int32()),
                         pa.array(shift.astype(np.int32)),
                     ],
-                    names=["h1", "h2", "times", "row", "tag", "place", "shift"],
+                    names=["gram", "hash", "times", "row", "tag", "place", "shift"],
                 )
 
     rows = written(
-        contexts.select("row", "tag", "place", "n_bytes", "times", "around").mapInArrow(
+        contexts.select("row", "tag", "place", "n_bytes", "gram", "times", "around").mapInArrow(
             strings,
-            "h1 long, h2 long, times long, row long, tag int, place int, shift int",
+            "gram long, hash long, times long, row long, tag int, place int, shift int",
         ),
         "substring-strings",
     )
-    repeated = rows.groupBy("h1", "h2").agg(F.sum("times").alias("n")).where("n > 1")
+    key = ["gram", "shift", "hash"]
+    repeated = rows.groupBy(*key).agg(F.sum("times").alias("n")).where("n > 1")
     return (
         rows.where("times = 1")
-        .join(repeated.select("h1", "h2"), ["h1", "h2"])
+        .join(repeated.select(*key), key)
         .groupBy("row", "tag", "place")
         .agg(F.min("shift").alias("least"), F.max("shift").alias("most"))
     )

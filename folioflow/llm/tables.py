@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import gc
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioflow.sources import storage
+
 # Fixed value: the white space that the word and line rules name.
 BLANKS = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -20,12 +20,8 @@ def given(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir; sessions without one, as in tests, get one."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="checkpoints-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/llm-{name}-{uuid.uuid4().hex[:12]}"
+    """A new folder that all executors reach, see `storage.shared_folder`."""
+    return f"{storage.shared_folder(spark)}/{name}"
 
 
 def written(rows: DataFrame, name: str) -> DataFrame:
