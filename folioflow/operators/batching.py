@@ -37,15 +37,17 @@ def _runs(pages: Column, length: int) -> Column:
     )
 
 
-def pages_long(documents: DataFrame, separator: str = "\n") -> DataFrame:
-    """One row per page: doc_id, page_no from 1, text.
+def pages_long(
+    documents: DataFrame, separator: str = "\n", carry: Sequence[str] = ()
+) -> DataFrame:
+    """One row per page: doc_id, page_no from 1, text, and the columns named in `carry`.
 
     The arrays are never empty, so the outer form gives the same rows; for the plain form
     Spark would add a filter that splits every text twice more.
     """
-    return _with_pages(documents, separator).select(
-        "doc_id", F.posexplode_outer("_all").alias("_pos", "text")
-    ).select("doc_id", (F.col("_pos") + 1).alias("page_no"), "text")
+    return _with_pages(documents, separator, carry).select(
+        "doc_id", *carry, F.posexplode_outer("_all").alias("_pos", "text")
+    ).select("doc_id", (F.col("_pos") + 1).alias("page_no"), "text", *carry)
 
 
 def burst(

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.functions import rules
-from folioflow.operators.ordering import BLOCK, rank_from_zero
+from folioflow.operators.ordering import rank_from_zero
 
 # Fixed value: rows of a result page that a reader may choose.
 PAGE_SIZES = (10, 20, 30, 50, 100)
@@ -86,14 +86,13 @@ def projects_with_files(
     clients: DataFrame,
     files: DataFrame,
     part_files: int = 1000,
-    block: int = BLOCK,
 ) -> DataFrame:
     """Every project with its listed files in id order; a project without files has [].
 
     A project of up to `part_files` files is one row. A larger one continues in further
     rows numbered by `part_no`, so that no project is collected whole into one row.
     """
-    ranked = rank_from_zero(file_listing(files), ["project_id"], "id", "_rank", block)
+    ranked = rank_from_zero(file_listing(files), ["project_id"], "id", "_rank")
     fields = ["id", "name", "status", "download_url", "error_url", "created_at"]
     parts = (
         ranked.withColumn("part_no", F.floor(F.col("_rank") / part_files).cast("int"))

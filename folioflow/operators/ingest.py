@@ -8,11 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.functions import names, rules
-from folioflow.operators.ordering import BLOCK, rank_from_zero
-from folioflow.operators.sizing import broadcast_if_small
+from folioflow.operators.ordering import rank_from_zero
 
 WRONG_DOMAIN = "Email domain is not allowed"
 DUPLICATE = "already registered"
+BAD_CHUNK = "Chunk index is missing or out of range"
 
 # Fixed value: bytes of one upload chunk.
 CHUNK_BYTES = 5 * 1024 * 1024
@@ -105,15 +105,15 @@ def unique_first(rows: DataFrame, key: Column, order: str) -> DataFrame:
     return marked.select(*rows.columns, "accepted", "reject_reason")
 
 
-def next_ids(rows: DataFrame, existing: DataFrame, position: str, block: int = BLOCK) -> DataFrame:
+def next_ids(rows: DataFrame, existing: DataFrame, position: str) -> DataFrame:
     """Give new rows an `id` that continues the existing ids, in `position` order."""
     last = existing.select(F.coalesce(F.max("id"), F.lit(0)).cast("bigint")).scalar()
-    ranked = rank_from_zero(rows, [], position, "_rank", block)
+    ranked = rank_from_zero(rows, [], position, "_rank")
     return ranked.withColumn("id", last + F.col("_rank") + 1).drop("_rank")
 
 
 def new_files(
-    uploads: DataFrame, existing: DataFrame, created_at: Column | None = None, block: int = BLOCK
+    uploads: DataFrame, existing: DataFrame, created_at: Column | None = None
 ) -> DataFrame:
     """File rows to append for accepted uploads (pos, project_id, file_name, file_size, file_path).
 
@@ -121,7 +121,7 @@ def new_files(
     an id made from the path, so that a task run twice writes the same row. Write the
     result in append mode.
     """
-    numbered = next_ids(uploads, existing, "pos", block)
+    numbered = next_ids(uploads, existing, "pos")
 
     def given(column: str, default: Column) -> Column:
         return F.coalesce(F.col(column), default) if column in uploads.columns else default
@@ -146,7 +146,7 @@ def bulk_union(files: DataFrame, added: DataFrame) -> DataFrame:
 
 
 def upsert_clients(
-    clients: DataFrame, requests: DataFrame, block: int = BLOCK
+    clients: DataFrame, requests: DataFrame
 ) -> DataFrame:
     """Clients after the requests (pos, client_name, ...): known names kept, new ones added.
 
@@ -155,19 +155,19 @@ def upsert_clients(
     """
     wanted = requests.groupBy(F.col("client_name").alias("name")).agg(F.min("pos").alias("_pos"))
     fresh = wanted.join(clients.select("name"), "name", "left_anti")
-    numbered = next_ids(fresh, clients, "_pos", block).select("id", "name")
+    numbered = next_ids(fresh, clients, "_pos").select("id", "name")
     return clients.select(F.col("id").cast("bigint").alias("id"), "name").unionByName(numbered)
 
 
 def upsert_projects(
-    projects: DataFrame, clients: DataFrame, requests: DataFrame, block: int = BLOCK
+    projects: DataFrame, clients: DataFrame, requests: DataFrame
 ) -> DataFrame:
     """Projects to append for the requests, one each, also where the name exists already.
 
     `clients` is the result of `upsert_clients`.
     """
     owners = clients.select(F.col("id").alias("client_id"), F.col("name").alias("client_name"))
-    numbered = next_ids(requests, projects, "pos", block)
+    numbered = next_ids(requests, projects, "pos")
     return numbered.join(owners, "client_name").select(
         "id", F.col("project_name").alias("name"), "client_id", "user_id"
     )
@@ -188,22 +188,37 @@ def upload_progress(chunks: DataFrame) -> DataFrame:
     return sent.withColumn("percent", percent)
 
 
+def in_range() -> Column:
+    """Whether a chunk says where it belongs; false where a number is missing."""
+    index = F.col("chunk_index")
+    return F.coalesce((index >= 0) & (index < F.col("total_chunks")), F.lit(False))
+
+
+def check_chunks(chunks: DataFrame) -> DataFrame:
+    """Mark chunks without a usable index as rejected; none is dropped."""
+    return accept_if(chunks, in_range(), BAD_CHUNK)
+
+
 def upload_manifest(chunks: DataFrame) -> DataFrame:
-    """Per upload: chunks seen (repeats count once), chunks expected, and `complete`.
+    """Per upload: chunks seen (repeats count once), expected and rejected, and `complete`.
 
     Reads no bodies. Repeats are removed on (upload_id, chunk_index) and the rest are
-    counted with a map-side combine.
+    counted with a map-side combine. An upload with a rejected chunk is not complete.
     """
-    indexed = chunks.where(
-        (F.col("chunk_index") >= 0) & (F.col("chunk_index") < F.col("total_chunks"))
-    )
-    seen = indexed.groupBy("upload_id", "chunk_index").agg(
-        F.max("total_chunks").alias("total_chunks")
+    placed = F.when(in_range(), F.col("chunk_index")).alias("_index")
+    seen = chunks.groupBy("upload_id", placed).agg(
+        F.max("total_chunks").alias("total_chunks"), F.count(F.lit(1)).alias("_rows")
     )
+    rejected = F.sum(F.when(F.col("_index").isNull(), F.col("_rows")).otherwise(0))
     counted = seen.groupBy("upload_id").agg(
-        F.count(F.lit(1)).alias("n_chunks"), F.max("total_chunks").alias("total_chunks")
+        F.count("_index").alias("n_chunks"),
+        F.max("total_chunks").alias("total_chunks"),
+        rejected.alias("n_rejected"),
+    )
+    whole = F.col("n_chunks") == F.col("total_chunks")
+    return counted.withColumn(
+        "complete", F.coalesce(whole & (F.col("n_rejected") == 0), F.lit(False))
     )
-    return counted.withColumn("complete", F.col("n_chunks") == F.col("total_chunks"))
 
 
 def assemble_segments(
@@ -214,59 +229,93 @@ def assemble_segments(
     A file is one or more segment rows of up to `segment_chunks` chunks each, so a file of
     any size is spread over many tasks; a file of up to that many chunks is one row. A chunk
     sent again replaces the earlier one: the row with the highest `order` wins, or the
-    greatest body where no order is known. Repeats are combined on the map side. Uploads
-    with missing chunks are included; see `assemble_chunks`.
-    """
-    slot = F.col("chunk_index") % segment_chunks
-
-    def latest(k: int) -> Column:
-        body = F.when(slot == k, F.col("body"))
-        if order is None:
-            return F.max(body)
-        return F.max_by(body, F.when(slot == k, F.col(order)))
+    greatest body where no order is known. Rejected chunks belong to no place and are left
+    out; see `check_chunks`. Uploads with missing chunks are included; see
+    `assemble_chunks`.
 
+    With an order the winners are found on narrow columns and joined back, and each body is
+    shuffled once with the others of its segment, unsorted.
+    """
     segment_no = F.floor(F.col("chunk_index") / segment_chunks)
-    slots = [latest(k).alias(f"_{k}") for k in range(segment_chunks)]
+    placed = chunks.where(in_range())
+    place = ["upload_id", "chunk_index"]
+    if order is None:
+        once = placed.groupBy(*place).agg(
+            F.max("total_chunks").alias("total_chunks"), F.max("body").alias("body")
+        )
+    else:
+        latest = placed.groupBy(*place).agg(F.max(order).alias(order))
+        once = placed.join(latest, [*place, order])
+    parts = F.struct("chunk_index", "body")
     packed = (
-        chunks.withColumn("segment_no", segment_no)
+        once.withColumn("segment_no", segment_no)
         .groupBy("upload_id", "segment_no")
-        .agg(F.max("total_chunks").alias("total_chunks"), *slots)
+        .agg(F.max("total_chunks").alias("total_chunks"), F.collect_set(parts).alias("_parts"))
+    )
+    # Copies that agree in their order differ in nothing that would tell which is later.
+    sorted_parts = F.sort_array("_parts")
+    single = F.filter(
+        sorted_parts,
+        lambda part, i: (i == F.size(sorted_parts) - 1)
+        | (part["chunk_index"] != F.get(sorted_parts, i + 1)["chunk_index"]),
     )
-    bodies = F.array_compact(F.array(*[F.col(f"_{k}") for k in range(segment_chunks)]))
+    packed = packed.withColumn("_single", single)
+    bodies = F.col("_single.body")
     if dict(chunks.dtypes)["body"] == "binary":
         empty = F.lit(b"")
         body = F.aggregate(bodies, empty, lambda whole, part: F.concat(whole, part))
     else:
         body = F.array_join(bodies, "")
     return packed.select(
-        "upload_id", "segment_no", "total_chunks", F.size(bodies).alias("n_chunks"),
+        "upload_id", "segment_no", "total_chunks", F.size("_single").alias("n_chunks"),
         body.alias("body"),
     )
 
 
+def complete_uploads(chunks: DataFrame) -> DataFrame:
+    return upload_manifest(chunks).where("complete").select("upload_id")
+
+
 def assemble_chunks(
-    chunks: DataFrame,
-    order: str | None = None,
-    segment_chunks: int = SEGMENT_CHUNKS,
-    broadcast_rows: int = 1_000_000,
+    chunks: DataFrame, order: str | None = None, segment_chunks: int = SEGMENT_CHUNKS
 ) -> DataFrame:
-    """The segments of complete uploads only.
+    """The segments of complete uploads only; others are left out before any body moves."""
+    whole = chunks.join(complete_uploads(chunks), "upload_id", "left_semi")
+    return assemble_segments(whole, order, segment_chunks)
 
-    Uploads still in transfer are found from the chunk numbers and anti-joined before any
-    body is shuffled: broadcast when they are proven to be few, else by a shuffled join.
-    """
-    open_uploads = upload_manifest(chunks).where(~F.col("complete")).select("upload_id")
-    in_range = chunks.where(
-        (F.col("chunk_index") >= 0) & (F.col("chunk_index") < F.col("total_chunks"))
+
+def upload_sizes(chunks: DataFrame, order: str) -> DataFrame:
+    """Bytes and chunks of each complete upload, from the lengths of its chunks alone."""
+    lengths = chunks.where(in_range()).select(
+        "upload_id", "chunk_index", order, F.octet_length("body").cast("bigint").alias("_bytes")
     )
-    whole = in_range.join(
-        broadcast_if_small(open_uploads, broadcast_rows), "upload_id", "left_anti"
+    latest = lengths.groupBy("upload_id", "chunk_index").agg(
+        F.max_by("_bytes", order).alias("_bytes")
     )
-    return assemble_segments(whole, order, segment_chunks)
+    sizes = latest.groupBy("upload_id").agg(
+        F.count(F.lit(1)).alias("n_chunks"), F.sum("_bytes").alias("file_size")
+    )
+    return sizes.join(complete_uploads(chunks), "upload_id", "left_semi")
+
 
+def upload_files(chunks: DataFrame, projects: DataFrame, order: str) -> DataFrame:
+    """Complete uploads as files to take in: pos, project_id, file_name, file_size, file_path.
 
-def upload_sizes(segments: DataFrame) -> DataFrame:
-    """Bytes and chunks of each assembled upload."""
-    return segments.groupBy("upload_id").agg(
-        F.sum("n_chunks").alias("n_chunks"), F.sum(F.octet_length("body")).alias("file_size")
+    Marks every upload (`accepted`, `reject_reason`): the name must be a PDF's and the
+    project known. Names are made safe. `pos` is the upload.
+    """
+    named = chunks.groupBy("upload_id").agg(
+        F.max("file_name").alias("file_name"), F.max("project_id").alias("project_id")
+    )
+    sized = upload_sizes(chunks, order).select(F.col("upload_id"), "file_size").join(named, "upload_id")
+    safe = sized.select(
+        F.col("upload_id").alias("pos"), "project_id",
+        names.safe_filename(F.col("file_name")).alias("file_name"), "file_size",
+    )
+    placed = safe.withColumn(
+        "file_path", F.concat_ws("/", F.lit("uploads"), "project_id", "pos", "file_name")
     )
+    known = orphan_check(placed, projects).drop("reject_reason").withColumnRenamed("accepted", "_known")
+    pdf = names.is_pdf(F.col("file_name"))
+    reason = F.when(~pdf, rules.NOT_A_PDF).otherwise(rules.NO_PROJECT)
+    return accept_if(known, pdf & F.col("_known"), reason).drop("_known")

@@ -6,22 +6,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.operators.batching import SECTION_PAGES
-from folioflow.operators.ordering import BLOCK, running_total
+from folioflow.operators.ordering import running_total
 
 
 def gather(batches: DataFrame, section_pages: int = SECTION_PAGES) -> DataFrame:
     """Put the pages of the batches back in page order.
 
     The merged document is one or more section rows (doc_id, section_no, start_page,
-    n_pages, pages). A section holds at most `section_pages` pages, so no document is ever
-    collected whole into one task; a shorter document is exactly one row.
+    n_pages, pages). A section holds at most `section_pages` pages (not bytes), so no
+    document is ever collected whole into one task; a shorter document is exactly one row. A
+    batch reported more than once counts once, the least of differing reports: equal ones are
+    combined on the map side.
     """
     section_no = F.floor((F.col("start_page") - 1) / section_pages).cast("int")
     gathered = (
         batches.withColumn("section_no", section_no)
         .groupBy("doc_id", "section_no")
-        .agg(F.sort_array(F.collect_list(F.struct("start_page", "pages"))).alias("_batches"))
+        .agg(F.sort_array(F.collect_set(F.struct("start_page", "pages"))).alias("_all"))
     )
+    repeated = lambda b, i: (i > 0) & (b["start_page"] == F.get("_all", i - 1)["start_page"])
+    gathered = gathered.withColumn("_batches", F.filter("_all", lambda b, i: ~repeated(b, i)))
     merged = gathered.select(
         "doc_id",
         "section_no",
@@ -31,7 +35,7 @@ def gather(batches: DataFrame, section_pages: int = SECTION_PAGES) -> DataFrame:
     return merged.withColumn("n_pages", F.size("pages"))
 
 
-def merged_pages(merged: DataFrame, complete: bool = False, block: int = BLOCK) -> DataFrame:
+def merged_pages(merged: DataFrame, complete: bool = False) -> DataFrame:
     """Long form of merged sections: doc_id, page_no from 1 in the merged document, text.
 
     Pages are renumbered without gaps where failed batches were left out. With `complete`
@@ -43,7 +47,7 @@ def merged_pages(merged: DataFrame, complete: bool = False, block: int = BLOCK)
     else:
         sizes = running_total(
             merged.select("doc_id", "section_no", "n_pages"),
-            ["doc_id"], "section_no", F.col("n_pages").cast("bigint"), "_offset", block,
+            ["doc_id"], "section_no", F.col("n_pages").cast("bigint"), "_offset",
         ).drop("n_pages")
         placed = merged.join(sizes, ["doc_id", "section_no"])
     return placed.select("doc_id", "_offset", F.posexplode("pages").alias("_pos", "text")).select(
@@ -70,7 +74,7 @@ def compare_page_counts(before: DataFrame, after: DataFrame) -> DataFrame:
     )
 
 
-def page_offsets(inputs: DataFrame, counts: DataFrame, block: int = BLOCK) -> DataFrame:
+def page_offsets(inputs: DataFrame, counts: DataFrame) -> DataFrame:
     """Where each input starts in its concatenated target.
 
     `inputs` lists (target, pos, doc_id) in the wanted order, `counts` gives (doc_id,
@@ -85,7 +89,7 @@ def page_offsets(inputs: DataFrame, counts: DataFrame, block: int = BLOCK) -> Da
             "n_pages": F.coalesce("n_pages", F.lit(0).cast("bigint")),
         }
     )
-    return running_total(listed, ["target"], "pos", F.col("n_pages"), "page_offset", block)
+    return running_total(listed, ["target"], "pos", F.col("n_pages"), "page_offset")
 
 
 def concat_pages(pages: DataFrame, offsets: DataFrame) -> DataFrame:

@@ -6,31 +6,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.operators.batching import BATCH_PAGES
-from folioflow.operators.ordering import explode_range
+from folioflow.operators.ordering import explode_range, running_total
 
 # A heading element: its level and its inner HTML.
 _HEADING = r"(?is)<h([1-6])\b[^>]*>(.*?)</h\1\s*>"
 
 
-def extract_outline(html_pages: DataFrame) -> DataFrame:
-    """Headings of HTML pages (doc_id, page from 0, html) as outline rows.
+def extract_outline(html_pages: DataFrame, *keys: str) -> DataFrame:
+    """Headings of HTML pages (key columns, html) as outline rows.
 
-    One row per heading: doc_id, page, pos (order within the page), line (level), bookmark
-    (title). A page without headings gives no rows. Stays a narrow projection.
+    One row per heading: the keys, pos (order within the page), line (level), bookmark
+    (title). A page without headings gives no rows. Stays a narrow projection: each page is
+    searched once, and the headings found are taken apart.
     """
-    html = F.col("html")
-    levels = F.regexp_extract_all(html, F.lit(_HEADING), F.lit(1))
-    titles = F.regexp_extract_all(html, F.lit(_HEADING), F.lit(2))
-    entries = html_pages.select(
-        "doc_id", "page", F.posexplode(F.arrays_zip(levels.alias("l"), titles.alias("t")))
-        .alias("pos", "_entry"),
-    )
+    headings = F.regexp_extract_all("html", F.lit(_HEADING), F.lit(0))
+    entries = html_pages.select(*keys, F.posexplode(headings).alias("pos", "_heading"))
+    title = F.regexp_extract("_heading", _HEADING, 2)
     return entries.select(
-        "doc_id",
-        "page",
+        *keys,
         "pos",
-        F.col("_entry.l").cast("int").alias("line"),
-        F.trim(F.regexp_replace("_entry.t", r"<[^>]*>", "")).alias("bookmark"),
+        F.substring("_heading", 3, 1).cast("int").alias("line"),
+        F.trim(F.regexp_replace(title, r"<[^>]*>", "")).alias("bookmark"),
     )
 
 
@@ -60,16 +56,18 @@ def outline_range(
     )
 
 
-def reattach_outline(outline: DataFrame, page_counts: DataFrame) -> DataFrame:
-    """Outline of the merged documents: entries within the merged length, pages from 1.
+def reattach_outline(outline: DataFrame, kept: DataFrame, width: int = BATCH_PAGES) -> DataFrame:
+    """Outline of the merged documents: each entry follows its page, pages from 1.
 
-    Needs `pos`, the entry's place in the source outline; the rows of a document sorted by
-    it are its table of contents. Counts are one row per document, so a document with very
-    many entries is split by adaptive skew handling or meets a broadcast side.
+    `kept` lists the page ranges of the source documents that are in the merged ones
+    (doc_id, start_page, end_page). Entries of pages that are gone go too; the others move up
+    by the pages that are missing before them. Needs `pos`, the entry's place in the source
+    outline; the rows of a document sorted by it are its table of contents.
     """
-    lengths = page_counts.select("doc_id", "n_pages")
-    return (
-        outline.join(lengths, "doc_id")
-        .where((F.col("page") >= 0) & (F.col("page") < F.col("n_pages")))
-        .select("doc_id", "pos", "line", "bookmark", (F.col("page") + 1).alias("page"))
+    size = (F.col("end_page") - F.col("start_page") + 1).cast("bigint")
+    placed = running_total(
+        kept.select("doc_id", "start_page", "end_page"), ["doc_id"], "start_page", size, "_before"
+    )
+    return outline_range(outline, placed, width).select(
+        "doc_id", "pos", "line", "bookmark", (F.col("_before") + F.col("page")).alias("page")
     )

@@ -209,37 +209,64 @@ def apply_policy(results: DataFrame, on_error: str = "fallback") -> DataFrame:
 def merge_sections(results: DataFrame, on_error: str = "fallback") -> DataFrame:
     """Merged pages of each section, from `recognise_sections`; no shuffle.
 
-    Adds `n_pages` and `n_failed` (failed batches). For `abort`, drop the documents of
-    `failed_documents` from the written result.
+    Adds `n_pages`, `n_failed` (failed batches) and `kept`, the page ranges of the source that
+    are in the section. `abort` concerns whole documents, which a section can't see: it is
+    refused here; `run_documents` does it on the written sections.
     """
     _check_policy(on_error)
+    if on_error == "abort":
+        raise ValueError("sections can't abort a document; see run_documents")
     if on_error == "fallback":
         kept = F.zip_with("results", "batches", lambda r, b: F.coalesce(r["pages"], b))
     else:
         kept = F.array_compact(F.transform("results", lambda r: r["pages"]))
     failures = F.size(F.filter("results", lambda r: r["error"].isNotNull()))
+    # All batches of a section but the last are as long as the first.
+    first = lambda i: F.col("start_page") + i * F.size(F.col("batches")[0])
+    ranges = F.transform(
+        F.arrays_zip("results", "batches"),
+        lambda b, i: F.struct(
+            first(i).alias("start_page"),
+            (first(i) + F.size(b["batches"]) - 1).alias("end_page"),
+            b["results"]["error"].isNull().alias("good"),
+        ),
+    )
+    if on_error != "fallback":
+        ranges = F.filter(ranges, lambda r: r["good"])
+    ranges = F.transform(ranges, lambda r: F.struct(r["start_page"].alias("start_page"),
+                                                    r["end_page"].alias("end_page")))
     merged = results.select(
         "doc_id", "section_no", "start_page", F.flatten(kept).alias("pages"),
-        failures.alias("n_failed"),
+        failures.alias("n_failed"), ranges.alias("kept"),
     )
     return merged.withColumn("n_pages", F.size("pages"))
 
 
+def kept_ranges(merged: DataFrame) -> DataFrame:
+    """(doc_id, start_page, end_page) of the source pages in the result of `merge_sections`."""
+    return merged.select("doc_id", F.explode("kept").alias("_range")).select("doc_id", "_range.*")
+
+
 def failed_documents(merged: DataFrame) -> DataFrame:
     """Ids of documents with a failed batch, from the written result of `merge_sections`."""
     return merged.where(F.col("n_failed") > 0).select("doc_id").distinct()
 
 
-def status_rollup(results: DataFrame, document: str = "doc_id") -> DataFrame:
-    """One status per document over all its batch results.
+def status_rollup(
+    results: DataFrame, expected: DataFrame, document: str = "doc_id"
+) -> DataFrame:
+    """One status per document of `expected` (document, n_batches) over all its batch results.
 
-    Failed if any batch failed, Processed if every batch was processed, else Processing.
-    Only counts are shuffled, combined on the map side.
+    Failed if any batch failed, Processed if all expected batches were processed, else
+    Processing, also where none has reported yet. Only counts are shuffled, combined on the
+    map side; a batch reported twice counts once.
     """
     failed = F.count_if(F.col("status") == rules.FAILED)
     processed = F.count_if(F.col("status") == rules.PROCESSED)
-    counts = results.groupBy(document).agg(
-        F.count(F.lit(1)).alias("n_batches"), failed.alias("n_failed"), processed.alias("n_done")
+    once = results.groupBy(document, "batch_no").agg(F.min("status").alias("status"))
+    seen = once.groupBy(document).agg(failed.alias("n_failed"), processed.alias("n_done"))
+    counts = expected.select(document, "n_batches").join(seen, document, "left").fillna(
+        0, ["n_failed", "n_done"]
     )
     status = (
         F.when(F.col("n_failed") > 0, rules.FAILED)

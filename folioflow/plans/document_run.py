@@ -63,8 +63,9 @@ def run_documents(
     The page function runs once: its result is a written table from which the outline,
     the status and the page counts are taken without the pages being read again.
     """
+    policy = "skip" if on_error == "abort" else on_error
     merged = written(
-        merged_sections(documents, function, on_error, spread=spread, option=option),
+        merged_sections(documents, function, policy, spread=spread, option=option),
         f"{folder}/sections",
     )
     if on_error == "abort":
@@ -83,7 +84,7 @@ def run_documents(
         F.when(F.col("n_pages") == 0, NO_PAGES).alias("error"),
     )
     counts = merge.compare_page_counts(source, lengths)
-    attached = outline.reattach_outline(outlines, lengths)
+    attached = outline.reattach_outline(outlines, recognise.kept_ranges(kept))
     return Run(
         kept,
         written(attached, f"{folder}/outline"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from folioflow.plans.views import PAGE_LIMIT, TOO_LONG
+from folioflow.plans.views import FAULT, FAULT_TEXT
 
 # Shared views; each may use those above it.
 _VIEWS = {
@@ -37,16 +37,35 @@ _VIEWS = {
                CAST(doc_id % 28 AS INTEGER) AS project_id,
                CAST(octet_length(encode(text)) AS BIGINT) AS file_size
         FROM documents""",
-    "chunks": """
+    "sent_chunks": """
         SELECT conv_id AS upload_id, turn AS chunk_index, text AS body,
                max(turn) OVER w + 1
                  + CASE WHEN max_by(role, turn) OVER w = 'user' THEN 1 ELSE 0 END AS total_chunks
         FROM conversations WINDOW w AS (PARTITION BY conv_id)""",
+    "bad_chunks": """
+        SELECT upload_id, CAST(NULL AS BIGINT) AS chunk_index, total_chunks FROM sent_chunks
+        WHERE chunk_index = 0 AND upload_id % 11 = 0
+        UNION ALL
+        SELECT upload_id, total_chunks, total_chunks FROM sent_chunks
+        WHERE chunk_index = 0 AND upload_id % 13 = 0""",
+    "chunks": """
+        SELECT * REPLACE (body || CASE WHEN chunk_index = 0 AND upload_id % 5 = 0
+                                       THEN ' again' ELSE '' END AS body)
+        FROM sent_chunks""",
     "manifest": """
-        SELECT upload_id, count(DISTINCT chunk_index) AS n_chunks,
-               max(total_chunks) AS total_chunks,
-               count(DISTINCT chunk_index) = max(total_chunks) AS complete
-        FROM chunks GROUP BY upload_id""",
+        SELECT c.upload_id, n_chunks, total_chunks, coalesce(n_rejected, 0) AS n_rejected,
+               n_chunks = total_chunks AND n_rejected IS NULL AS complete
+        FROM (SELECT upload_id, count(*) AS n_chunks, max(total_chunks) AS total_chunks
+              FROM chunks GROUP BY upload_id) c
+        LEFT JOIN (SELECT upload_id, count(*) AS n_rejected FROM bad_chunks GROUP BY 1) r
+          ON c.upload_id = r.upload_id""",
+    "upload_file": """
+        SELECT upload_id AS pos, CAST(upload_id % 28 AS INTEGER) AS project_id,
+               'talk_' || upload_id || CASE WHEN upload_id % 17 = 3 THEN '.txt' ELSE '.pdf' END
+                 AS file_name,
+               CAST(sum(octet_length(encode(body))) AS BIGINT) AS file_size
+        FROM chunks WHERE upload_id IN (SELECT upload_id FROM manifest WHERE complete)
+        GROUP BY upload_id""",
     "pages_long": """
         SELECT doc_id, CAST(generate_subscripts(p, 1) AS INTEGER) AS page_no, unnest(p) AS text
         FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents WHERE text <> '')""",
@@ -56,11 +75,11 @@ _VIEWS = {
                CAST(min(page_no) AS INTEGER) AS start_page,
                CAST(max(page_no) AS INTEGER) AS end_page,
                string_agg(text, chr(10) ORDER BY page_no) AS pages,
-               max(length(text)) > {limit} AS bad
+               bool_or(contains(text, '{fault}')) AS bad
         FROM pages_long GROUP BY ALL""",
-    "outline": r"""
+    "outline": """
         SELECT doc_id, page_no - 1 AS page, page_no - 1 AS pos, page_no % 3 + 1 AS line,
-               regexp_extract(text, '^[^.]*') AS bookmark
+               text AS bookmark
         FROM pages_long""",
     "status_events": """
         SELECT user_id AS file_id, event_id, ts,
@@ -109,6 +128,11 @@ _VIEWS = {
     "kept": """
         SELECT doc_id, CAST(sum(end_page - start_page + 1) AS BIGINT) AS n_pages
         FROM batches WHERE NOT bad GROUP BY doc_id""",
+    "kept_map": """
+        SELECT doc_id, start_page, end_page,
+               coalesce(sum(end_page - start_page + 1) OVER (PARTITION BY doc_id
+                 ORDER BY start_page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+        FROM batches WHERE NOT bad""",
     "headings": r"""
         SELECT regexp_extract(url, '^https?://([^/]+)', 1) AS doc_id,
                CAST(row_number() OVER (PARTITION BY regexp_extract(url, '^https?://([^/]+)', 1)
@@ -138,6 +162,25 @@ _SEGMENTS = """
 
 _COMPLETE = "WHERE upload_id IN (SELECT upload_id FROM manifest WHERE complete)"
 
+_UPLOAD_FILES = """
+    SELECT pos, project_id, file_name, file_size,
+           'uploads/' || project_id || '/' || pos || '/' || file_name AS file_path,
+           file_name LIKE '%.pdf' AND project_id < 25 AS accepted,
+           CASE WHEN file_name NOT LIKE '%.pdf' THEN 'Invalid file type. Only PDFs are allowed.'
+                WHEN project_id >= 25 THEN 'Project not found' END AS reject_reason
+    FROM upload_file"""
+
+_REATTACHED = """
+    SELECT o.doc_id, pos, line, CAST(before + page + 1 - (start_page - 1) AS BIGINT) AS page,
+           md5(bookmark) AS bookmark_md5
+    FROM outline o JOIN kept_map k
+      ON o.doc_id = k.doc_id AND page + 1 BETWEEN start_page AND end_page"""
+
+_PAGE_COUNTS = """
+    SELECT doc_id, counts.n_pages AS pages_before, coalesce(kept.n_pages, 0) AS pages_after,
+           counts.n_pages - coalesce(kept.n_pages, 0) AS pages_lost
+    FROM counts LEFT JOIN kept USING (doc_id)"""
+
 _SECTION = """
     SELECT doc_id, CAST((page_no - 1) // {size} AS INTEGER) AS section_no,
            CAST(min(page_no) AS INTEGER) AS start_page, CAST(count(*) AS INTEGER) AS n_pages,
@@ -171,6 +214,7 @@ _EXPIRED = """
     WHERE NOT complete AND upload_id < (SELECT max(upload_id) FROM manifest) - 24"""
 
 _QUERIES = {
+    "scan_documents": "SELECT doc_id, md5(text) AS text_md5 FROM documents WHERE text <> ''",
     "scan_clients": "SELECT id, name FROM clients",
     "append_files": "SELECT * FROM added_files",
     "bulk_union": f"""
@@ -194,7 +238,8 @@ _QUERIES = {
     "resolve_outputs": """
         SELECT id, 'order_' || id || '_OCRed_with_bookmarks.pdf' AS output_name,
                replace(file_path, '.pdf', '_OCRed_with_bookmarks.pdf') AS path,
-               CASE status WHEN 'Processed' THEN 'found' ELSE 'missing' END AS state
+               CASE WHEN status = 'Processed' AND id % 10 <> 0 THEN 'found' ELSE 'missing' END
+                 AS state
         FROM files""",
     "ingest_bulk": """
         SELECT u.batch, pos, first_bad IS NULL OR pos < first_bad AS accepted,
@@ -298,7 +343,7 @@ _QUERIES = {
     "results_to_file": f"""
         SELECT doc_id, batch_no, project_id, file_name,
                CASE WHEN bad THEN 'Failed' ELSE 'Processed' END AS status,
-               CASE WHEN bad THEN '{TOO_LONG}' END AS error
+               CASE WHEN bad THEN '{FAULT_TEXT}' END AS error
         FROM batches JOIN files ON doc_id = id""",
     "project_summary": """
         SELECT c.name AS client_name, p.name AS project_name, count(f.id) AS n_files,
@@ -314,7 +359,12 @@ _QUERIES = {
         UNION ALL SELECT DISTINCT 'project', name FROM projects""",
     "assemble_chunks": _SEGMENTS.format(size=16, where=_COMPLETE),
     "assemble_segments": _SEGMENTS.format(size=4, where=""),
-    "upload_manifest": "SELECT upload_id, n_chunks, total_chunks, complete FROM manifest",
+    "upload_manifest": """
+        SELECT upload_id, n_chunks, total_chunks, n_rejected, complete FROM manifest""",
+    "upload_to_files": _UPLOAD_FILES,
+    "stream_upload_to_files": _UPLOAD_FILES,
+    "rejected_chunks": """
+        SELECT *, 'Chunk index is missing or out of range' AS reject_reason FROM bad_chunks""",
     "upload_sizes": f"""
         SELECT upload_id, count(*) AS n_chunks,
                CAST(sum(octet_length(encode(body))) AS BIGINT) AS file_size
@@ -323,14 +373,21 @@ _QUERIES = {
     "gather_lines": """
         SELECT l_orderkey AS doc_id, CAST(0 AS INTEGER) AS section_no,
                CAST(count(*) AS INTEGER) AS n_pages,
-               md5(string_agg(line, chr(10) ORDER BY l_linenumber, line)) AS text_md5
-        FROM (SELECT l_orderkey, l_linenumber, l_partkey || '|' || l_suppkey || '|'
-                || l_returnflag || '|' || l_linestatus AS line FROM lineitem)
+               md5(string_agg(line, chr(10) ORDER BY l_linenumber)) AS text_md5
+        FROM (SELECT l_orderkey, l_linenumber, min(l_partkey || '|' || l_suppkey || '|'
+                || l_returnflag || '|' || l_linestatus) AS line FROM lineitem GROUP BY 1, 2)
         GROUP BY l_orderkey""",
-    "page_counts": """
-        SELECT doc_id, counts.n_pages AS pages_before, coalesce(kept.n_pages, 0) AS pages_after,
-               counts.n_pages - coalesce(kept.n_pages, 0) AS pages_lost
-        FROM counts LEFT JOIN kept USING (doc_id)""",
+    "page_counts": _PAGE_COUNTS,
+    "run_page_counts": _PAGE_COUNTS,
+    "run_outline": _REATTACHED,
+    "run_status": """
+        SELECT doc_id, CASE WHEN bool_or(bad) THEN 'Failed' ELSE 'Processed' END AS status,
+               count(*) FILTER (bad) AS n_failed, CAST(NULL AS VARCHAR) AS error
+        FROM batches GROUP BY doc_id
+        UNION ALL
+        SELECT doc_id, 'Failed', CAST(NULL AS BIGINT), 'Document has no pages'
+        FROM documents WHERE text = ''""",
+    "run_abort": f"SELECT * FROM ({_RUN}) WHERE doc_id NOT IN (SELECT doc_id FROM batches WHERE bad)",
     "status_latest": _STATUS,
     "apply_status": f"""
         SELECT id, file_name, coalesce(l.status, f.status) AS status,
@@ -349,9 +406,10 @@ _QUERIES = {
                      c_custkey * 20 IN (SELECT id FROM files) AS known
               FROM customer)""",
     "status_rollup": """
-        SELECT doc_id, count(*) AS n_batches, count(*) FILTER (bad) AS n_failed,
-               CASE WHEN bool_or(bad) THEN 'Failed' ELSE 'Processed' END AS status
-        FROM batches GROUP BY doc_id""",
+        SELECT doc_id, count(*) AS n_batches, count(*) FILTER (bad AND NOT late) AS n_failed,
+               CASE WHEN bool_or(bad AND NOT late) THEN 'Failed' WHEN bool_or(late)
+                    THEN 'Processing' ELSE 'Processed' END AS status
+        FROM (SELECT *, doc_id % 13 = 5 AND batch_no = 0 AS late FROM batches) GROUP BY doc_id""",
     "unique_first": """
         SELECT doc_id, doc_id = min(doc_id) OVER (PARTITION BY text) AS accepted,
                CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY text)
@@ -390,14 +448,12 @@ _QUERIES = {
                trim(regexp_replace(title, '<[^>]*>', '', 'g')) AS bookmark
         FROM (SELECT doc_id, page, generate_subscripts(levels, 1) AS pos,
                      unnest(levels) AS level, unnest(titles) AS title FROM headings)""",
-    "reattach_outline": """
-        SELECT doc_id, pos, line, page + 1 AS page, md5(bookmark) AS bookmark_md5
-        FROM outline JOIN kept USING (doc_id) WHERE page < n_pages""",
+    "reattach_outline": _REATTACHED,
     "strip_document_fields": "SELECT doc_id, page_no, md5(text) AS text_md5 FROM pages_long",
     "recognise_batches": f"""
         SELECT doc_id, batch_no, start_page, end_page,
                CASE WHEN bad THEN 'Failed' ELSE 'Processed' END AS status,
-               CASE WHEN bad THEN '{TOO_LONG}' END AS error,
+               CASE WHEN bad THEN '{FAULT_TEXT}' END AS error,
                CASE WHEN NOT bad THEN md5(replace(pages, 'e', 'E')) END AS pages_md5
         FROM batches""",
     "failure_policy": """
@@ -420,6 +476,12 @@ _QUERIES = {
     "stream_gather": """
         SELECT doc_id, count(*) AS n_batches, count(*) FILTER (bad) AS n_failed
         FROM batches GROUP BY doc_id""",
+    "stream_expire_runs": """
+        SELECT doc_id, count(*) AS n_batches, count(*) - 1 AS n_reported,
+               count(*) FILTER (bad AND batch_no > 0) AS n_failed
+        FROM batches GROUP BY doc_id
+        HAVING doc_id % 3 = 0 AND count(*) > 1 AND doc_id + 24 <
+          (SELECT max(doc_id) FROM batches WHERE NOT (doc_id % 3 = 0 AND batch_no = 0))""",
     "status_windows": """
         SELECT strftime(time_bucket(INTERVAL '10 seconds', ts), '%Y-%m-%d %H:%M:%S.%f')
                  AS window_start, status, count(*) AS n_events
@@ -446,7 +508,7 @@ def _needed(sql: str) -> list[str]:
 
 def _statement(sql: str) -> str:
     views = ",\n".join(
-        f"{name} AS ({_VIEWS[name].format(limit=PAGE_LIMIT).strip()})" for name in _needed(sql)
+        f"{name} AS ({_VIEWS[name].format(fault=FAULT).strip()})" for name in _needed(sql)
     )
     body = sql.replace("{{", "{").replace("}}", "}").strip()
     return f"WITH {views}\n{body}" if views else body

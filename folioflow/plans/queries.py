@@ -15,8 +15,8 @@ from folioflow.functions import names, rules
 from folioflow.operators import (
     batching, catalog, ingest, maintenance, merge, outline, recognise, status,
 )
-from folioflow.plans.document_run import merged_sections
-from folioflow.plans.views import Views, sample_page_function, status_events, text_time
+from folioflow.plans.document_run import Run, merged_sections, run_documents
+from folioflow.plans.views import Views, sample_page_function, text_time
 from folioflow.sources import storage
 from folioflow.streaming import runs, sinks, uploads
 
@@ -48,8 +48,15 @@ def shown_files(files: DataFrame) -> DataFrame:
 
 @query
 def scan_documents(v: Views) -> DataFrame:
-    found = storage.scan_documents(v.spark, v.folder, "*.parquet", content=False)
-    return found.select("file_name", "file_size")
+    """Documents stored as one file each, found in their folders and read with content."""
+    folder = storage.shared_folder(v.spark)
+    documents = v.documents().where(F.col("text") != "")
+    documents.write.partitionBy("doc_id").option("lineSep", "\n").text(folder)
+    found = storage.text_documents(storage.scan_documents(v.spark, folder, "*.txt"))
+    # The writer ends each row with a line end.
+    text = F.substring("text", F.lit(1), F.length("text") - 1)
+    number = F.regexp_extract("doc_id", "doc_id=([0-9]+)/", 1).cast("bigint")
+    return found.select(number.alias("doc_id"), F.md5(text).alias("text_md5"))
 
 
 @query
@@ -71,7 +78,11 @@ def taken_uploads(v: Views) -> DataFrame:
 def append_files(v: Views) -> DataFrame:
     created = F.lit("2024-01-01 00:00:00").cast("timestamp")
     added = ingest.new_files(taken_uploads(v), v.files(), created)
-    return shown_files(added).drop("completed_at")
+    folder = storage.shared_folder(v.spark)
+    storage.append_rows(v.files(), folder)
+    storage.append_rows(added, folder)
+    stored = v.spark.read.schema(added.schema).parquet(folder)
+    return shown_files(stored.where(F.col("uuid").isNotNull())).drop("completed_at")
 
 
 @query
@@ -120,14 +131,16 @@ def write_merged(v: Views) -> DataFrame:
 
 @query
 def resolve_outputs(v: Views) -> DataFrame:
-    done = v.files().where(F.col("status") == rules.PROCESSED)
+    """Against a stored listing from which some outputs of processed files are gone."""
+    done = v.files().where((F.col("status") == rules.PROCESSED) & (F.col("id") % 10 != 0))
     outputs = done.select(
         F.concat(
             names.parent_folder(F.col("file_path")), F.lit("/"),
             names.outlined_name(F.col("file_name")),
         ).alias("path")
     )
-    return storage.resolve_outputs(v.files(), outputs)
+    listing = storage.written(outputs, storage.shared_folder(v.spark))
+    return storage.resolve_outputs(v.files(), listing)
 
 
 @query
@@ -331,12 +344,12 @@ def segment_rows(segments: DataFrame) -> DataFrame:
 
 @query
 def assemble_chunks(v: Views) -> DataFrame:
-    return segment_rows(ingest.assemble_chunks(v.chunks()))
+    return segment_rows(ingest.assemble_chunks(v.chunks(), "sent"))
 
 
 @query
 def assemble_segments(v: Views) -> DataFrame:
-    return segment_rows(ingest.assemble_segments(v.chunks(), segment_chunks=4))
+    return segment_rows(ingest.assemble_segments(v.chunks(), "sent", segment_chunks=4))
 
 
 @query
@@ -346,12 +359,26 @@ def upload_manifest(v: Views) -> DataFrame:
 
 @query
 def upload_sizes(v: Views) -> DataFrame:
-    return ingest.upload_sizes(ingest.assemble_chunks(v.chunks()))
+    return ingest.upload_sizes(v.chunks(), "sent")
+
+
+@query
+def upload_to_files(v: Views) -> DataFrame:
+    """Complete uploads checked and named as files, accepted or rejected."""
+    return ingest.upload_files(v.chunks(), v.projects(), "sent")
+
+
+@query
+def rejected_chunks(v: Views) -> DataFrame:
+    rejects = ingest.rejected_rows(ingest.check_chunks(v.chunks()))
+    return rejects.select("upload_id", "chunk_index", "total_chunks", "reject_reason")
 
 
 @query
 def gather_batches(v: Views) -> DataFrame:
-    merged = merge.gather(v.batches(), section_pages=50)
+    """Every fifth document's batches are reported twice."""
+    twice = v.batches().where(F.col("doc_id") % 5 == 0)
+    merged = merge.gather(v.batches().unionByName(twice), section_pages=50)
     return merged.select(
         "doc_id", "section_no", "start_page", "n_pages", digest(F.col("pages")).alias("text_md5")
     )
@@ -359,7 +386,10 @@ def gather_batches(v: Views) -> DataFrame:
 
 @query
 def gather_lines(v: Views) -> DataFrame:
-    """The lines of every order, put in line order like the batches of a document."""
+    """The lines of every order, put in line order like the batches of a document.
+
+    Some line numbers occur more than once in an order; the least of their lines counts.
+    """
     text = F.concat_ws("|", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus")
     lines = v.table("lineitem").select(
         F.col("l_orderkey").alias("doc_id"),
@@ -412,7 +442,10 @@ def start_runs(v: Views) -> DataFrame:
 
 @query
 def status_rollup(v: Views) -> DataFrame:
-    return recognise.status_rollup(v.batch_results())
+    """With some first batches that have not reported yet."""
+    late = (F.col("doc_id") % 13 == 5) & (F.col("batch_no") == 0)
+    results = v.batch_results().select("doc_id", "batch_no", "status").where(~late)
+    return recognise.status_rollup(results, expected_batches(v))
 
 
 @query
@@ -522,22 +555,23 @@ def concat_pages(v: Views) -> DataFrame:
 
 @query
 def extract_outline(v: Views) -> DataFrame:
-    return outline.extract_outline(v.html_pages())
+    entries = outline.extract_outline(v.hosted_pages(), "doc_id", "page_id")
+    return entries.join(v.page_numbers(), "page_id").select(
+        "doc_id", "page", "pos", "line", "bookmark"
+    )
 
 
 @query
 def reattach_outline(v: Views) -> DataFrame:
     kept = recognise.apply_policy(v.batch_results(), "skip")
-    lengths = merge.page_counts(kept.withColumn("n_pages", F.size("pages")))
-    return outline.reattach_outline(v.outline(), lengths).select(
+    return outline.reattach_outline(v.outline(), kept).select(
         "doc_id", "pos", "line", "page", F.md5("bookmark").alias("bookmark_md5")
     )
 
 
 @query
 def strip_document_fields(v: Views) -> DataFrame:
-    documents = v.table("documents")
-    pages = v.pages_long().join(documents.drop("text"), "doc_id")
+    pages = batching.pages_long(v.table("documents"), carry=["lang", "source", "n_chars"])
     return merge.strip_document_fields(pages).select(
         "doc_id", "page_no", F.md5("text").alias("text_md5")
     )
@@ -557,11 +591,13 @@ def recognise_batches(v: Views) -> DataFrame:
 @query
 def failure_policy(v: Views) -> DataFrame:
     """Pages left in each document under each policy."""
-    folder = storage.shared_folder(v.spark)
-    results = storage.written(v.batch_results(), f"{folder}/results")
+    sizes = v.batch_results().select(
+        "doc_id", "status", F.size("pages").alias("pages"), F.size("source_pages").alias("source_pages")
+    )
+    results = storage.written(sizes, storage.shared_folder(v.spark))
     outcomes = [
         merge.page_counts(
-            recognise.apply_policy(results, on_error).withColumn("n_pages", F.size("pages"))
+            recognise.apply_policy(results, on_error).withColumnRenamed("pages", "n_pages")
         ).select(F.lit(on_error).alias("on_error"), "doc_id", "n_pages")
         for on_error in recognise.ON_ERROR
     ]
@@ -599,18 +635,65 @@ def document_run_options(v: Views) -> DataFrame:
     )
 
 
+def whole_run(v: Views, on_error: str) -> Run:
+    folder = storage.shared_folder(v.spark)
+    return run_documents(v.documents(), v.outline(), sample_page_function, folder, on_error)
+
+
+@query
+def run_status(v: Views) -> DataFrame:
+    return whole_run(v, "skip").status
+
+
+@query
+def run_outline(v: Views) -> DataFrame:
+    return whole_run(v, "skip").outline.select(
+        "doc_id", "pos", "line", "page", F.md5("bookmark").alias("bookmark_md5")
+    )
+
+
+@query
+def run_page_counts(v: Views) -> DataFrame:
+    return whole_run(v, "skip").page_counts
+
+
+@query
+def run_abort(v: Views) -> DataFrame:
+    """Sections of the documents without a failed batch; the others are left out whole."""
+    return run_rows(whole_run(v, "abort").sections)
+
+
 # Streams: each run is driven to its end and compares with its batch twin
 
 
-def _streamed(v: Views, rows: DataFrame, files: int = 2) -> tuple[DataFrame, str]:
-    """Write rows to a few files and open them as a stream of one file per micro-batch."""
-    folder = storage.shared_folder(v.spark)
-    storage.written(rows.repartition(files), f"{folder}/source")
-    return sinks.file_stream(v.spark, f"{folder}/source", rows.schema, 1), folder
+MICRO_BATCHES = 4
 
 
-def _landed_parts(v: Views, chunks: DataFrame, files: int = 2) -> tuple[DataFrame, str]:
-    stream, folder = _streamed(v, chunks, files)
+def _streamed(v: Views, rows: DataFrame, time: str | None = None) -> tuple[DataFrame, str]:
+    """Write rows as files and open them as a stream of at least four micro-batches.
+
+    The files are written by as many tasks as the rows have. With `time`, four stretches of
+    it are written one after the other, so that no file is late for another.
+    """
+    folder = storage.shared_folder(v.spark)
+    source = f"{folder}/source"
+    if time:
+        ends = rows.agg(F.min(time).cast("double").alias("a"), F.max(time).cast("double").alias("b")).first()
+        width = (ends.b - ends.a) / MICRO_BATCHES or 1.0
+        place = F.floor((F.col(time).cast("double") - ends.a) / width)
+        for k in range(MICRO_BATCHES):
+            storage.append_rows(rows.where(F.least(place, F.lit(MICRO_BATCHES - 1)) == k), source)
+    else:
+        each = rows.count() // MICRO_BATCHES or 1
+        rows.write.option("maxRecordsPerFile", each).parquet(source)
+    files = len(v.spark.read.schema(rows.schema).parquet(source).inputFiles())
+    return sinks.file_stream(v.spark, source, rows.schema, files // MICRO_BATCHES or 1), folder
+
+
+def _landed_parts(
+    v: Views, chunks: DataFrame, time: str | None = None
+) -> tuple[DataFrame, str]:
+    stream, folder = _streamed(v, chunks, time)
     uploads.start_parts(
         stream, f"{folder}/parts", f"{folder}/parts_log", available_now=True
     ).awaitTermination()
@@ -625,29 +708,47 @@ def stream_assemble(v: Views) -> DataFrame:
     ).awaitTermination()
     landed = storage.read_table(v.spark, f"{folder}/parts")
     complete = storage.read_table(v.spark, f"{folder}/complete")
-    return segment_rows(uploads.assembled(landed, complete))
+    return segment_rows(uploads.assembled(landed, complete, "sent"))
+
+
+@query
+def stream_upload_to_files(v: Views) -> DataFrame:
+    parts, folder = _landed_parts(v, v.chunks())
+    landed = storage.read_table(v.spark, f"{folder}/parts")
+    uploads.start_files(
+        parts, landed, v.projects(), "sent", f"{folder}/files", f"{folder}/files_log",
+        available_now=True,
+    ).awaitTermination()
+    return storage.read_table(v.spark, f"{folder}/files").drop("batch_id")
 
 
 @query
 def stream_status(v: Views) -> DataFrame:
-    stream, folder = _streamed(v, v.status_events())
+    stream, folder = _streamed(v, v.status_events(), "ts")
     latest = runs.stream_status(stream)
     sinks.updates_to(
         latest, f"{folder}/status", f"{folder}/status_log", available_now=True
     ).awaitTermination()
-    now = sinks.read_updates(v.spark, f"{folder}/status", latest.schema, ["file_id"])
+    stored = (v.spark, f"{folder}/status", latest.schema, ["file_id"], runs.STATUS_VERSION)
+    now = sinks.read_updates(*stored, since=sinks.compact_updates(*stored)).drop("event_id")
     return now.withColumns({c: text_time(F.col(c)) for c in ("updated_at", "completed_at")})
 
 
+def expected_batches(v: Views) -> DataFrame:
+    counts = batching.source_page_counts(v.documents()).where(F.col("n_pages") > 0)
+    return counts.select(
+        "doc_id", F.ceil(F.col("n_pages") / batching.BATCH_PAGES).alias("n_batches")
+    )
+
+
+def reported(v: Views, started_at: Column) -> DataFrame:
+    results = v.batch_results().select("doc_id", "batch_no", "status")
+    return results.join(expected_batches(v), "doc_id").withColumn("started_at", started_at)
+
+
 @query
 def stream_gather(v: Views) -> DataFrame:
-    counts = batching.source_page_counts(v.documents())
-    expected = counts.select(
-        "doc_id",
-        F.ceil(F.col("n_pages") / batching.BATCH_PAGES).alias("n_batches"),
-        F.lit("2024-01-01 00:00:00").cast("timestamp").alias("started_at"),
-    )
-    results = v.batch_results().select("doc_id", "batch_no", "status").join(expected, "doc_id")
+    results = reported(v, F.lit("2024-01-01 00:00:00").cast("timestamp"))
     stream, folder = _streamed(v, results)
     finished = runs.stream_gather(stream)
     sinks.updates_to(
@@ -658,15 +759,26 @@ def stream_gather(v: Views) -> DataFrame:
     )
 
 
-def _event_stream(v: Views) -> DataFrame:
-    schema = v.table("events").schema
-    return status_events(sinks.file_stream(v.spark, v.folder, schema, pattern="events.parquet"))
+@query
+def stream_expire_runs(v: Views) -> DataFrame:
+    """Runs started one hour apart, of which some lack a batch."""
+    hour = F.make_dt_interval(hours=F.col("doc_id").cast("int"))
+    results = reported(v, F.lit("2024-01-01 00:00:00").cast("timestamp") + hour)
+    missing = (F.col("doc_id") % 3 == 0) & (F.col("batch_no") == 0)
+    stream, folder = _streamed(v, results.where(~missing), "started_at")
+    sinks.append_to(
+        runs.stream_expire_runs(stream), f"{folder}/expired", f"{folder}/expired_log",
+        available_now=True,
+    ).awaitTermination()
+    return storage.read_table(v.spark, f"{folder}/expired").select(
+        "doc_id", "n_batches", "n_reported", "n_failed"
+    )
 
 
 @query
 def status_windows(v: Views) -> DataFrame:
-    folder = storage.shared_folder(v.spark)
-    counted = runs.status_windows(_event_stream(v))
+    stream, folder = _streamed(v, v.status_events(), "ts")
+    counted = runs.status_windows(stream)
     sinks.updates_to(
         counted, f"{folder}/windows", f"{folder}/windows_log", available_now=True
     ).awaitTermination()
@@ -703,8 +815,7 @@ def expired_uploads(v: Views) -> DataFrame:
 
 @query
 def stream_expire(v: Views) -> DataFrame:
-    # One source file: files come in no order of time, so none may be late for another.
-    parts, folder = _landed_parts(v, daily_chunks(v), files=1)
+    parts, folder = _landed_parts(v, daily_chunks(v), "started_at")
     uploads.start_expiry(
         parts, f"{folder}/expired", f"{folder}/expired_log", available_now=True
     ).awaitTermination()

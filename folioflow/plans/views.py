@@ -10,22 +10,18 @@ from pyspark.sql import functions as F
 from folioflow.functions import rules
 from folioflow.operators import batching, ordering, recognise
 
-# Longest page the sample page function takes; batches with a longer one fail.
-PAGE_LIMIT = 1000
-TOO_LONG = "page is too long"
+# The fault set: a batch with a page that holds this letter fails.
+FAULT = "\u00df"
+FAULT_TEXT = "page holds a letter that is not known"
 
 
 def sample_page_function(pages: pa.Array) -> pa.Array:
-    """Stands in for a real recogniser: rewrites each page and refuses over-long ones."""
-    if pc.max(pc.utf8_length(pages)).as_py() > PAGE_LIMIT:
-        raise ValueError(TOO_LONG)
+    """Stands in for a real recogniser: rewrites each page and refuses those of the fault set."""
+    if pc.any(pc.match_substring(pages, FAULT)).as_py():
+        raise ValueError(FAULT_TEXT)
     return pc.replace_substring(pages, "e", "E")
 
 
-def first_sentence(text: Column) -> Column:
-    return F.regexp_extract(text, r"^[^.]*", 0)
-
-
 def text_time(time: Column) -> Column:
     return F.date_format(time, "yyyy-MM-dd HH:mm:ss.SSSSSS")
 
@@ -111,19 +107,39 @@ class Views:
         )
 
     def chunks(self) -> DataFrame:
-        """Conversations as uploads: one that stops at a user turn lacks its last chunk."""
+        """Conversations as uploads: one that stops at a user turn lacks its last chunk.
+
+        Every fifth upload sends its first chunk again with another body; every eleventh
+        sends one without an index, and every thirteenth one that is out of range.
+        """
         turns = self.table("conversations")
         totals = turns.groupBy("conv_id").agg(
             (F.max("turn") + 1).alias("_seen"), F.max(F.struct("turn", "role")).alias("_last")
         )
         waiting = F.when(F.col("_last.role") == "user", 1).otherwise(0)
-        return turns.join(totals, "conv_id").select(
-            F.col("conv_id").alias("upload_id"),
+        key = F.col("conv_id")
+        sent = turns.join(totals, "conv_id").select(
+            key.alias("upload_id"),
             F.col("turn").alias("chunk_index"),
             (F.col("_seen") + waiting).alias("total_chunks"),
             F.col("text").alias("body"),
-            F.timestamp_seconds(F.lit(1_704_067_200) + F.col("conv_id")).alias("started_at"),
+            F.timestamp_seconds(F.lit(1_704_067_200) + key).alias("started_at"),
+            F.col("turn").alias("sent"),
+            F.concat(F.lit("talk "), key, F.when(key % 17 == 3, ".txt").otherwise(".pdf"))
+            .alias("file_name"),
+            (key % 28).cast("int").alias("project_id"),
         )
+        first = sent.where(F.col("chunk_index") == 0)
+        again = first.where(F.col("upload_id") % 5 == 0).withColumns(
+            {"body": F.concat(F.col("body"), F.lit(" again")), "sent": F.lit(1_000_000).cast("bigint")}
+        )
+        nowhere = first.where(F.col("upload_id") % 11 == 0).withColumn(
+            "chunk_index", F.lit(None).cast("bigint")
+        )
+        beyond = first.where(F.col("upload_id") % 13 == 0).withColumn(
+            "chunk_index", F.col("total_chunks")
+        )
+        return sent.unionByName(again).unionByName(nowhere).unionByName(beyond)
 
     def raw_chunks(self) -> DataFrame:
         return self.table("conversations").select(
@@ -142,23 +158,28 @@ class Views:
         return recognise.recognise_batches(self.batches(), sample_page_function)
 
     def outline(self) -> DataFrame:
-        """One entry per page: its first sentence."""
+        """One entry per page: its whole text."""
         page = F.col("page_no")
         return self.pages_long().select(
             "doc_id",
             (page - 1).alias("page"),
             (page - 1).alias("pos"),
             (page % 3 + 1).alias("line"),
-            first_sentence(F.col("text")).alias("bookmark"),
+            F.col("text").alias("bookmark"),
         )
 
-    def html_pages(self) -> DataFrame:
-        """Web pages as the pages of one document per host."""
-        hosted = self.table("pages").select(
+    def hosted_pages(self) -> DataFrame:
+        """Web pages with their host as the document."""
+        return self.table("pages").select(
             F.regexp_extract("url", r"^https?://([^/]+)", 1).alias("doc_id"), "page_id", "html"
         )
-        ranked = ordering.rank_from_zero(hosted.drop("html"), ["doc_id"], "page_id", "page")
-        return hosted.join(ranked.select("page_id", "page"), "page_id")
+
+    def page_numbers(self) -> DataFrame:
+        """Place of each web page in the document of its host."""
+        hosted = self.hosted_pages().drop("html")
+        return ordering.rank_from_zero(hosted, ["doc_id"], "page_id", "page").select(
+            "page_id", "page"
+        )
 
     def status_events(self) -> DataFrame:
         return status_events(self.table("events"))

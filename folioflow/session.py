@@ -16,8 +16,13 @@ SETTINGS = {
 }
 
 
-def local_session(cores: int = 8, name: str = "folioflow") -> SparkSession:
-    """A local session for tests and the benchmark; clusters bring their own."""
+def local_session(
+    cores: int = 8, name: str = "folioflow", shared: str | None = None
+) -> SparkSession:
+    """A local session for tests and the benchmark; clusters bring their own.
+
+    `shared` is its folder for written intermediates.
+    """
     builder = SparkSession.builder.master(f"local[{cores}]").appName(name)
     settings = {
         **SETTINGS,
@@ -26,6 +31,8 @@ def local_session(cores: int = 8, name: str = "folioflow") -> SparkSession:
         "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "8g",
     }
+    if shared:
+        settings["spark.checkpoint.dir"] = shared
     for key, value in settings.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -53,15 +52,19 @@ def read_jdbc_table(
     url: str,
     table: str,
     partition_column: str = "id",
-    lower: int = 0,
-    upper: int = 1,
+    lower: int | None = None,
+    upper: int | None = None,
     partitions: int = 1,
     **options: str,
 ) -> DataFrame:
     """A catalogue table kept in a relational database, read in parallel key ranges.
 
-    The bounds only place the cuts: rows outside them are read by the first and last task.
+    With one partition, the default, one task reads the whole table: fit for small dimension
+    tables only. More partitions need both bounds of the key; they only place the cuts, rows
+    outside them are read by the first and last task.
     """
+    if partitions > 1 and (lower is None or upper is None):
+        raise ValueError("more than one partition needs lower and upper bounds")
     reader = spark.read.format("jdbc").options(url=url, dbtable=table, **options)
     if partitions > 1:
         reader = reader.options(
@@ -112,14 +115,12 @@ def resolve_outputs(files: DataFrame, outputs: DataFrame) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """A new folder below `spark.checkpoint.dir` for written intermediates and checkpoints.
 
-    A cluster must name a folder there that all executors reach. Only a local session, as in
-    tests, may leave it out and gets a temporary one.
+    That setting names a folder that all executors reach. Where it is unset, a folder in the
+    warehouse, which they share as well, takes its place.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
-        base = tempfile.mkdtemp(prefix="folioflow-")
+        base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/intermediates"
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 

@@ -6,19 +6,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.functions import rules
-from folioflow.operators.status import status_latest
 from folioflow.streaming.sinks import POLL_INTERVAL
 
 # Fixed value: the time a document run may take.
 RUN_TTL = "24 hours"
 
 
-def stream_status(events: DataFrame) -> DataFrame:
-    """Latest status per file, for update mode.
+def stream_status(events: DataFrame, ttl: str = RUN_TTL) -> DataFrame:
+    """Latest status per file and day of event time, for update mode.
 
-    Late events are harmless: event time decides. State is one row per file.
+    State is one row per file and day, dropped when the watermark has passed the day; so files
+    that stay quiet cost nothing. Event time decides: read the written updates with
+    `read_updates(..., keys=["file_id"], version=STATUS_VERSION)`, by which a late event never
+    wins, whatever micro-batch it came in.
     """
-    return status_latest(events)
+    return (
+        events.withWatermark("ts", ttl)
+        .groupBy("file_id", F.window("ts", "1 day"))
+        .agg(F.max(F.struct("ts", "event_id", "status")).alias("_last"))
+        .select("file_id", "_last.status", F.col("_last.ts").alias("updated_at"), "_last.event_id")
+        .withColumn("completed_at", F.when(
+            F.col("status").isin(rules.PROCESSED, rules.FAILED), F.col("updated_at")
+        ))
+    )
+
+
+# Columns that order the versions of a file's status.
+STATUS_VERSION = ("updated_at", "event_id")
 
 
 def status_windows(
@@ -35,19 +49,32 @@ def status_windows(
     )
 
 
-def stream_gather(results: DataFrame, ttl: str = RUN_TTL) -> DataFrame:
-    """Documents whose batches have all reported, with success or error, for update mode.
+def run_counts(results: DataFrame, ttl: str = RUN_TTL) -> DataFrame:
+    """Batches reported per document, once each, with success or error.
 
-    A result has doc_id, batch_no, n_batches, status and `started_at` of its run. A batch
-    reported twice counts once, and each document comes out in exactly one micro-batch.
-    Only counts are kept: a document with very many batches is combined before the shuffle.
+    A result has doc_id, batch_no, n_batches, status and `started_at` of its run. Only counts
+    are kept: a document with very many batches is combined before the shuffle.
     """
     once = results.select("doc_id", "batch_no", "n_batches", "status", "started_at").withWatermark(
         "started_at", ttl
     ).dropDuplicatesWithinWatermark(["doc_id", "batch_no"])
-    counts = once.groupBy("doc_id", "started_at").agg(
+    return once.groupBy("doc_id", "started_at").agg(
         F.count(F.lit(1)).alias("n_reported"),
         F.max("n_batches").alias("n_batches"),
         F.count_if(F.col("status") == rules.FAILED).alias("n_failed"),
     )
-    return counts.where(F.col("n_reported") == F.col("n_batches"))
+
+
+def stream_gather(results: DataFrame, ttl: str = RUN_TTL) -> DataFrame:
+    """Documents whose batches have all reported, for update mode: each comes out in exactly
+    one micro-batch."""
+    return run_counts(results, ttl).where(F.col("n_reported") == F.col("n_batches"))
+
+
+def stream_expire_runs(results: DataFrame, ttl: str = RUN_TTL) -> DataFrame:
+    """Documents whose run was out of time before all batches had reported, for append mode.
+
+    A run of which no batch ever reported is in no stream of results; compare the documents
+    with both outputs to find it.
+    """
+    return run_counts(results, ttl).where(F.col("n_reported") < F.col("n_batches"))

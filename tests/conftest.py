@@ -15,8 +15,8 @@ from folioflow.session import local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = local_session(4, "folioflow-tests")
+def spark(tmp_path_factory):
+    session = local_session(4, "folioflow-tests", str(tmp_path_factory.mktemp("shared")))
     yield session
     session.stop()
 

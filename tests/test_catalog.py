@@ -32,7 +32,7 @@ def files(spark):
 
 
 def test_projects_with_files_keeps_everything_in_order(clients, projects, files):
-    listing = catalog.projects_with_files(projects, clients, files, part_files=16, block=32)
+    listing = catalog.projects_with_files(projects, clients, files, part_files=16)
     parts = sorted(listing.collect(), key=lambda r: (r.project_id, r.part_no))
     assert max(len(r.files) for r in parts) <= 16
     got = {}

@@ -218,10 +218,24 @@ def test_a_filter_on_the_outcome_does_not_call_the_function_again(documents):
 
 
 def test_status_rollup(spark):
-    data = [(1, "Processed"), (1, "Failed"), (2, "Processed"), (2, "Processed"), (3, "Processed"),
-            (3, "Processing")]
-    done = recognise.status_rollup(spark.createDataFrame(data, "doc_id long, status string"))
-    assert rows(done.select("doc_id", "status")) == [(1, "Failed"), (2, "Processed"), (3, "Processing")]
+    data = [(1, 0, "Processed"), (1, 1, "Failed"), (2, 0, "Processed"), (2, 1, "Processed"),
+            (2, 1, "Processed"), (3, 0, "Processed"), (3, 0, "Processed")]
+    expected = spark.createDataFrame([(1, 3), (2, 2), (3, 2), (4, 1)], "doc_id long, n_batches long")
+    results = spark.createDataFrame(data, "doc_id long, batch_no int, status string")
+    done = recognise.status_rollup(results, expected)
+    assert rows(done.select("doc_id", "status")) == [
+        (1, "Failed"), (2, "Processed"), (3, "Processing"), (4, "Processing")]
+
+
+def test_a_batch_reported_twice_counts_once(spark):
+    data = [(1, 1, ["a", "b"]), (1, 3, ["c"]), (1, 1, ["a", "b"]), (1, 3, ["d"])]
+    merged = merge.gather(spark.createDataFrame(data, "doc_id long, start_page int, pages array<string>"))
+    assert [r.pages for r in merged.collect()] == [["a", "b", "c"]]
+
+
+def test_sections_refuse_to_abort(spark, documents):
+    with pytest.raises(ValueError, match="abort"):
+        merged_sections(documents, flaky, "abort")
 
 
 def test_whole_run(spark, documents):
@@ -241,26 +255,42 @@ def test_whole_run(spark, documents):
             assert run.outline.count() == sum(EDGE_SIZES)
         elif policy == "skip":
             assert {n for n, c in lost.items() if c} == failed
+            # Entries follow their pages: each names the text of the page it points to.
+            pages = {(r.doc_id, r.page_no): r.text for r in merge.merged_pages(run.sections).collect()}
+            found = {(r.doc_id, r.page): r.bookmark for r in run.outline.collect()}
+            assert len(found) == len(pages) > 0
+            assert all(found[key].lower() == text.lower() for key, text in pages.items())
         else:
             assert {n: c for n, c in lost.items() if c} == {n: n for n in failed}
 
 
 def test_running_total_against_brute_force(spark):
     rng = random.Random(5)
-    # One group holds a third of all rows and spans many blocks.
+    # One group holds a third of all rows and spans many partitions.
     data = [("hot", p, rng.randint(0, 9)) for p in rng.sample(range(100_000), 2000)]
     data += [(f"g{i % 40}", 7 * i, rng.randint(0, 9)) for i in range(4000)]
     frame = spark.createDataFrame(data, "g string, p long, v long").repartition(6)
-    got = ordering.running_total(frame, ["g"], "p", F.col("v"), "before", block=64)
+    got = ordering.running_total(frame, ["g"], "p", F.col("v"), "before")
     want, sums = {}, {}
     for g, p, v in sorted(data):
         want[g, p] = sums.get(g, 0)
         sums[g] = want[g, p] + v
     assert {(r.g, r.p): r.before for r in got.collect()} == want
-    ranks = ordering.rank_from_zero(frame.select("p").distinct(), [], "p", "n", block=1000)
+    ranks = ordering.rank_from_zero(frame.select("p").distinct(), [], "p", "n")
     assert [r.n for r in ranks.orderBy("p").collect()] == list(range(ranks.count()))
 
 
+def test_ranks_of_sparse_numbers_and_of_nulls(spark):
+    """Wide ids, one hot group and rows without a place; no row-sized window in one task."""
+    wide = [(None if i % 50 == 0 else i * 9_007_199_254_740 - 2**62, "hot" if i % 3 else f"g{i}") for i in range(3000)]
+    frame = spark.createDataFrame(wide, "p long, g string").repartition(5)
+    ranked = ordering.rank_from_zero(frame, [], "p", "n")
+    placed = ranked.where("p is not null").orderBy("p").collect()
+    assert [r.n for r in placed] == list(range(len(placed))) and ranked.where("n is null").count() == 60
+    hot = ordering.rank_from_zero(frame, ["g"], "p", "n").where("g = 'hot' and p is not null").orderBy("p")
+    assert [r.n for r in hot.collect()] == list(range(hot.count()))
+
+
 def test_offsets_skip_missing_inputs(spark):
     inputs = spark.createDataFrame(
         [("t", 0, 1), ("t", 1, 99), ("t", 2, 3), ("u", 0, 2)], "target string, pos long, doc_id long")
@@ -291,15 +321,24 @@ def test_outline_of_whole_document_keeps_numbers(spark):
     outlines = spark.createDataFrame(
         [(1, 0, 0, 1, "a"), (1, 4, 1, 2, "b"), (1, 5, 2, 1, "beyond"), (2, 0, 0, 1, "none")],
         "doc_id long, page int, pos int, line int, bookmark string")
-    lengths = spark.createDataFrame([(1, 5)], "doc_id long, n_pages int")
-    assert rows(outline.reattach_outline(outlines, lengths)) == [(1, 0, 1, "a", 1), (1, 1, 2, "b", 5)]
+    kept = spark.createDataFrame([(1, 1, 5)], "doc_id long, start_page int, end_page int")
+    assert rows(outline.reattach_outline(outlines, kept)) == [(1, 0, 1, "a", 1), (1, 1, 2, "b", 5)]
+
+
+def test_outline_follows_its_pages_past_a_dropped_batch(spark):
+    entries = [(1, p, p, 1, f"page {p}") for p in range(30)]
+    outlines = spark.createDataFrame(entries, "doc_id long, page int, pos int, line int, bookmark string")
+    kept = spark.createDataFrame([(1, 1, 10), (1, 21, 30)], "doc_id long, start_page int, end_page int")
+    want = [(p + 1, f"page {p}") for p in range(10)] + [(p - 9, f"page {p}") for p in range(20, 30)]
+    got = outline.reattach_outline(outlines, kept).select("page", "bookmark")
+    assert sorted(map(tuple, got.collect())) == sorted(want)
 
 
 def test_extract_outline(spark):
     html = '<H1 class="x">One <b>bold</b></H1><p>h1</p><h3>Three\nlines</h3><h2>open<h2>'
     pages = spark.createDataFrame([("d", 0, html), ("d", 1, "<p>none</p>"), ("e", 0, None)],
                                   "doc_id string, page int, html string")
-    assert rows(outline.extract_outline(pages)) == [
+    assert rows(outline.extract_outline(pages, "doc_id", "page")) == [
         ("d", 0, 0, 1, "One bold"), ("d", 0, 1, 3, "Three\nlines")]
 
 

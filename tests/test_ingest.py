@@ -6,7 +6,7 @@ from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from folioflow.functions import names, rules
-from folioflow.operators import ingest, sizing, status
+from folioflow.operators import ingest, status
 
 BATCHES = {
     "ok": ["a.pdf", "b.PDF"],
@@ -73,10 +73,10 @@ def test_upsert_gives_new_names_ids_in_order_of_use(spark):
     requests = spark.createDataFrame(
         [(i, c, f"p{i % 3}", 1) for i, c in enumerate(asked)],
         "pos long, client_name string, project_name string, user_id int").repartition(5)
-    after = ingest.upsert_clients(clients, requests, block=2)
+    after = ingest.upsert_clients(clients, requests)
     assert rows(after) == [(10, "new c"), (3, "old"), (7, "other"), (8, "new b"), (9, "new a")]
     projects = spark.createDataFrame([(100, "p0", 3, 1)], "id int, name string, client_id int, user_id int")
-    added = ingest.upsert_projects(projects, after, requests, block=8)
+    added = ingest.upsert_projects(projects, after, requests)
     ids = {"old": 3, "new b": 8, "new a": 9, "new c": 10}
     assert rows(added) == rows(spark.createDataFrame(
         [(101 + i, f"p{i % 3}", ids[c], 1) for i, c in enumerate(asked)],
@@ -130,28 +130,44 @@ def chunks(spark):
         data, "upload_id string, chunk_index int, total_chunks int, seq int, body binary")
 
 
-@pytest.mark.parametrize("broadcast_rows", [0, 1000])
-def test_only_complete_uploads_are_assembled(chunks, broadcast_rows):
-    segments = ingest.assemble_chunks(chunks, "seq", broadcast_rows=broadcast_rows)
+def test_only_complete_uploads_are_assembled(chunks):
+    segments = ingest.assemble_chunks(chunks, "seq")
     assert {r.upload_id: bytes(r.body) for r in segments.collect()} == {
         "whole": b"ABC", "single": b"one", "again": b"new!"}
-    assert rows(ingest.upload_sizes(segments)) == [("again", 2, 4), ("single", 1, 3), ("whole", 3, 3)]
+    assert rows(ingest.upload_sizes(chunks, "seq").select("upload_id", "n_chunks", "file_size")) == [("again", 2, 4), ("single", 1, 3), ("whole", 3, 3)]
     manifest = {r.upload_id: r.complete for r in ingest.upload_manifest(chunks).collect()}
     assert manifest == {"whole": True, "open": False, "single": True, "again": True, "stray": False}
 
 
+def test_unusable_chunks_are_kept_as_rejects(spark):
+    """An upload with a chunk that has no place is not complete, even if the others are all there."""
+    data = [("u", 0, 1, "a"), ("u", 1, 1, "b"), ("v", None, 2, "c"), ("w", 0, None, "d"), ("x", 0, 1, "e")]
+    chunks = spark.createDataFrame(data, "upload_id string, chunk_index int, total_chunks int, body string")
+    manifest = {r.upload_id: (r.n_chunks, r.n_rejected, r.complete) for r in ingest.upload_manifest(chunks).collect()}
+    assert manifest == {"u": (1, 1, False), "v": (0, 1, False), "w": (0, 1, False), "x": (1, 0, True)}
+    rejects = ingest.rejected_rows(ingest.check_chunks(chunks))
+    assert sorted(r.body for r in rejects.collect()) == ["b", "c", "d"]
+    assert {r.upload_id for r in ingest.assemble_chunks(chunks).collect()} == {"x"}
+
+
+def test_uploads_become_files(spark):
+    data = [(1, 0, 2, 1, "ab", "a b.pdf", 5), (1, 1, 2, 1, "é", "a b.pdf", 5), (1, 1, 2, 2, "ée", "a b.pdf", 5),
+            (2, 0, 1, 1, "x", "n.txt", 5), (3, 0, 1, 1, "x", "n.pdf", 9), (4, 0, 2, 1, "x", "open.pdf", 5)]
+    chunks = spark.createDataFrame(
+        data, "upload_id long, chunk_index int, total_chunks int, seq int, body string, file_name string, project_id int")
+    projects = spark.createDataFrame([(5,)], "id int")
+    files = {r.pos: r for r in ingest.upload_files(chunks, projects, "seq").collect()}
+    assert set(files) == {1, 2, 3}
+    assert (files[1].file_name, files[1].file_size, files[1].accepted) == ("a_b.pdf", 5, True)
+    assert files[1].file_path == "uploads/5/1/a_b.pdf"
+    assert files[2].reject_reason.startswith("Invalid file type") and files[3].reject_reason == "Project not found"
+
+
 def test_progress(spark):
     frame = spark.createDataFrame([(1, i) for i in range(3)], "upload_id int, chunk_index int")
     assert [r.percent for r in ingest.upload_progress(frame).orderBy("chunk_index").collect()] == [33, 66, 100]
 
 
-def test_broadcast_only_when_counted_small(spark):
-    keys = spark.range(10)
-    hinted = lambda f: "ResolvedHint" in f._jdf.queryExecution().analyzed().toString()
-    assert hinted(sizing.broadcast_if_small(keys, 10))
-    assert not hinted(sizing.broadcast_if_small(keys, 9))
-
-
 def test_latest_status_does_not_depend_on_order(spark):
     rng = random.Random(4)
     states = ["Not processed", "Processing", "Processed", "Failed"]

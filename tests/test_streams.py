@@ -52,7 +52,7 @@ def run_uploads(spark, feed, folder):
     parts = sinks.file_stream(spark, f"{folder}/parts", uploads.parts_schema(feed.batch()))
     uploads.start_completions(parts, f"{folder}/done", f"{folder}/log2", True).awaitTermination()
     landed = spark.read.parquet(f"{folder}/parts")
-    segments = uploads.assembled(landed, spark.read.parquet(f"{folder}/done"), segment_chunks=4)
+    segments = uploads.assembled(landed, spark.read.parquet(f"{folder}/done"), None, segment_chunks=4)
     whole = {}
     for r in sorted(segments.collect()):
         whole[r.upload_id] = whole.get(r.upload_id, "") + r.body
@@ -78,11 +78,11 @@ def test_chunks_in_any_order_with_restart(spark, feed, tmp_path):
     assert len(run_uploads(spark, feed, tmp_path)) == 12
     batch = ingest.assemble_chunks(feed.batch(), segment_chunks=4)
     landed = spark.read.parquet(f"{tmp_path}/parts")
-    streamed = uploads.assembled(landed, done, segment_chunks=4)
+    streamed = uploads.assembled(landed, done, None, segment_chunks=4)
     assert batch.exceptAll(streamed).count() == streamed.exceptAll(batch).count() == 0
 
 
-def test_incomplete_uploads_expire_and_late_chunks_are_dropped(spark, feed, tmp_path):
+def test_incomplete_uploads_expire_and_late_chunks_count_no_more(spark, feed, tmp_path):
     feed.add([chunk(spark, "stuck", 0, 2, "a", 0), chunk(spark, "fine", 0, 1, "b", 0)])
     feed.add([chunk(spark, "later", 0, 1, "c", 30 * HOUR)])
     feed.add([chunk(spark, "last", 0, 2, "d", 31 * HOUR)])
@@ -96,6 +96,7 @@ def test_incomplete_uploads_expire_and_late_chunks_are_dropped(spark, feed, tmp_
         return rows(spark.read.parquet(f"{tmp_path}/gone").select("upload_id", "n_chunks", "total_chunks"))
 
     assert run() == [("stuck", 1, 2)]
+    assert spark.read.parquet(f"{tmp_path}/parts").where("body = 'too late'").count() == 1
     feed.add([chunk(spark, "next", 0, 1, "e", 60 * HOUR)])
     assert run() == [("last", 1, 2), ("stuck", 1, 2)]
 
@@ -109,8 +110,11 @@ def test_status_stream_equals_batch(spark, tmp_path):
     def run():
         latest = runs.stream_status(feed.stream())
         sinks.updates_to(latest, f"{tmp_path}/s", f"{tmp_path}/l", True).awaitTermination()
-        now = sinks.read_updates(spark, f"{tmp_path}/s", latest.schema, ["file_id"])
+        stored = (spark, f"{tmp_path}/s", latest.schema, ["file_id"], runs.STATUS_VERSION)
+        now = sinks.read_updates(*stored).drop("event_id")
         batch = status.status_latest(feed.batch())
+        upto = sinks.compact_updates(*stored)
+        assert sinks.read_updates(*stored, since=upto).drop("event_id").exceptAll(batch).count() == 0
         assert now.exceptAll(batch).count() == batch.exceptAll(now).count() == 0
 
     feed.add(data[:40])
@@ -120,6 +124,33 @@ def test_status_stream_equals_batch(spark, tmp_path):
     run()
 
 
+def test_a_late_event_after_its_state_is_gone_never_wins(spark, tmp_path):
+    feed = Feed(spark, tmp_path / "in", "file_id int, status string, ts timestamp, event_id int")
+    feed.add([(1, "Processed", times(spark, 1000), 5)])
+    feed.add([(2, "Processing", times(spark, 90 * HOUR), 6)])
+    feed.add([(3, "Processing", times(spark, 91 * HOUR), 7)])
+    feed.add([(1, "Processing", times(spark, 500), 4), (1, "Failed", times(spark, 92 * HOUR), 8)])
+    feed.add([(1, "Processing", times(spark, 91 * HOUR), 9)])
+    latest = runs.stream_status(feed.stream())
+    sinks.updates_to(latest, f"{tmp_path}/s", f"{tmp_path}/l", True).awaitTermination()
+    stored = (spark, f"{tmp_path}/s", latest.schema, ["file_id"], runs.STATUS_VERSION)
+    now = {r.file_id: r.status for r in sinks.read_updates(*stored).collect()}
+    assert now == {1: "Failed", 2: "Processing", 3: "Processing"}
+
+
+def test_unfinished_runs_are_reported(spark, tmp_path):
+    feed = Feed(spark, tmp_path / "in",
+                "doc_id int, batch_no int, n_batches int, status string, started_at timestamp")
+    row = lambda d, b, n, hours: (d, b, n, "Processed", times(spark, hours * HOUR))
+    feed.add([row(1, 0, 2, 0), row(2, 0, 1, 0)])
+    feed.add([row(3, 0, 2, 30)])
+    feed.add([row(4, 0, 1, 31)])
+    gone = runs.stream_expire_runs(feed.stream())
+    sinks.append_to(gone, f"{tmp_path}/gone", f"{tmp_path}/log", True).awaitTermination()
+    found = spark.read.parquet(f"{tmp_path}/gone").select("doc_id", "n_reported", "n_batches")
+    assert rows(found) == [(1, 1, 2)]
+
+
 def test_windows_count_every_event_in_time(spark, tmp_path):
     feed = Feed(spark, tmp_path / "in", "file_id int, status string, ts timestamp, event_id int")
     feed.add([(1, "Processing", times(spark, s), s) for s in (0, 9, 10, 11)])
