@@ -9,9 +9,10 @@ Candidates share a band key. First, each text of a bucket meets the bucket's sma
 whose estimated similarity (equal low bits by bit counts, corrected for chance collisions) is
 near or above the threshold are confirmed on their full sets, and confirmed links give
 components. Then buckets that still hold several components, besides the smallest id, are
-compared in blocks of a bounded number of signatures, and only pairs of different components
-that the estimate lets through are confirmed. Texts of one component need no further
-comparison, so no link between components is lost.
+compared in blocks of a bounded number of texts: pairs of different components that the
+estimate lets through are confirmed there. Texts that links connect already need no further
+comparison, so a block returns fewer links than it has texts, and none between components is
+lost.
 
 At similarity 0.85, 25 bands of 5 minima miss a pair with probability 7e-7; the estimate's
 margin is five standard errors.
@@ -174,8 +175,21 @@ def estimate(a: str, b: str, settings: Settings) -> Column:
     return (equal - 2.0**-BITS) / (1 - 2.0**-BITS)
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, settings: Settings) -> DataFrame:
-    """The pairs (a, b) of ids whose full sets are similar enough."""
+def similar(x, y, percent: int) -> bool:
+    """Whether two sorted sets are similar enough."""
+    import numpy as np
+
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, set) of the documents with the given ids.
+
+    Always a shuffled join: the number of ids grows with the documents.
+    """
 
     def gather(batches):
         import pyarrow as pa
@@ -189,8 +203,15 @@ def confirmed(pairs: DataFrame, docs: DataFrame, settings: Settings) -> DataFram
                     names=["id", "set"],
                 )
 
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
+    wanted = ids.select(F.col("id").alias("doc_id")).distinct().hint("merge")
+    return texts.join(wanted, "doc_id", "left_semi").mapInArrow(gather, "id long, set array<long>")
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame:
+    """The pairs (a, b) of ids whose full sets are similar enough."""
+
     def compare(batches):
-        import numpy as np
         import pyarrow as pa
 
         for batch in batches:
@@ -198,16 +219,11 @@ def confirmed(pairs: DataFrame, docs: DataFrame, settings: Settings) -> DataFram
             good = []
             for i in range(batch.num_rows):
                 x, y = (c[i].values.to_numpy(zero_copy_only=False) for c in (first, second))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(100 * both >= settings.percent * (len(x) + len(y) - both))
+                good.append(similar(x, y, settings.percent))
             yield pa.record_batch([batch.column(0), batch.column(1)], names=["u", "v"]).filter(
                 pa.array(good, type=pa.bool_())
             )
 
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    sets = texts.join(ids, "doc_id", "left_semi").mapInArrow(gather, "id long, set array<long>")
-    sets = written(sets, "shingle-sets")
     full = (
         pairs.select("a", "b")
         .join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a")
@@ -230,10 +246,12 @@ def _pass(pairs: DataFrame, nodes: DataFrame, settings: Settings) -> DataFrame:
 
 
 def _blocks(rows: DataFrame, sizes: DataFrame, settings: Settings) -> DataFrame:
-    """Pairs of different components within buckets, by comparing blocks of signatures.
+    """Links between different components within buckets, by comparing blocks of texts.
 
-    rows: key, id, root, planes; sizes: key, members. A bucket's rows go to blocks by a hash of
-    the id, and each pair of blocks is one bounded group.
+    rows: key, id, root, planes, set; sizes: key, members. A bucket's rows go to blocks by a
+    hash of the id, and each pair of blocks is one bounded group. Pairs that the estimate lets
+    through are confirmed on the spot, unless links found before connect them already; so a
+    group returns fewer links than it has rows.
     """
     least = settings.least_estimate
 
@@ -243,19 +261,24 @@ def _blocks(rows: DataFrame, sizes: DataFrame, settings: Settings) -> DataFrame:
 
         planes = np.stack(frame["planes"].to_numpy()).view(np.uint64)
         planes = planes.reshape(len(frame), BITS, settings.minima // 64)
-        ids, roots = frame["id"].to_numpy(), frame["root"].to_numpy()
-        block = frame["block"].to_numpy()
+        ids, sets, block = (frame[name].to_numpy() for name in ("id", "set", "block"))
+        _, part = np.unique(frame["root"].to_numpy(), return_inverse=True)
         i, j = frame["i"].iloc[0], frame["j"].iloc[0]
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
         found = []
         for at in left:
             other = right[right > at] if i == j else right
+            other = other[part[other] != part[at]]
+            if not len(other):
+                continue
             bits = np.bitwise_or.reduce(planes[other] ^ planes[at], axis=1)
             equal = 1 - np.bitwise_count(bits).sum(axis=1) / settings.minima
             near = (equal - 2.0**-BITS) / (1 - 2.0**-BITS) >= least
-            for b in ids[other[near & (roots[other] != roots[at])]]:
-                found.append((min(ids[at], b), max(ids[at], b)))
-        return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
+            for b in other[near][np.argsort(-equal[near], kind="stable")]:
+                if part[b] != part[at] and similar(sets[at], sets[b], settings.percent):
+                    part[part == part[b]] = part[at]
+                    found.append((ids[at], ids[b]))
+        return pd.DataFrame(found, columns=["u", "v"]).astype("int64")
 
     count = F.ceil(F.col("members") / settings.block).cast("int")
     placed = rows.join(sizes, "key").withColumn("blocks", count)
@@ -265,9 +288,9 @@ def _blocks(rows: DataFrame, sizes: DataFrame, settings: Settings) -> DataFrame:
         "j", F.greatest("block", "other")
     )
     return (
-        placed.select("key", "i", "j", "block", "id", "root", "planes")
+        placed.select("key", "i", "j", "block", "id", "root", "planes", "set")
         .groupBy("key", "i", "j")
-        .applyInPandas(compare, "a long, b long")
+        .applyInPandas(compare, "u long, v long")
         .distinct()
     )
 
@@ -299,7 +322,8 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
         ),
         "first-pairs",
     )
-    links = written(confirmed(first, docs, settings), "first-links")
+    sets = written(full_sets(docs, members), "shingle-sets")
+    links = written(confirmed(first, sets, settings), "first-links")
     # Rows with one doc_id and several sets are one document, so their classes are linked too.
     same = some.join(classes, ["s1", "s2"]).where(F.col("doc_id") != F.col("id"))
     twice = (
@@ -322,11 +346,8 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
         .select("key", "members")
     )
     left = rest.select("key", "id", "root").join(open_keys.select("key"), "key", "left_semi")
-    left = left.join(nodes.select("id", "planes"), "id")
-    second = written(
-        _blocks(left, open_keys, settings).join(first, ["a", "b"], "left_anti"), "second-pairs"
-    )
-    found = written(confirmed(second, docs, settings), "second-links")
+    left = left.join(nodes.select("id", "planes"), "id").join(sets, "id")
+    found = written(_blocks(left, open_keys, settings), "second-links")
     final = components(links.union(found))
     resolved = (
         classes.join(final, "id", "left")
