@@ -4,11 +4,11 @@ Documents are encoded, and those longer than the capacity cut into full pieces a
 Full pieces fill a sequence of their own. All others are placed in rounds. A round sorts
 documents and open gaps by size into ranges, largest first, a gap before a document of its
 size. Each range is swept once: gaps go on a stack, and a document takes the top one, which is
-its successor, the smallest gap that still holds it. Documents that find the stack of their
-range empty, and gaps that stay over, are ranked; the counts of each range (a few numbers a
-partition) tell which ranks meet across ranges, and a join on range and rank brings them
-together. So every gap takes one document a round and every document one gap. Then the gaps
-shrink, those too small for any document close, and the next round begins.
+its successor, the smallest gap that still holds it; what is left of the gap comes up again
+when the documents have become small enough. Documents that find the stack of their range
+empty, and gaps that no document of their range wanted, are ranked; the counts of each range (a
+few numbers a partition) tell which ranks meet across ranges, and a join on range and rank
+brings them together. Then gaps too small for any document close, and the next round begins.
 
 The first round opens as many empty sequences as all tokens need at least; more are opened when
 a round places hardly any document. Documents below `bundle` tokens are put together in bundles
@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import zlib
 from dataclasses import dataclass
+from heapq import heappop, heappush
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -88,8 +89,9 @@ def pieces(docs: DataFrame, settings: Settings, slice_rows: int = 256) -> DataFr
     )
 
 
-# What a row of a sweep is: a gap or a document that stays over, or a document with its gap.
-GAP, OPEN, PLACED = 0, 1, 2
+# What a row of a sweep is: a gap that may meet documents of later ranges, a document without a
+# gap, a document with its gap, or a gap that is too small for the documents of its range.
+GAP, OPEN, PLACED, LATER = 0, 1, 2, 3
 _SWEPT = "part int, role int, rank long, unit long, size long, seq long, gap long"
 
 
@@ -103,7 +105,9 @@ def _sweep(state: DataFrame) -> DataFrame:
         import pandas as pd
         from pyspark import TaskContext
 
-        part, stack, waiting = TaskContext.get().partitionId(), [], 0
+        # Both hold gaps as (-size, sequence): the stack from the largest to the smallest, the
+        # heap what is left of used ones, which no document so far would fit.
+        part, stack, left, waiting = TaskContext.get().partitionId(), [], [], 0
         columns = ["part", "role", "rank", "unit", "size", "seq", "gap"]
 
         def frame(rows):
@@ -112,18 +116,26 @@ def _sweep(state: DataFrame) -> DataFrame:
         for rows in frames:
             out = []
             documents = rows["unit"].notna().to_numpy()
-            unit, size = rows["unit"].fillna(0).to_numpy("int64"), rows["size"].fillna(0).to_numpy("int64")
-            seq, gap = rows["seq"].fillna(0).to_numpy("int64"), rows["gap"].fillna(0).to_numpy("int64")
+            unit, size, seq, gap = (
+                rows[name].fillna(0).to_numpy("int64").tolist() for name in columns[3:]
+            )
             for i, document in enumerate(documents.tolist()):
+                now = size[i] if document else gap[i]
+                while left and -left[0][0] >= now:
+                    stack.append(heappop(left))
                 if not document:
-                    stack.append((int(seq[i]), int(gap[i])))
+                    stack.append((-now, seq[i]))
                 elif stack:
-                    out.append((part, PLACED, None, int(unit[i]), int(size[i]), *stack.pop()))
+                    room, number = stack.pop()
+                    out.append((part, PLACED, None, unit[i], now, number, -room))
+                    if -room > now:
+                        heappush(left, (room + now, number))
                 else:
-                    out.append((part, OPEN, waiting, int(unit[i]), int(size[i]), None, None))
+                    out.append((part, OPEN, waiting, unit[i], now, None, None))
                     waiting += 1
             yield frame(out)
-        yield frame([(part, GAP, rank, None, None, *x) for rank, x in enumerate(stack)])
+        rest = [(part, GAP, k, None, None, n, -room) for k, (room, n) in enumerate(stack)]
+        yield frame(rest + [(part, LATER, None, None, None, n, -room) for room, n in left])
 
     return ranged.mapInPandas(sweep, _SWEPT)
 
@@ -148,7 +160,10 @@ def _meetings(counts: list) -> list[tuple]:
 
 
 def _round(state: DataFrame) -> tuple[DataFrame, int, int]:
-    """One round: its table (unit, size, seq, gap), documents placed, documents still open."""
+    """One round: its table (unit, size, seq, gap, left), documents placed, and still open.
+
+    `left` is the gap that goes into the next round, on one row of each sequence that has any.
+    """
     swept = written(_sweep(state), "packing-sweep")
     of = lambda role: F.sum(F.when(F.col("role") == role, 1).otherwise(0))
     counts = (
@@ -171,9 +186,13 @@ def _round(state: DataFrame) -> tuple[DataFrame, int, int]:
                 (F.col("top") - (F.col("rank") - F.col("first"))).alias("rank"))
     )
     gaps = swept.where(F.col("role") == GAP).select("part", "rank", "seq", "gap")
-    joined = met.join(gaps, ["part", "rank"], "full").select("unit", "size", "seq", "gap")
-    local = swept.where(F.col("role") == PLACED).select("unit", "size", "seq", "gap")
-    return written(local.union(joined), "packing-round"), placed, waiting
+    columns = ["unit", "size", "seq", "gap"]
+    left = (F.col("gap") - F.coalesce("size", F.lit(0))).alias("left")
+    joined = met.join(gaps, ["part", "rank"], "full").select(*columns, left)
+    others = swept.where(F.col("role").isin(PLACED, LATER)).select(
+        *columns, F.when(F.col("role") == LATER, F.col("gap")).alias("left")
+    )
+    return written(others.union(joined), "packing-round"), placed, waiting
 
 
 def _empty(spark, first: int, number: int, capacity: int) -> DataFrame:
@@ -205,11 +224,13 @@ def place(units: DataFrame, capacity: int, least_placed: float) -> DataFrame:
             state = state.union(_empty(spark, sequences, more, capacity))
             sequences += more
         table, placed, count = _round(state)
-        rounds.append(table.where(F.col("unit").isNotNull() & F.col("seq").isNotNull()))
-        waiting = table.where(F.col("seq").isNull())
-        left = F.col("gap") - F.coalesce("size", F.lit(0))
-        gaps = table.where(F.col("seq").isNotNull()).select(
-            none.alias("unit"), none.alias("size"), "seq", left.alias("gap")
+        rounds.append(
+            table.where(F.col("unit").isNotNull() & F.col("seq").isNotNull())
+            .select("unit", "size", "seq", "gap")
+        )
+        waiting = table.where(F.col("seq").isNull()).select("unit", "size", "seq", "gap")
+        gaps = table.where(F.col("left") > 0).select(
+            none.alias("unit"), none.alias("size"), "seq", F.col("left").alias("gap")
         )
     every = waiting.limit(0)
     for table in rounds:
