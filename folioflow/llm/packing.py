@@ -174,25 +174,44 @@ def _round(state: DataFrame) -> tuple[DataFrame, int, int]:
     meetings = _meetings(counts)
     placed = sum(c.placed for c in counts) + sum(last - first + 1 for _, first, last, *_ in meetings)
     waiting = sum(c.waiting + c.placed for c in counts) - placed
-    table = swept.sparkSession.createDataFrame(
-        meetings, "part int, first long, last long, gap_part int, top long"
+    spark = swept.sparkSession
+    # Both tables have at most two rows a partition.
+    table = spark.createDataFrame(
+        meetings, "of int, first long, last long, gap_part int, top long"
+    )
+    taken: dict[int, int] = {}
+    for _, first, last, part, _ in meetings:
+        taken[part] = taken.get(part, 0) + last - first + 1
+    used = spark.createDataFrame(
+        [(c.part, c.gaps - taken.get(c.part, 0)) for c in counts], "of int, free long"
     )
-    documents = swept.where(F.col("role") == OPEN).select("part", "rank", "unit", "size")
-    met = (
-        documents.join(F.broadcast(table.withColumnRenamed("part", "of")),  # two rows a partition
-                       (F.col("part") == F.col("of")) & F.col("rank").between(F.col("first"), F.col("last")),
-                       "left")
-        .select("unit", "size", F.col("gap_part").alias("part"),
-                (F.col("top") - (F.col("rank") - F.col("first"))).alias("rank"))
-    )
-    gaps = swept.where(F.col("role") == GAP).select("part", "rank", "seq", "gap")
     columns = ["unit", "size", "seq", "gap"]
-    left = (F.col("gap") - F.coalesce("size", F.lit(0))).alias("left")
-    joined = met.join(gaps, ["part", "rank"], "full").select(*columns, left)
-    others = swept.where(F.col("role").isin(PLACED, LATER)).select(
-        *columns, F.when(F.col("role") == LATER, F.col("gap")).alias("left")
+    documents = (
+        swept.where(F.col("role") == OPEN)
+        .join(F.broadcast(table),
+              (F.col("part") == F.col("of")) & F.col("rank").between(F.col("first"), F.col("last")),
+              "left")
+        .select(*columns, "gap_part", (F.col("top") - (F.col("rank") - F.col("first"))).alias("place"))
+    )
+    gaps = swept.where(F.col("role") == GAP).join(F.broadcast(used), F.col("part") == F.col("of"))
+    # Only ranks that meet go through the join.
+    met = (
+        documents.where(F.col("gap_part").isNotNull()).select("unit", "size", "gap_part", "place")
+        .join(
+            gaps.where(F.col("rank") >= F.col("free")).select(
+                F.col("part").alias("gap_part"), F.col("rank").alias("place"), "seq", "gap"
+            ),
+            ["gap_part", "place"],
+        )
+        .select(*columns, (F.col("gap") - F.col("size")).alias("left"))
     )
-    return written(others.union(joined), "packing-round"), placed, waiting
+    none = F.lit(None).cast("long").alias("left")
+    local = swept.where(F.col("role") == PLACED).select(*columns, none)
+    waits = documents.where(F.col("gap_part").isNull()).select(*columns, none)
+    later = swept.where(F.col("role") == LATER).select(*columns, F.col("gap").alias("left"))
+    free = gaps.where(F.col("rank") < F.col("free")).select(*columns, F.col("gap").alias("left"))
+    rows = local.union(met).union(waits).union(later).union(free)
+    return written(rows, "packing-round"), placed, waiting
 
 
 def _empty(spark, first: int, number: int, capacity: int) -> DataFrame:
