@@ -10,6 +10,8 @@ from folioflow.llm.queries import tokenizer_file
 from folioflow.llm.tables import given, join_on, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+# At similarity 0.8, 40 bands of 5 minima miss a pair with probability 1.3e-7.
+NEAR = near_dedup.Settings(percent=80, bands=40, minima=256)
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +28,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, the one with the smallest id; ids that
     occur in several rows keep them."""
-    groups = near_dedup.near_duplicates(docs).where("kept").select("doc_id").distinct()
+    groups = near_dedup.near_duplicates(docs, NEAR).where("kept").select("doc_id").distinct()
     return join_on(docs, groups, ["doc_id"], "left_semi").select(*COLUMNS)
 
 

@@ -82,3 +82,20 @@ def test_stages_on_an_empty_table(spark, results):
     docs = results[0].limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, FOLDER).count() == 0
+
+
+def test_near_copies_below_op7s_limit(spark):
+    """Copies at similarity 0.80 to 0.85, which op7 keeps, go in the pipeline."""
+    rows, low, high = [], 0.80, 0.85
+    for n in range(12):
+        base = [f"w{n}x{k}" for k in range(200)]
+        copy = list(base)
+        for k in (30, 80, 130, 180):
+            copy[k] = f"new{n}x{k}"
+        a, b = brute.shingles(" ".join(base)), brute.shingles(" ".join(copy))
+        assert low <= len(a & b) / len(a | b) < high
+        rows += [(2 * n, " ".join(base), "en", "s", 1), (2 * n + 1, " ".join(copy), "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id for r in corpus_pipeline.dedup_near(spark, docs, FOLDER).collect()}
+    roots = brute.components([r[:2] for r in rows], 80)
+    assert kept == {i for i in roots if roots[i] == i} == set(range(0, 24, 2))
