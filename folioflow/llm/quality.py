@@ -2,8 +2,9 @@
 
 Repetitive text compresses too well, and random text hardly at all. Each text is compressed
 with zstandard whole and in fixed chunks; the ratio (compressed bytes to bytes) of the whole
-must lie in the band for its length, since short texts compress less, and that of every full
-chunk in the chunk band, so that a bad stretch of a long text is seen too.
+must lie in the band for its length, since short texts compress less, and that of every
+chunk in the chunk band, so that a bad stretch of a long text is seen too. Where the length is
+no multiple of a chunk's, one more chunk ends with the text and overlaps the one before.
 
 Null texts count as empty: no words, all counts 0, base_failed. Columns besides doc_id and text
 are not used; repeated rows give repeated results. Empty tables give no rows.
@@ -79,12 +80,14 @@ def repeated_words(words: list[str]) -> int:
 
 
 def ratios(raw: bytes, compress, chunk_bytes: int) -> tuple[float, float, float]:
-    """Ratio of the whole, and lowest and highest ratio of its full chunks (of the whole, if
-    it has none)."""
+    """Ratio of the whole, and lowest and highest ratio of its chunks (of the whole, if it is
+    shorter than one)."""
     if not raw:
         return 1.0, 1.0, 1.0
     whole = len(compress(raw)) / len(raw)
-    stops = range(0, len(raw) - chunk_bytes + 1, chunk_bytes)
+    stops = list(range(0, len(raw) - chunk_bytes + 1, chunk_bytes))
+    if stops and len(raw) % chunk_bytes:
+        stops.append(len(raw) - chunk_bytes)
     chunks = [len(compress(raw[at : at + chunk_bytes])) / chunk_bytes for at in stops]
     return whole, min(chunks, default=whole), max(chunks, default=whole)
 

@@ -353,3 +353,19 @@ def test_empty_tables(spark, none):
     assert line_dedup.dedup_lines(none).count() == 0
     assert pii.find(none).count() == 0
     assert quality.judge(none).count() == 0
+
+
+def test_quality_judges_the_end_of_a_text(spark):
+    """4,000 bytes of noise are seen wherever they stand, and so is a repetitive end."""
+    rng = random.Random(5)
+    signs = [chr(c) for c in range(33, 127)]
+    noise = " ".join("".join(rng.choices(signs, k=9)) for _ in range(400))
+    prose = LONG[:4150]
+    docs = spark.createDataFrame(
+        [(1, noise + prose), (2, prose + noise), (3, prose + LONG[:900]), (4, prose + " again" * 650)],
+        "doc_id long, text string",
+    )
+    found = {r.doc_id: r for r in quality.judge(docs).collect()}
+    assert found[1].chunk_high > 0.8 and found[2].chunk_high > 0.8
+    assert found[4].chunk_low < 0.25
+    assert {i for i, r in found.items() if r.kept} == {3}
