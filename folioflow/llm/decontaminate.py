@@ -2,8 +2,11 @@
 
 Texts become words with typed placeholders: numbers, names (capital letters inside a
 sentence) and units after a number. Hashes of `window` such words are joined with those of the
-benchmark, so a question asked again with other numbers or names still meets its item. For
-the documents that meet enough of an item, the slots are then compared: within one alignment
+benchmark, so a question asked again with other numbers or names still meets its item. What is
+a name depends on what stands before it and on capitals, so windows of the plain lowered words
+(the exact form) are joined too, and a document's window that begins with a name is also
+tried with that word plain, as an item's first word is. For the
+documents that meet enough of an item, the slots are then compared: within one alignment
 a slot value of the item must always stand for the same value in the document; windows with a
 slot that doesn't are left out. A document is contaminated by an item if the remaining windows
 cover `least_cover` of the item's.
@@ -60,23 +63,50 @@ def placeholder(word: Column) -> Column:
     )
 
 
-def _windows(hashes: str, size: int) -> Column:
-    """Hash of each stretch of `size` word hashes."""
-    many = F.size(hashes) - (size - 1)
-    return F.when(
-        many > 0,
-        F.transform(
-            F.sequence(F.lit(1), F.greatest(many, F.lit(1))),
-            lambda at: F.xxhash64(F.slice(F.col(hashes), at, size)),
-        ),
+def plain(word: Column) -> Column:
+    """The word without its mark; numbers apart from the placeholder of numbers."""
+    return (
+        F.when(word < "\x03", F.substring(word, 2, 1 << 30))
+        .when(word < ":", F.concat(F.lit("="), word)).otherwise(word)
+    )
+
+
+def _windows(size: int) -> Column:
+    """Of each stretch of `size` words: hash of its template, of its exact form, and, if it begins
+    with a name, of its template with that word plain."""
+    many = F.size("hashes") - (size - 1)
+    hashes, exact = F.col("hashes"), F.col("exact")
+
+    def window(at):
+        first = F.get(exact, at - 1)
+        mixed = F.xxhash64(F.concat(F.array(first), F.slice(hashes, at + 1, size - 1)))
+        return F.struct(
+            F.xxhash64(F.slice(hashes, at, size)).alias("template"),
+            F.xxhash64(F.slice(exact, at, size)).alias("exact"),
+            F.when(F.get(hashes, at - 1) == F.xxhash64(F.lit(NAME)), mixed).alias("mixed"),
+        )
+
+    return F.when(many > 0, F.transform(F.sequence(F.lit(1), F.greatest(many, F.lit(1))), window))
+
+
+def _placed(tokens: DataFrame, size: int, *columns: str) -> DataFrame:
+    """The columns, place (from 0) and hash of all windows of a size."""
+    forms = F.array("window.template", "window.exact")
+    every = F.when(F.col("window.mixed").isNotNull(), F.array_append(forms, F.col("window.mixed")))
+    same = F.col("window.template") == F.col("window.exact")
+    every = every.when(same, F.array("window.exact")).otherwise(forms)
+    return tokens.select(*columns, F.posexplode(_windows(size)).alias("place", "window")).select(
+        *columns, "place", F.explode(every).alias("hash")
     )
 
 
 def _hashed(rows: DataFrame, text: Column, *keys: str) -> DataFrame:
-    """keys, words and their template hashes."""
-    return rows.select(*keys, words(text).alias("words")).withColumn(
-        "hashes", F.transform("words", lambda word: F.xxhash64(placeholder(word)))
-    )
+    """keys, words, their template hashes and those of their exact form."""
+    return rows.select(*keys, words(text).alias("words")).select(
+        *keys, "words",
+        F.transform("words", lambda word: F.xxhash64(placeholder(word))).alias("hashes"),
+        F.transform("words", lambda word: F.xxhash64(plain(word))).alias("exact"),
+    )
 
 
 def _slots(at: Column, size: Column | int) -> Column:
@@ -87,31 +117,32 @@ def _slots(at: Column, size: Column | int) -> Column:
 
 
 def benchmark_windows(benchmark: DataFrame, settings: Settings) -> DataFrame:
-    """item_id, size, place, hash, of (windows of the item) and slots of the windows used."""
+    """item_id, size, place, hash, of (windows of the item) and slots of the windows used, in
+    both forms; the exact form has no slots to compare."""
     hashed = _hashed(
         benchmark.where(F.col("item_id").isNotNull()), whole_text(), "item_id"
     ).withColumn("size", F.least(F.size("words"), F.lit(settings.window)))
     hashed = hashed.where(F.col("size") >= settings.least_words)
     many = F.size("words") - F.col("size") + 1
     placed = hashed.select(
-        "item_id", "words", "hashes", "size", many.alias("of"),
+        "item_id", "words", "hashes", "exact", "size", many.alias("of"),
         F.explode(F.sequence(F.lit(1), many)).alias("place"),
     )
-    found = placed.select(
-        "item_id", "size", "place", "of",
-        F.xxhash64(F.slice("hashes", F.col("place"), F.col("size"))).alias("hash"),
-        _slots(F.col("place"), F.col("size")).alias("slots"),
-    )
-    return found.where(F.size("slots") <= settings.most_slots)
+    window = lambda hashes: F.xxhash64(F.slice(hashes, F.col("place"), F.col("size"))).alias("hash")
+    slots = _slots(F.col("place"), F.col("size"))
+    template = placed.select("item_id", "size", "place", "of", window("hashes"), slots.alias("slots"))
+    template = template.where(F.size("slots") <= settings.most_slots)
+    exact = placed.where(F.size(slots) > 0).select(
+        "item_id", "size", "place", "of", window("exact"), F.slice(slots, 1, 0).alias("slots")
+    )
+    return template.union(exact)
 
 
 def _met(keyed: DataFrame, hashes: DataFrame, sizes: list[int]) -> DataFrame:
     """Key, place and hash of the document windows that the benchmark has."""
     out = None
     for size in sizes:
-        windows = keyed.select(
-            "doc_id", "text_key", F.posexplode(_windows("hashes", size)).alias("place", "hash")
-        )
+        windows = _placed(keyed, size, "doc_id", "text_key")
         wanted = hashes.where(F.col("size") == size).select("hash")
         met = windows.join(wanted, "hash").withColumn("size", F.lit(size))
         out = met if out is None else out.union(met)
@@ -153,17 +184,15 @@ def _met_with_slots(tokens: DataFrame, bench: DataFrame, sizes: list[int]) -> Da
     """Windows of suspects with their item's, and the slots of both."""
     out = None
     for size in sizes:
-        windows = tokens.select(
-            "doc_id", "text_key", "words", F.posexplode(_windows("hashes", size)).alias("at", "hash")
-        ).select(
-            "doc_id", "text_key", "hash", (F.col("at") + 1).alias("at"),
-            _slots(F.col("at") + 1, size).alias("own"),
+        windows = _placed(tokens, size, "doc_id", "text_key", "words").select(
+            "doc_id", "text_key", "hash", (F.col("place") + 1).alias("at"),
+            F.slice("words", F.col("place") + 1, size).alias("own"),
         )
         wanted = bench.where(F.col("size") == size).select("hash", "item_id", "of", "place", "slots")
         met = windows.join(wanted, "hash").select(
             "doc_id", "text_key", "item_id", "of", "place", (F.col("at") - F.col("place")).alias("shift"),
-            F.zip_with("slots", "own", lambda a, b: F.struct(
-                a["value"].alias("item"), b["value"].alias("doc"))).alias("slots"),
+            F.transform("slots", lambda slot: F.struct(
+                slot["value"].alias("item"), F.get("own", slot["at"]).alias("doc"))).alias("slots"),
         )
         out = met if out is None else out.union(met)
     return out

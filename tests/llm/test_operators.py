@@ -369,3 +369,22 @@ def test_quality_judges_the_end_of_a_text(spark):
     assert found[1].chunk_high > 0.8 and found[2].chunk_high > 0.8
     assert found[4].chunk_low < 0.25
     assert {i for i, r in found.items() if r.kept} == {3}
+
+
+def contaminated_pairs(spark, items, docs):
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), bench)
+    return {(r.doc_id, r.item_id): r.reworded for r in found.collect()}
+
+
+def test_decontamination_finds_copies_in_another_setting(spark):
+    """What stands before an item, capitals and line ends don't hide a copy of it."""
+    short, long = "Who wrote the novel Moby Dick?", "Which of the rivers Elbe and Main flows past Dresden?"
+    docs = [
+        (1, f"Question: {short} Answer"), (2, f"so {short}"), (3, f"one, {short}"), (4, short.upper()),
+        (5, short.lower()), (6, short.replace(" Moby", "\nMoby")), (7, "Quiz: Who wrote the novel Jane Eyre?"),
+        (8, "Question: Who wrote the play Moby Dick?"), (11, f"Question: {long}"), (12, long.upper()),
+        (13, long.lower()), (14, long.replace(" Elbe", "\nElbe")),
+    ]
+    wanted = {(n, 1): n == 7 for n in range(1, 8)} | {(n, 2): False for n in range(11, 15)}
+    assert contaminated_pairs(spark, [(1, short), (2, long)], docs) == wanted
