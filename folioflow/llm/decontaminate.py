@@ -6,12 +6,16 @@ benchmark, so a question asked again with other numbers or names still meets its
 a name depends on what stands before it and on capitals, so windows of the plain lowered words
 (the exact form) are joined too, and a document's window that begins with a name is also
 tried with that word plain, as an item's first word is. For the
-documents that meet enough of an item, the slots are then compared: within one alignment
+documents that meet an item, the slots are then compared: within one alignment
 a slot value of the item must always stand for the same value in the document; windows with a
-slot that doesn't are left out. A document is contaminated by an item if the remaining windows
-cover `least_cover` of the item's.
-
-Benchmark windows with more than `most_slots` placeholders say too little and aren't used.
+slot that doesn't are left out. A document is contaminated by an item if `least_cover` of the
+item's words lie in the remaining windows, or do so or are equal to the document's word at their
+place within one alignment. So a few changed words cost those words and not all windows over
+them, as long as one window is left: two changes leave one in items of 24 words or more, three in
+those of 32.
+
+Benchmark windows with more than `most_slots` placeholders say too little as templates and are
+only joined in their exact form.
 Items shorter than `window` words use one window of their own length; those with fewer than
 `least_words` match nothing. The joins carry no hints: the written tables of benchmark windows
 tell Spark their size.
@@ -30,6 +34,8 @@ from pyspark.sql import functions as F
 
 from folioflow.llm.tables import fresh_name, join_on, row_key, whole_text, written
 
+ITEM = ["item_id", "item_key"]
+PAIR = ["doc_id", "text_key", *ITEM]
 NAME, UNIT, NUMBER = "\x01", "\x02", "0"
 # Units that count as such after a number.
 UNITS = (
@@ -116,24 +122,29 @@ def _slots(at: Column, size: Column | int) -> Column:
     return F.filter(numbered, lambda slot: slot["value"] < ":")
 
 
+def _items(benchmark: DataFrame) -> DataFrame:
+    """Words and hashes of the items; those with one id and other texts stay apart."""
+    rows = benchmark.where(F.col("item_id").isNotNull())
+    rows = rows.select("item_id", F.xxhash64(whole_text()).alias("item_key"), "text").distinct()
+    return _hashed(rows, whole_text(), *ITEM)
+
+
 def benchmark_windows(benchmark: DataFrame, settings: Settings) -> DataFrame:
-    """item_id, size, place, hash, of (windows of the item) and slots of the windows used, in
-    both forms; the exact form has no slots to compare."""
-    hashed = _hashed(
-        benchmark.where(F.col("item_id").isNotNull()), whole_text(), "item_id"
-    ).withColumn("size", F.least(F.size("words"), F.lit(settings.window)))
+    """item_id, item_key, size, place, hash, of (words of the item) and slots of the windows
+    used, in both forms; the exact form has no slots to compare."""
+    hashed = _items(benchmark).withColumn("size", F.least(F.size("words"), F.lit(settings.window)))
     hashed = hashed.where(F.col("size") >= settings.least_words)
     many = F.size("words") - F.col("size") + 1
     placed = hashed.select(
-        "item_id", "words", "hashes", "exact", "size", many.alias("of"),
+        *ITEM, "words", "hashes", "exact", "size", F.size("words").alias("of"),
         F.explode(F.sequence(F.lit(1), many)).alias("place"),
     )
     window = lambda hashes: F.xxhash64(F.slice(hashes, F.col("place"), F.col("size"))).alias("hash")
     slots = _slots(F.col("place"), F.col("size"))
-    template = placed.select("item_id", "size", "place", "of", window("hashes"), slots.alias("slots"))
+    template = placed.select(*ITEM, "size", "place", "of", window("hashes"), slots.alias("slots"))
     template = template.where(F.size("slots") <= settings.most_slots)
     exact = placed.where(F.size(slots) > 0).select(
-        "item_id", "size", "place", "of", window("exact"), F.slice(slots, 1, 0).alias("slots")
+        *ITEM, "size", "place", "of", window("exact"), F.slice(slots, 1, 0).alias("slots")
     )
     return template.union(exact)
 
@@ -152,8 +163,8 @@ def _met(keyed: DataFrame, hashes: DataFrame, sizes: list[int]) -> DataFrame:
 def contaminated(
     docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings()
 ) -> DataFrame:
-    """doc_id, text_key, item_id, cover (share of the item's windows found with consistent
-    slots) and reworded (a slot has another value) of every contaminated document."""
+    """doc_id, text_key, item_id, cover (share of the item's words found, see above)
+    and reworded (a slot has another value) of every contaminated document."""
     bench = written(benchmark_windows(benchmark, settings), "benchmark-windows")
     hashes = written(bench.select("hash", "size").distinct(), "benchmark-hashes")
     # At most `window` different sizes.
@@ -162,22 +173,12 @@ def contaminated(
         sizes = [settings.window]
     keyed = docs.select(*row_key(), whole_text().alias("text"))
     met = written(_met(_hashed(keyed, F.col("text"), "doc_id", "text_key"), hashes, sizes), "met")
-    narrow = bench.select("item_id", "size", "of", "hash", F.col("place").alias("item_place"))
-    candidates = (
-        met.select("doc_id", "text_key", "hash", "size").distinct()
-        .join(narrow, ["hash", "size"])
-        .groupBy("doc_id", "text_key", "item_id", "of")
-        .agg(F.count_distinct("item_place").alias("found"))
-        .where(F.col("found") >= settings.least_cover * F.col("of"))
-        .select("doc_id", "text_key", "item_id")
-    )
-    candidates = written(candidates, "contaminated")
-    suspects = candidates.select("doc_id", "text_key").distinct()
+    suspects = met.select("doc_id", "text_key").distinct()
     texts = join_on(keyed, suspects, ["doc_id", "text_key"], "left_semi").distinct()
     tokens = _hashed(texts, F.col("text"), "doc_id", "text_key")
-    opened = _met_with_slots(tokens, bench, sizes)
-    chosen = join_on(opened, candidates, ["doc_id", "text_key", "item_id"], "left_semi")
-    return _consistent(written(chosen, "aligned"), settings)
+    aligned = written(_met_with_slots(tokens, bench, sizes), "aligned")
+    windows = written(_consistent(aligned), "consistent")
+    return _covered(windows, tokens, _items(benchmark), settings)
 
 
 def _met_with_slots(tokens: DataFrame, bench: DataFrame, sizes: list[int]) -> DataFrame:
@@ -188,9 +189,9 @@ def _met_with_slots(tokens: DataFrame, bench: DataFrame, sizes: list[int]) -> Da
             "doc_id", "text_key", "hash", (F.col("place") + 1).alias("at"),
             F.slice("words", F.col("place") + 1, size).alias("own"),
         )
-        wanted = bench.where(F.col("size") == size).select("hash", "item_id", "of", "place", "slots")
+        wanted = bench.where(F.col("size") == size).select("hash", *ITEM, "size", "of", "place", "slots")
         met = windows.join(wanted, "hash").select(
-            "doc_id", "text_key", "item_id", "of", "place", (F.col("at") - F.col("place")).alias("shift"),
+            *PAIR, "size", "of", "place", (F.col("at") - F.col("place")).alias("shift"),
             F.transform("slots", lambda slot: F.struct(
                 slot["value"].alias("item"), F.get("own", slot["at"]).alias("doc"))).alias("slots"),
         )
@@ -198,8 +199,9 @@ def _met_with_slots(tokens: DataFrame, bench: DataFrame, sizes: list[int]) -> Da
     return out
 
 
-def _consistent(aligned: DataFrame, settings: Settings) -> DataFrame:
-    alignment = ["doc_id", "text_key", "item_id", "shift"]
+def _consistent(aligned: DataFrame) -> DataFrame:
+    """The windows whose slots are consistent, and whether their alignment has other values."""
+    alignment = [*PAIR, "shift"]
     values = (
         aligned.select(*alignment, F.explode("slots").alias("slot"))
         .groupBy(*alignment, F.col("slot.item").alias("item"))
@@ -211,20 +213,50 @@ def _consistent(aligned: DataFrame, settings: Settings) -> DataFrame:
         )
     )
     judged = join_on(aligned, values, alignment, "left").select(
-        *alignment, "of", "place",
+        *alignment, "size", "of", "place",
         F.coalesce("other", F.lit(False)).alias("other"),
         F.coalesce(
             F.exists("slots", lambda slot: F.array_contains(F.col("torn"), slot["item"])), F.lit(False)
         ).alias("broken"),
     )
+    return judged.where(~F.col("broken")).drop("broken")
+
+
+def _covered(
+    windows: DataFrame, tokens: DataFrame, items: DataFrame, settings: Settings
+) -> DataFrame:
+    """Pairs with enough of the item's words in windows of all alignments together, or in windows
+    or equal to the document's within one."""
+    together = windows.groupBy(*PAIR, "of").agg(
+        F.collect_set("place").alias("places"), F.first("size").alias("size"),
+        F.min("other").alias("reworded"),
+    )
+    single = windows.groupBy(*PAIR, "shift").agg(
+        F.collect_set("place").alias("places"), F.first("size").alias("size")
+    )
+    inside = F.array_distinct(F.flatten(F.transform(
+        "places", lambda at: F.sequence(at, at + F.col("size") - 1)
+    )))
+    single = single.select(*PAIR, "shift", inside.alias("inside")).join(
+        items.select(*ITEM, F.col("exact").alias("wanted")), ITEM
+    )
+    texts = tokens.select("doc_id", "text_key", "exact")
+    equal = F.filter(
+        F.sequence(F.lit(1), F.size("wanted")),
+        lambda at: F.get("wanted", at - 1) == F.get("exact", at - 1 + F.col("shift")),
+    )
+    best = (
+        join_on(single, texts, ["doc_id", "text_key"])
+        .select(*PAIR, F.size(F.array_union("inside", equal)).alias("words"))
+        .groupBy(*PAIR).agg(F.max("words").alias("best"))
+    )
+    found = F.greatest(F.size(inside), F.col("best"))
     return (
-        judged.where(~F.col("broken"))
-        .groupBy("doc_id", "text_key", "item_id", "of")
-        .agg(F.count_distinct("place").alias("found"), F.min("other").alias("reworded"))
-        .where(F.col("found") >= settings.least_cover * F.col("of"))
-        .select(
-            "doc_id", "text_key", "item_id", (F.col("found") / F.col("of")).alias("cover"), "reworded"
-        )
+        join_on(together, best, PAIR)
+        .select("doc_id", "text_key", "item_id", (found / F.col("of")).alias("cover"), "reworded")
+        .where(F.col("cover") >= settings.least_cover)
+        .groupBy("doc_id", "text_key", "item_id")
+        .agg(F.max("cover").alias("cover"), F.min("reworded").alias("reworded"))
     )
 
 

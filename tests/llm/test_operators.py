@@ -388,3 +388,22 @@ def test_decontamination_finds_copies_in_another_setting(spark):
     ]
     wanted = {(n, 1): n == 7 for n in range(1, 8)} | {(n, 2): False for n in range(11, 15)}
     assert contaminated_pairs(spark, [(1, short), (2, long)], docs) == wanted
+
+
+def test_decontamination_finds_edited_and_slot_rich_items(spark):
+    words = PASSAGE.split(" ")[:38]
+    item = " ".join(words)
+    sums, names = "Compute 12 + 5 * 3 - 7 + 9 now please", " and ".join(f"{c}anna Marie Berg" for c in "HJLSR")
+
+    def edited(*places):
+        return " ".join("changed" if k in places else w for k, w in enumerate(words))
+
+    docs = [
+        (1, f"see {edited(12, 25)} end"), (2, edited(7, 15, 23)), (3, edited(9, 19, 29)),
+        (4, " ".join(words[:12])), (5, " ".join(words[:12] + ["other"] * 26)),
+        (6, f"Task: {sums}"), (7, "Compute 1 + 2 * 3 - 4 + 5 now please"), (8, f"Present: {names}"),
+        (9, f"Present: {names.replace('Lanna', 'Otto').replace('Ranna', 'Emil')}"),
+        (10, " ".join(words[:14] + ["one", "more"] + words[14:26] + words[27:])),
+    ]
+    found = contaminated_pairs(spark, [(1, item), (2, sums), (3, names)], docs)
+    assert set(found) == {(1, 1), (2, 1), (3, 1), (6, 2), (8, 3), (9, 3), (10, 1)}
