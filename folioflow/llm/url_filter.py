@@ -2,13 +2,13 @@
 
 Rules (action, host, path) fit a host and its subdomains and paths that start with theirs; the
 longest wins. Pages that rules judge are the labelled ones. For the others, each host has a
-tree of path templates: digit runs in a segment become `#`, a segment that few pages of its
-parent share becomes `*`, and sibling branches whose labelled shares don't differ
+tree of path templates: digit runs in a segment become `#`, a segment with fewer than
+`least_pages` pages becomes `*`, and sibling branches whose labelled shares don't differ
 significantly are pooled. A branch's share of blocked pages is smoothed towards its parent's, and
 so on up to the host and all pages; a template is rejected where that purity reaches `limit`.
 
 The tree is built level by level from counts per distinct template, never from pages. A node
-has at most `1 / least_share` literal children, so its siblings fit in one window group.
+may have any number of children: sums over siblings are partial sums that are joined back.
 
 A null url, or one without `://`, has an empty host and path; it meets no rule and is judged
 like the other pages without a host. Null page ids and repeated rows stay as they are. Empty
@@ -19,7 +19,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.llm.tables import ascii_lower, written
@@ -40,7 +40,6 @@ class Rule:
 class Settings:
     levels: int = 6  # what follows the sixth segment counts as one more segment
     least_pages: int = 5  # of a literal segment
-    least_share: float = 0.005  # of the parent's pages
     z: float = 1.96  # branches that differ less are pooled
     prior_pages: float = 4.0  # weight of the parent's purity
     limit: float = 0.8  # purity from which a template is rejected
@@ -116,15 +115,15 @@ def _grow(tree: DataFrame, level: int, sums: list[Column], settings: Settings) -
     node = ["host", "template", "purity"]
     segment = F.get("segments", F.lit(level)).alias("segment")
     raw = tree.where(deeper).groupBy(*node, segment).agg(*sums)
-    parents = raw.groupBy("host", "template").agg(F.sum("pages").alias("of"))
-    literal = (F.col("pages") >= settings.least_pages) & (
-        F.col("pages") >= settings.least_share * F.col("of")
-    )
-    named = raw.join(parents, ["host", "template"]).withColumn(
-        "child", F.when(literal, F.col("segment")).otherwise(F.lit("*"))
+    literal = F.col("pages") >= settings.least_pages
+    named = written(
+        raw.withColumn("child", F.when(literal, F.col("segment")).otherwise(F.lit("*"))), "url-named"
     )
     branches = named.groupBy(*node, "child").agg(*sums)
-    siblings = Window.partitionBy("host", "template")
+    siblings = ["host", "template"]
+    every = branches.groupBy(*siblings).agg(
+        F.sum("bad").alias("all_bad"), F.sum("labelled").alias("all_labelled")
+    )
     # Without labels on one side the divisions give null: not different.
     others = F.col("all_labelled") - F.col("labelled")
     share = F.try_divide("bad", "labelled")
@@ -135,15 +134,11 @@ def _grow(tree: DataFrame, level: int, sums: list[Column], settings: Settings) -
     )
     different = F.coalesce(F.abs(share - rest) > settings.z * spread, F.lit(False))
     same = [
-        F.sum(F.when(F.col("different"), 0).otherwise(F.col(name))).over(siblings).alias(f"same_{name}")
+        F.sum(F.when(F.col("different"), 0).otherwise(F.col(name))).alias(f"same_{name}")
         for name in ("bad", "labelled")
     ]
-    judged = (
-        branches.withColumn("all_bad", F.sum("bad").over(siblings))
-        .withColumn("all_labelled", F.sum("labelled").over(siblings))
-        .withColumn("different", different)
-        .select("*", *same)
-    )
+    tested = written(branches.join(every, siblings).withColumn("different", different), "url-tested")
+    judged = tested.join(tested.groupBy(*siblings).agg(*same), siblings)
     used = lambda name: F.when(F.col("different"), F.col(name)).otherwise(F.col(f"same_{name}"))
     grown = judged.select(
         "host", "template", "child",

@@ -407,3 +407,18 @@ def test_decontamination_finds_edited_and_slot_rich_items(spark):
     ]
     found = contaminated_pairs(spark, [(1, item), (2, sums), (3, names)], docs)
     assert set(found) == {(1, 1), (2, 1), (3, 1), (6, 2), (8, 3), (9, 3), (10, 1)}
+
+
+def test_url_branches_with_a_small_share_of_a_large_host(spark):
+    """A branch with 0.4 % of its host's pages keeps its own purity, beside many siblings."""
+    ids = spark.range(100000)
+    # 249 branches of about 400 pages, one of 398; its labelled pages are all blocked.
+    letters = "concat('b', translate(cast(id % 250 as string), '0123456789', 'abcdefghij'))"
+    pages = ids.selectExpr("id as page_id", f"concat('http://s.com/', {letters}, '/', "
+                           "if(id div 250 < 300, 'x', 'y'), id) as url").where("id > 500 or id % 250 != 7")
+    rules = [url_filter.Rule("block", "s.com", "/bh/x"),
+             *[url_filter.Rule("allow", "s.com", f"/b{c}/x") for c in "abcdefg"]]
+    found = url_filter.judge(pages, rules).where("rule is null").groupBy("template", "verdict").count()
+    verdicts = {r.template: r.verdict for r in found.collect()}
+    assert verdicts.pop("/bh/y#") == "block" and set(verdicts.values()) == {"allow"}
+    assert "/bbe/y#" in verdicts and len(verdicts) >= 249
