@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow.llm import (
-    decontaminate, line_dedup, near_dedup, packing, pii, quality, substrings, token_orc, toxicity,
-    url_filter,
+    decontaminate, line_dedup, near_dedup, packing, pii, quality, ranked_search, substrings,
+    token_orc, toxicity, url_filter,
 )
 from folioflow.llm.tables import given, shared_folder, whole_text
 
@@ -98,6 +98,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, benchmark = (given(spark, sf_dir, name) for name in ("documents", "benchmark"))
+    return ranked_search.search(docs, benchmark)
+
+
 QUERIES = {
     "op1_token_orc": op1_token_orc,
     "op2_packing": op2_packing,
@@ -109,6 +114,7 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_line_dedup": op9_line_dedup,
     "op10_toxicity": op10_toxicity,
+    "op12_ranked_search": op12_ranked_search,
 }
 
 ORACLE = {
@@ -136,4 +142,39 @@ ORACLE = {
                                           chr(10) order by position), '')) as kept_sha256
         from marked group by row_id, doc_id
     """,
+    "op12_ranked_search": r"""
+        with doc_terms as (
+            select row_id, doc_id, unnest(own) as term, len(own) as n
+            from (select row_number() over () as row_id, doc_id,
+                         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                                      'abcdefghijklmnopqrstuvwxyz'),
+                             '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as own
+                  from documents)
+        ), item_terms as (
+            select distinct item_id,
+                   unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                                       'abcdefghijklmnopqrstuvwxyz'),
+                          '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term
+            from benchmark
+        ), total as (
+            select count(distinct row_id) as docs, count(*) as terms from doc_terms
+        ), counts as (
+            select row_id, doc_id, n, term, count(*) as tf from doc_terms
+            where term in (select term from item_terms) group by all
+        ), weights as (
+            select term, cast(floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1))) as bigint) as w
+            from counts, total group by term
+        ), scores as (
+            select item_id, row_id, doc_id,
+                   sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // terms)))) as score
+            from item_terms join counts using (term) join weights using (term), total
+            group by all
+        ), ranked as (
+            select *, row_number() over (partition by item_id
+                                         order by score desc, doc_id nulls last) as place
+            from scores where score > 0
+        )
+        select item_id, cast(place as integer) as rank, doc_id, cast(score as bigint) as score
+        from ranked where place <= 10
+    """,
 }
