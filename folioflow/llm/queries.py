@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow.llm import (
-    decontaminate, line_dedup, near_dedup, packing, pii, quality, ranked_search, substrings,
-    token_orc, toxicity, url_filter,
+    conversations, decontaminate, line_dedup, near_dedup, packing, pii, quality, ranked_search,
+    substrings, token_orc, toxicity, url_filter,
 )
 from folioflow.llm.tables import given, shared_folder, whole_text
 
@@ -103,6 +103,11 @@ def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search.search(docs, benchmark)
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given_turns = given(spark, sf_dir, "conversations")
+    return conversations.report(conversations.repair(conversations.damaged(given_turns)), given_turns)
+
+
 QUERIES = {
     "op1_token_orc": op1_token_orc,
     "op2_packing": op2_packing,
@@ -115,6 +120,7 @@ QUERIES = {
     "op9_line_dedup": op9_line_dedup,
     "op10_toxicity": op10_toxicity,
     "op12_ranked_search": op12_ranked_search,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 ORACLE = {
