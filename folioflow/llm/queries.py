@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow.llm import (
-    conversations, decontaminate, line_dedup, near_dedup, packing, pii, quality, ranked_search,
-    substrings, token_orc, toxicity, url_filter,
+    conversations, decontaminate, line_dedup, near_dedup, neighbours, packing, pii, quality,
+    ranked_search, substrings, token_orc, toxicity, url_filter,
 )
 from folioflow.llm.tables import given, shared_folder, whole_text
 
@@ -98,6 +98,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(given(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, benchmark = (given(spark, sf_dir, name) for name in ("documents", "benchmark"))
     return ranked_search.search(docs, benchmark)
@@ -119,6 +123,7 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_line_dedup": op9_line_dedup,
     "op10_toxicity": op10_toxicity,
+    "op11_neighbours": op11_neighbours,
     "op12_ranked_search": op12_ranked_search,
     "op13_conversation_repair": op13_conversation_repair,
 }
