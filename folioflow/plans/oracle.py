@@ -214,7 +214,7 @@ _EXPIRED = """
     WHERE NOT complete AND upload_id < (SELECT max(upload_id) FROM manifest) - 24"""
 
 _QUERIES = {
-    "scan_documents": "SELECT doc_id, md5(text) AS text_md5 FROM documents WHERE text <> ''",
+    "scan_documents": "SELECT doc_id, md5(coalesce(text, '')) AS text_md5 FROM documents",
     "scan_clients": "SELECT id, name FROM clients",
     "append_files": "SELECT * FROM added_files",
     "bulk_union": f"""

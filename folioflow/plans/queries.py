@@ -48,9 +48,13 @@ def shown_files(files: DataFrame) -> DataFrame:
 
 @query
 def scan_documents(v: Views) -> DataFrame:
-    """Documents stored as one file each, found in their folders and read with content."""
+    """Documents stored as one file each, found in their folders and read with content.
+
+    Files of one document each are what this scan is for; larger stores are read by
+    byte ranges, see `scan_ranges`.
+    """
     folder = storage.shared_folder(v.spark)
-    documents = v.documents().where(F.col("text") != "")
+    documents = v.documents().select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     documents.write.partitionBy("doc_id").option("lineSep", "\n").text(folder)
     found = storage.text_documents(storage.scan_documents(v.spark, folder, "*.txt"))
     # The writer ends each row with a line end.

@@ -9,9 +9,11 @@ import pytest
 ROOT = Path(__file__).resolve().parent.parent
 sys.path.insert(0, str(ROOT / "tools"))
 
+import __spark_entry__ as entry  # noqa: E402
 from check import TABLES, rows_of  # noqa: E402
 
 from folioflow.plans import oracle, queries  # noqa: E402
+from folioflow.sources import storage  # noqa: E402
 
 FOLDER = "/root/testdata/sf0.001"
 QUERIES, TWINS = queries.QUERIES, oracle.oracle_sql()
@@ -42,11 +44,17 @@ def test_every_query_has_a_twin():
 
 
 def test_file_listing_reads_sizes(spark):
-    found = QUERIES["scan_documents"](spark, FOLDER).collect()
+    found = storage.scan_documents(spark, FOLDER, "*.parquet", content=False).collect()
     assert {(r.file_name, r.file_size) for r in found} == {
         (p.name, p.stat().st_size) for p in Path(FOLDER).iterdir()}
 
 
+def test_stored_documents_come_back_whole(spark):
+    """Every document, empty and null ones included."""
+    documents = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    assert QUERIES["scan_documents"](spark, FOLDER).count() == documents.count()
+
+
 def test_entry_runs(spark):
     assert entry.entry(spark).count() > 0
 
