@@ -6,12 +6,15 @@ documents and open gaps by size into ranges, largest first, a gap before a docum
 size. Each range is swept once: gaps go on a stack, and a document takes the top one, which is
 its successor, the smallest gap that still holds it; what is left of the gap comes up again
 when the documents have become small enough. Documents that find the stack of their range
-empty, and gaps that no document of their range wanted, are ranked; the counts of each range (a
-few numbers a partition) tell which ranks meet across ranges, and a join on range and rank
-brings them together. Then gaps too small for any document close, and the next round begins.
-
-The first round opens as many empty sequences as all tokens need at least; more are opened when
-a round places hardly any document. Documents below `bundle` tokens are put together in bundles
+empty, and gaps that are left at its end, are ranked by size. How many there are of each size
+in each range, a few numbers for each size up to the capacity, tells which ranks meet
+across ranges: from the largest size down, documents take the smallest gaps that hold them, and what
+that leaves of a gap meets later documents in the same round. Runs of ranks that meet are held by
+two offsets, so the plan grows with the number of sizes and not with that of documents. One join on
+range and rank then brings documents and sequences together. Gaps too small for any open document close,
+and the next round begins with what fitted nowhere.
+
+Each round opens as many empty sequences as its tokens need at least. Documents below `bundle` tokens are put together in bundles
 of less than twice that size beforehand, so that the number of rounds depends on the capacity
 and not on the number of tiny documents. Each round is a written table.
 
@@ -22,6 +25,7 @@ are packed like any others. Empty tables give no rows. Other columns are not use
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left, insort
 from dataclasses import dataclass
 from heapq import heappop, heappush
 
@@ -39,7 +43,6 @@ class Settings:
     word_level: bool
     capacity: int = 4096
     bundle: int = 64
-    least_placed: float = 0.005  # share of open documents; below it, more sequences are opened
 
 
 def pieces(docs: DataFrame, settings: Settings, slice_rows: int = 256) -> DataFrame:
@@ -89,9 +92,9 @@ def pieces(docs: DataFrame, settings: Settings, slice_rows: int = 256) -> DataFr
     )
 
 
-# What a row of a sweep is: a gap that may meet documents of later ranges, a document without a
-# gap, a document with its gap, or a gap that is too small for the documents of its range.
-GAP, OPEN, PLACED, LATER = 0, 1, 2, 3
+# What a row of a sweep is: a gap left at the end of its range, a document without a gap, or a
+# document with its gap.
+GAP, OPEN, PLACED = 0, 1, 2
 _SWEPT = "part int, role int, rank long, unit long, size long, seq long, gap long"
 
 
@@ -134,84 +137,132 @@ def _sweep(state: DataFrame) -> DataFrame:
                     out.append((part, OPEN, waiting, unit[i], now, None, None))
                     waiting += 1
             yield frame(out)
-        rest = [(part, GAP, k, None, None, n, -room) for k, (room, n) in enumerate(stack)]
-        yield frame(rest + [(part, LATER, None, None, None, n, -room) for room, n in left])
+        rest = sorted(stack + left)
+        yield frame([(part, GAP, k, None, None, n, -room) for k, (room, n) in enumerate(rest)])
 
     return ranged.mapInPandas(sweep, _SWEPT)
 
 
-def _meetings(counts: list) -> list[tuple]:
-    """Which ranks of waiting documents meet which ranks of gaps left over by earlier ranges:
-    (part, first rank, last rank, part of the gaps, rank of the gap for the first)."""
-    stack, out = [], []
-    for row in sorted(counts, key=lambda r: r.part):
-        waiting = 0
-        while waiting < row.waiting and stack:
-            part, left = stack[-1]
-            taken = min(left, row.waiting - waiting)
-            out.append((row.part, waiting, waiting + taken - 1, part, left - 1))
-            waiting += taken
-            stack.pop()
-            if left > taken:
-                stack.append((part, left - taken))
-        if row.gaps:
-            stack.append((row.part, row.gaps))
-    return out
-
-
-def _round(state: DataFrame) -> tuple[DataFrame, int, int]:
-    """One round: its table (unit, size, seq, gap, left), documents placed, and still open.
+def _plan(documents: list, gaps: list) -> tuple[list, list]:
+    """Which ranks of waiting documents meet which ranks of gaps.
+
+    documents, gaps: (part, size, first rank, how many), each of one size. Returns meetings
+    (part, first rank, last rank, part of the gaps, first of their ranks, gap before) and what is left
+    (part of the gaps, first rank, last rank, gap). A run of gaps is met as a whole or cut in two.
+    """
+    runs: dict[int, list] = {}
+    for part, size, first, many in sorted(gaps, reverse=True):
+        runs.setdefault(size, []).append((part, first, many))
+    sizes = sorted(runs)
+    meetings = []
+
+    def add(size, run):
+        if size not in runs:
+            insort(sizes, size)
+            runs[size] = []
+        runs[size].append(run)
+
+    for part, size, first, many in sorted(documents, key=lambda d: (-d[1], d[0], d[2])):
+        while many:
+            at = bisect_left(sizes, size)
+            if at == len(sizes):
+                break
+            room = sizes[at]
+            gap_part, gap_first, free = runs[room].pop()
+            taken = min(many, free)
+            meetings.append((part, first, first + taken - 1, gap_part, gap_first, room))
+            if free > taken:
+                runs[room].append((gap_part, gap_first + taken, free - taken))
+            if not runs[room]:
+                del runs[room], sizes[at]
+            if room > size:
+                add(room - size, (gap_part, gap_first, taken))
+            first, many = first + taken, many - taken
+    left = [(part, first, first + many - 1, size) for size in sizes for part, first, many in runs[size]]
+    return meetings, left
+
+
+def _looked_up(rows: DataFrame, plan: list, columns: list[str], schema: str) -> DataFrame:
+    """Rows of (part, rank) with the columns of the plan's entry (part, first, last, ...) that
+    holds the rank, where there is one, and how far the rank lies behind the first."""
+    entries: dict = {}
+    for part, *entry in plan:
+        entries.setdefault(part, []).append(entry)
+    entries = {part: sorted(own) for part, own in entries.items()}
+    # Bounded by the number of sizes below the capacity and of partitions, see `_plan`.
+    held = rows.sparkSession.sparkContext.broadcast(entries)
+
+    def look(frames):
+        import numpy as np
+        import pandas as pd
+
+        for frame in frames:
+            found = []
+            for part, group in frame.groupby("part"):
+                own = held.value.get(part)
+                group = group.copy()
+                for name in ["behind", *columns]:
+                    group[name] = pd.array([None] * len(group), dtype="Int64")
+                if own:
+                    table = np.array(own, dtype=np.int64)
+                    rank = group["rank"].to_numpy("int64")
+                    at = np.maximum(np.searchsorted(table[:, 0], rank, side="right") - 1, 0)
+                    inside = (rank >= table[at, 0]) & (rank <= table[at, 1])
+                    values = {"behind": rank - table[at, 0]}
+                    values |= {name: table[at, 2 + k] for k, name in enumerate(columns)}
+                    for name, value in values.items():
+                        group[name] = pd.array(np.where(inside, value, 0), dtype="Int64")
+                        group.loc[~inside, name] = pd.NA
+                found.append(group)
+            if found:
+                yield pd.concat(found)
+
+    return rows.mapInPandas(look, schema)
+
+
+def _round(state: DataFrame) -> tuple[DataFrame, int]:
+    """One round: its table (unit, size, seq, gap, left), and how many documents are still open.
 
     `left` is the gap that goes into the next round, on one row of each sequence that has any.
     """
     swept = written(_sweep(state), "packing-sweep")
-    of = lambda role: F.sum(F.when(F.col("role") == role, 1).otherwise(0))
     counts = (
-        swept.groupBy("part")
-        .agg(of(OPEN).alias("waiting"), of(GAP).alias("gaps"), of(PLACED).alias("placed"))
-        .collect()
-    )  # a row for each partition
-    meetings = _meetings(counts)
-    placed = sum(c.placed for c in counts) + sum(last - first + 1 for _, first, last, *_ in meetings)
-    waiting = sum(c.waiting + c.placed for c in counts) - placed
-    spark = swept.sparkSession
-    # Both tables have at most two rows a partition.
-    table = spark.createDataFrame(
-        meetings, "of int, first long, last long, gap_part int, top long"
-    )
-    taken: dict[int, int] = {}
-    for _, first, last, part, _ in meetings:
-        taken[part] = taken.get(part, 0) + last - first + 1
-    used = spark.createDataFrame(
-        [(c.part, c.gaps - taken.get(c.part, 0)) for c in counts], "of int, free long"
-    )
+        swept.groupBy("part", "role", F.coalesce("size", "gap").alias("size"))
+        .agg(F.min("rank").alias("first"), F.count("*").alias("many")).collect()
+    )  # a row for each size below the capacity, and one more for each partition, at most
+    of = lambda role: [(c.part, c.size, c.first, c.many) for c in counts if c.role == role]
+    meetings, left = _plan(of(OPEN), of(GAP))
+    met = sum(last - first + 1 for _, first, last, *_ in meetings)
+    waiting = sum(c.many for c in counts if c.role == OPEN) - met
     columns = ["unit", "size", "seq", "gap"]
-    documents = (
-        swept.where(F.col("role") == OPEN)
-        .join(F.broadcast(table),
-              (F.col("part") == F.col("of")) & F.col("rank").between(F.col("first"), F.col("last")),
-              "left")
-        .select(*columns, "gap_part", (F.col("top") - (F.col("rank") - F.col("first"))).alias("place"))
+    documents = _looked_up(
+        swept.where(F.col("role") == OPEN).select("part", "rank", "unit", "size"),
+        meetings, ["gap_part", "gap_first", "room"],
+        "part int, rank long, unit long, size long, behind long, gap_part long, gap_first long, room long",
     )
-    gaps = swept.where(F.col("role") == GAP).join(F.broadcast(used), F.col("part") == F.col("of"))
-    # Only ranks that meet go through the join.
-    met = (
-        documents.where(F.col("gap_part").isNotNull()).select("unit", "size", "gap_part", "place")
-        .join(
-            gaps.where(F.col("rank") >= F.col("free")).select(
-                F.col("part").alias("gap_part"), F.col("rank").alias("place"), "seq", "gap"
-            ),
-            ["gap_part", "place"],
+    gaps = swept.where(F.col("role") == GAP)
+    # Only documents that meet a gap go through the join.
+    joined = (
+        documents.where(F.col("gap_part").isNotNull()).select(
+            "unit", "size", F.col("gap_part").cast("int").alias("part"),
+            (F.col("gap_first") + F.col("behind")).alias("rank"), F.col("room").alias("gap"),
         )
-        .select(*columns, (F.col("gap") - F.col("size")).alias("left"))
+        .join(gaps.select("part", "rank", "seq"), ["part", "rank"])
+    )
+    none = F.lit(None).cast("long")
+    local = swept.where(F.col("role") == PLACED).select(*columns, none.alias("left"))
+    waits = documents.where(F.col("gap_part").isNull()).select(
+        "unit", "size", none.alias("seq"), none.alias("gap"), none.alias("left")
+    )
+    free = _looked_up(
+        gaps.select("part", "rank", "seq"), left, ["room"],
+        "part int, rank long, seq long, behind long, room long",
+    )
+    free = free.where(F.col("room").isNotNull()).select(
+        none.alias("unit"), none.alias("size"), "seq", F.col("room").alias("gap"), F.col("room").alias("left")
     )
-    none = F.lit(None).cast("long").alias("left")
-    local = swept.where(F.col("role") == PLACED).select(*columns, none)
-    waits = documents.where(F.col("gap_part").isNull()).select(*columns, none)
-    later = swept.where(F.col("role") == LATER).select(*columns, F.col("gap").alias("left"))
-    free = gaps.where(F.col("rank") < F.col("free")).select(*columns, F.col("gap").alias("left"))
-    rows = local.union(met).union(waits).union(later).union(free)
-    return written(rows, "packing-round"), placed, waiting
+    rows = local.union(joined.select(*columns, none.alias("left"))).union(waits).union(free)
+    return written(rows, "packing-round"), waiting
 
 
 def _empty(spark, first: int, number: int, capacity: int) -> DataFrame:
@@ -222,7 +273,7 @@ def _empty(spark, first: int, number: int, capacity: int) -> DataFrame:
     )
 
 
-def place(units: DataFrame, capacity: int, least_placed: float) -> DataFrame:
+def place(units: DataFrame, capacity: int) -> DataFrame:
     """(unit, seq, offset) for every (unit, size), sizes below the capacity."""
     spark = units.sparkSession
     none = F.lit(None).cast("long")
@@ -230,7 +281,7 @@ def place(units: DataFrame, capacity: int, least_placed: float) -> DataFrame:
         units.select("unit", "size", none.alias("seq"), none.alias("gap")), "packing-units"
     )
     gaps, rounds, sequences = None, [], 0
-    placed, count = 0, 1
+    count = 1
     while count:
         open_now = waiting.agg(F.sum("size").alias("tokens"), F.count("*").alias("n"), F.min("size").alias("least")).first()
         if not open_now.n:
@@ -238,11 +289,10 @@ def place(units: DataFrame, capacity: int, least_placed: float) -> DataFrame:
         state = waiting
         if gaps is not None:
             state = state.union(gaps.where(F.col("gap") >= open_now.least))
-        if gaps is None or placed <= least_placed * open_now.n:
-            more = -(-open_now.tokens // capacity)
-            state = state.union(_empty(spark, sequences, more, capacity))
-            sequences += more
-        table, placed, count = _round(state)
+        more = -(-open_now.tokens // capacity)
+        state = state.union(_empty(spark, sequences, more, capacity))
+        sequences += more
+        table, count = _round(state)
         rounds.append(
             table.where(F.col("unit").isNotNull() & F.col("seq").isNotNull())
             .select("unit", "size", "seq", "gap")
@@ -262,7 +312,7 @@ def pack(docs: DataFrame, settings: Settings) -> DataFrame:
     items = written(pieces(docs, settings), "packing-pieces")
     whole = F.col("length") == settings.capacity
     units = items.where(~whole).groupBy("unit").agg(F.sum("length").alias("size"))
-    places = place(units, settings.capacity, settings.least_placed)
+    places = place(units, settings.capacity)
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
     alone = items.where(whole).select(
         *columns, (-1 - F.col("item")).alias("sequence_id"), F.lit(0).cast("long").alias("offset")
