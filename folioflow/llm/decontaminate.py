@@ -78,40 +78,55 @@ def plain(word: Column) -> Column:
 
 
 def _windows(size: int) -> Column:
-    """Of each stretch of `size` words: hash of its template, of its exact form, and, if it begins
-    with a name, of its template with that word plain."""
+    """(place, hash) of each stretch of `size` words: of its exact form; of its template, where that
+    differs, so only around slots; and, where it begins with a name, of its template with that word
+    plain."""
     many = F.size("hashes") - (size - 1)
     hashes, exact = F.col("hashes"), F.col("exact")
-
-    def window(at):
-        first = F.get(exact, at - 1)
-        mixed = F.xxhash64(F.concat(F.array(first), F.slice(hashes, at + 1, size - 1)))
-        return F.struct(
-            F.xxhash64(F.slice(hashes, at, size)).alias("template"),
-            F.xxhash64(F.slice(exact, at, size)).alias("exact"),
-            F.when(F.get(hashes, at - 1) == F.xxhash64(F.lit(NAME)), mixed).alias("mixed"),
-        )
-
-    return F.when(many > 0, F.transform(F.sequence(F.lit(1), F.greatest(many, F.lit(1))), window))
+    entry = lambda at, value: F.struct(at.alias("place"), value.alias("hash"))
+    slots = F.filter(
+        F.transform(hashes, lambda own, i: F.when(own != F.get(exact, i), i)), lambda i: i.isNotNull()
+    )
+    around = F.transform(
+        slots, lambda i: F.sequence(F.greatest(i - (size - 1), F.lit(0)), F.greatest(F.least(i, many - 1), F.lit(0)))
+    )
+    begun = F.filter(slots, lambda i: (i < many) & (F.get(hashes, i) == F.xxhash64(F.lit(NAME))))
+    every = F.concat(
+        F.transform(
+            F.sequence(F.lit(0), many - 1), lambda at: entry(at, F.xxhash64(F.slice(exact, at + 1, size)))
+        ),
+        F.transform(
+            F.array_distinct(F.flatten(around)),
+            lambda at: entry(at, F.xxhash64(F.slice(hashes, at + 1, size))),
+        ),
+        F.transform(
+            begun,
+            lambda at: entry(
+                at, F.xxhash64(F.concat(F.array(F.get(exact, at)), F.slice(hashes, at + 2, size - 1)))
+            ),
+        ),
+    )
+    return F.when(many > 0, every)
 
 
 def _placed(tokens: DataFrame, size: int, *columns: str) -> DataFrame:
     """The columns, place (from 0) and hash of all windows of a size."""
-    forms = F.array("window.template", "window.exact")
-    every = F.when(F.col("window.mixed").isNotNull(), F.array_append(forms, F.col("window.mixed")))
-    same = F.col("window.template") == F.col("window.exact")
-    every = every.when(same, F.array("window.exact")).otherwise(forms)
-    return tokens.select(*columns, F.posexplode(_windows(size)).alias("place", "window")).select(
-        *columns, "place", F.explode(every).alias("hash")
+    return tokens.select(*columns, F.explode(_windows(size)).alias("window")).select(
+        *columns, "window.place", "window.hash"
     )
 
 
 def _hashed(rows: DataFrame, text: Column, *keys: str) -> DataFrame:
     """keys, words, their template hashes and those of their exact form."""
     return rows.select(*keys, words(text).alias("words")).select(
+        *keys, "words", F.transform("words", lambda word: F.xxhash64(plain(word))).alias("exact")
+    ).select(
         *keys, "words",
-        F.transform("words", lambda word: F.xxhash64(placeholder(word))).alias("hashes"),
-        F.transform("words", lambda word: F.xxhash64(plain(word))).alias("exact"),
+        F.zip_with(
+            "words", "exact",
+            lambda word, own: F.when(word < ":", F.xxhash64(placeholder(word))).otherwise(own),
+        ).alias("hashes"),
+        "exact",
     )
 
 
@@ -173,9 +188,11 @@ def contaminated(
         sizes = [settings.window]
     keyed = docs.select(*row_key(), whole_text().alias("text"))
     met = written(_met(_hashed(keyed, F.col("text"), "doc_id", "text_key"), hashes, sizes), "met")
-    suspects = met.select("doc_id", "text_key").distinct()
-    texts = join_on(keyed, suspects, ["doc_id", "text_key"], "left_semi").distinct()
-    tokens = _hashed(texts, F.col("text"), "doc_id", "text_key")
+    suspects = written(met.select("doc_id", "text_key").distinct(), "suspects")
+    texts = join_on(keyed, suspects, ["doc_id", "text_key"], "left_semi")
+    # Texts are moved once; rows are told apart by their keys.
+    texts = texts.groupBy("doc_id", "text_key").agg(F.first("text").alias("text"))
+    tokens = _hashed(written(texts, "suspected-texts"), F.col("text"), "doc_id", "text_key")
     aligned = written(_met_with_slots(tokens, bench, sizes), "aligned")
     windows = written(_consistent(aligned), "consistent")
     return _covered(windows, tokens, _items(benchmark), settings)
