@@ -51,7 +51,7 @@ def test_lines(results):
 
 def test_near_duplicates(results):
     before, after = texts(results[2]), texts(results[3])
-    roots = brute.components(list(before.items()))
+    roots = brute.components(list(before.items()), 80)
     assert set(after) == {i for i in before if roots[i] == i}
 
 
