@@ -233,33 +233,24 @@ def assemble_segments(
     out; see `check_chunks`. Uploads with missing chunks are included; see
     `assemble_chunks`.
 
-    With an order the winners are found on narrow columns and joined back, and each body is
-    shuffled once with the others of its segment, unsorted.
+    A missing order is lower than any; of equals the longest body wins, then the greatest.
+    Each body is shuffled once, to the others of its segment, where repeats are reduced
+    one at a time, so a chunk may be sent very often.
     """
     segment_no = F.floor(F.col("chunk_index") / segment_chunks)
-    placed = chunks.where(in_range())
-    place = ["upload_id", "chunk_index"]
-    if order is None:
-        once = placed.groupBy(*place).agg(
-            F.max("total_chunks").alias("total_chunks"), F.max("body").alias("body")
-        )
-    else:
-        latest = placed.groupBy(*place).agg(F.max(order).alias(order))
-        once = placed.join(latest, [*place, order])
-    parts = F.struct("chunk_index", "body")
-    packed = (
-        once.withColumn("segment_no", segment_no)
-        .groupBy("upload_id", "segment_no")
-        .agg(F.max("total_chunks").alias("total_chunks"), F.collect_set(parts).alias("_parts"))
+    placed = chunks.where(in_range()).withColumn("segment_no", segment_no)
+    known = [] if order is None else [order]
+    last = F.max(F.struct(*known, F.octet_length("body").alias("_bytes"), "body"))
+    # Both groupings find their rows together already.
+    once = (
+        placed.repartition("upload_id", "segment_no")
+        .groupBy("upload_id", "segment_no", "chunk_index")
+        .agg(F.max("total_chunks").alias("total_chunks"), last["body"].alias("body"))
     )
-    # Copies that agree in their order differ in nothing that would tell which is later.
-    sorted_parts = F.sort_array("_parts")
-    single = F.filter(
-        sorted_parts,
-        lambda part, i: (i == F.size(sorted_parts) - 1)
-        | (part["chunk_index"] != F.get(sorted_parts, i + 1)["chunk_index"]),
+    parts = F.sort_array(F.collect_list(F.struct("chunk_index", "body")))
+    packed = once.groupBy("upload_id", "segment_no").agg(
+        F.max("total_chunks").alias("total_chunks"), parts.alias("_single")
     )
-    packed = packed.withColumn("_single", single)
     bodies = F.col("_single.body")
     if dict(chunks.dtypes)["body"] == "binary":
         empty = F.lit(b"")
@@ -290,7 +281,7 @@ def upload_sizes(chunks: DataFrame, order: str) -> DataFrame:
         "upload_id", "chunk_index", order, F.octet_length("body").cast("bigint").alias("_bytes")
     )
     latest = lengths.groupBy("upload_id", "chunk_index").agg(
-        F.max_by("_bytes", order).alias("_bytes")
+        F.max(F.struct(order, "_bytes"))["_bytes"].alias("_bytes")
     )
     sizes = latest.groupBy("upload_id").agg(
         F.count(F.lit(1)).alias("n_chunks"), F.sum("_bytes").alias("file_size")
@@ -301,21 +292,27 @@ def upload_sizes(chunks: DataFrame, order: str) -> DataFrame:
 def upload_files(chunks: DataFrame, projects: DataFrame, order: str) -> DataFrame:
     """Complete uploads as files to take in: pos, project_id, file_name, file_size, file_path.
 
-    Marks every upload (`accepted`, `reject_reason`): the name must be a PDF's and the
-    project known. Names are made safe. `pos` is the upload.
+    Marks every upload (`accepted`, `reject_reason`): the name as it was sent must be a PDF's and the
+    project known. Names are made safe; one of which too little is left, as of one in another
+    script, is replaced by the upload's id. `pos` is the upload.
     """
     named = chunks.groupBy("upload_id").agg(
         F.max("file_name").alias("file_name"), F.max("project_id").alias("project_id")
     )
     sized = upload_sizes(chunks, order).select(F.col("upload_id"), "file_size").join(named, "upload_id")
-    safe = sized.select(
-        F.col("upload_id").alias("pos"), "project_id",
-        names.safe_filename(F.col("file_name")).alias("file_name"), "file_size",
-    )
+    pdf, cleaned = names.is_pdf(F.col("_sent_name")), names.safe_filename(F.col("_sent_name"))
+    number = F.col("upload_id").cast("string")
+    name = (
+        F.when(pdf & ~names.is_pdf(cleaned), F.concat(number, F.lit(".pdf")))
+        .when(cleaned == "", number).otherwise(cleaned)
+    )
+    safe = sized.withColumnRenamed("file_name", "_sent_name").select(
+        F.col("upload_id").alias("pos"), "project_id", name.alias("file_name"), "file_size",
+        pdf.alias("_pdf"),
+    )
     placed = safe.withColumn(
         "file_path", F.concat_ws("/", F.lit("uploads"), "project_id", "pos", "file_name")
     )
     known = orphan_check(placed, projects).drop("reject_reason").withColumnRenamed("accepted", "_known")
-    pdf = names.is_pdf(F.col("file_name"))
-    reason = F.when(~pdf, rules.NOT_A_PDF).otherwise(rules.NO_PROJECT)
-    return accept_if(known, pdf & F.col("_known"), reason).drop("_known")
+    reason = F.when(~F.col("_pdf"), rules.NOT_A_PDF).otherwise(rules.NO_PROJECT)
+    return accept_if(known, F.col("_pdf") & F.col("_known"), reason).drop("_known", "_pdf")

@@ -110,7 +110,8 @@ class Views:
         """Conversations as uploads: one that stops at a user turn lacks its last chunk.
 
         Every fifth upload sends its first chunk again with another body; every eleventh
-        sends one without an index, and every thirteenth one that is out of range.
+        sends one without an index, and every thirteenth one that is out of range. Some chunks
+        lack the time they were sent, and some names are in another script.
         """
         turns = self.table("conversations")
         totals = turns.groupBy("conv_id").agg(
@@ -124,8 +125,9 @@ class Views:
             (F.col("_seen") + waiting).alias("total_chunks"),
             F.col("text").alias("body"),
             F.timestamp_seconds(F.lit(1_704_067_200) + key).alias("started_at"),
-            F.col("turn").alias("sent"),
-            F.concat(F.lit("talk "), key, F.when(key % 17 == 3, ".txt").otherwise(".pdf"))
+            F.when((key + F.col("turn")) % 3 != 0, F.col("turn")).alias("sent"),
+            F.when(key % 19 == 4, "\u6587\u6863.pdf")
+            .otherwise(F.concat(F.lit("talk "), key, F.when(key % 17 == 3, ".txt").otherwise(".pdf")))
             .alias("file_name"),
             (key % 28).cast("int").alias("project_id"),
         )

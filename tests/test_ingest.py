@@ -223,3 +223,34 @@ def test_runs_start_for_known_files_with_a_valid_option(spark):
     assert got == [(1, "basic", True, None, "Processing"),
                    (2, "fast", False, "Invalid OCR option provided.", None),
                    (3, "basic", False, "File not found", None)]
+
+
+def test_chunks_without_a_time_are_kept(spark):
+    """A missing order is the lowest; it loses no chunk."""
+    chunks = spark.createDataFrame(
+        [(1, 0, 2, "aa", 0), (1, 1, 2, "bb", None), (2, 0, 1, "old", None), (2, 0, 1, "new", 3)],
+        "upload_id int, chunk_index int, total_chunks int, body string, sent int",
+    )
+    found = ingest.assemble_chunks(chunks, "sent").select("upload_id", "body").collect()
+    assert {r.upload_id: r.body for r in found} == {1: "aabb", 2: "new"}
+    sizes = {r.upload_id: (r.n_chunks, r.file_size) for r in ingest.upload_sizes(chunks, "sent").collect()}
+    assert sizes == {1: (2, 4), 2: (1, 3)}
+
+
+def test_bodies_are_shuffled_once(spark):
+    chunks = spark.range(100).selectExpr(
+        "id div 10 upload_id", "id % 10 chunk_index", "10L total_chunks", "string(id) body", "id sent")
+    plan = ingest.assemble_segments(chunks, "sent")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+
+
+def test_names_in_other_scripts_are_taken(spark):
+    names_sent = ["文档.pdf", "文档.txt", "plan b.PDF", "...", "pdf"]
+    chunks = spark.createDataFrame(
+        [(i, 0, 1, "x", 0, name, 1) for i, name in enumerate(names_sent)],
+        "upload_id int, chunk_index int, total_chunks int, body string, sent int, file_name string, project_id int",
+    )
+    projects = spark.createDataFrame([(1,)], "id int")
+    found = {r.pos: (r.file_name, r.accepted) for r in ingest.upload_files(chunks, projects, "sent").collect()}
+    assert found[0] == ("0.pdf", True) and not found[1][1] and found[2] == ("plan_b.PDF", True)
+    assert found[3] == ("3", False) and not found[4][1]
