@@ -61,8 +61,9 @@ _VIEWS = {
           ON c.upload_id = r.upload_id""",
     "upload_file": """
         SELECT upload_id AS pos, CAST(upload_id % 28 AS INTEGER) AS project_id,
-               'talk_' || upload_id || CASE WHEN upload_id % 17 = 3 THEN '.txt' ELSE '.pdf' END
-                 AS file_name,
+               CASE WHEN upload_id % 19 = 4 THEN upload_id || '.pdf'
+                    ELSE 'talk_' || upload_id || CASE WHEN upload_id % 17 = 3 THEN '.txt' ELSE '.pdf' END
+               END AS file_name,
                CAST(sum(octet_length(encode(body))) AS BIGINT) AS file_size
         FROM chunks WHERE upload_id IN (SELECT upload_id FROM manifest WHERE complete)
         GROUP BY upload_id""",
@@ -474,8 +475,79 @@ _QUERIES = {
     "stream_assemble": _SEGMENTS.format(size=16, where=_COMPLETE),
     "stream_status": _STATUS,
     "stream_gather": """
-        SELECT doc_id, count(*) AS n_batches, count(*) FILTER (bad) AS n_failed
-        FROM batches GROUP BY doc_id""",
+        SELECT doc_id, '2024-01-01 0' || again || ':00:00.000000' AS started_at,
+               count(*) AS n_batches, count(*) FILTER (bad) AS n_failed
+        FROM batches, (SELECT unnest([0, 1]) AS again)
+        WHERE again = 0 OR doc_id % 4 = 0 GROUP BY doc_id, again""",
+    "stream_runs": """
+        WITH run AS (
+            SELECT doc_id, batch_no, bad, TIMESTAMP '2024-01-01' + to_hours(doc_id + 48 * again) AS start,
+                   CASE WHEN doc_id % 5 = 1 AND batch_no = 0 THEN 1800 ELSE 10 + doc_id % 7 END AS wait,
+                   doc_id % 7 <> 3 AND NOT (doc_id % 3 = 0 AND batch_no = 0) AS sent
+            FROM batches, (SELECT unnest([0, 1]) AS again) WHERE again = 0 OR doc_id % 4 = 0
+        ), ends AS (
+            SELECT least((SELECT max(start) FROM run),
+                         (SELECT max(start + to_minutes(wait + CASE WHEN doc_id % 2 = 0 THEN 5 ELSE 0 END))
+                          FROM run WHERE sent)) - INTERVAL 1 HOUR AS mark
+        ), counted AS (
+            SELECT doc_id, start, count(*) AS n_batches,
+                   count(*) FILTER (sent AND wait <= 1440) AS n_reported,
+                   count(*) FILTER (sent AND wait <= 1440 AND bad) AS n_failed
+            FROM run GROUP BY ALL
+        )
+        SELECT doc_id, strftime(start, '%Y-%m-%d %H:%M:%S.%f') AS started_at, n_batches, n_reported,
+               n_failed,
+               CASE WHEN n_reported = 0 THEN 'never reported' WHEN n_reported < n_batches
+                    THEN 'unfinished' ELSE 'finished' END AS outcome
+        FROM counted, ends WHERE start + INTERVAL 24 HOUR < mark""",
+    "stream_upload_state": """
+        WITH sent AS (
+            SELECT upload_id, chunk_index, total_chunks,
+                   unnest(CASE WHEN chunk_index = 0 THEN
+                     list_concat([0], list_concat(CASE WHEN upload_id % 3 = 0 THEN [1800] ELSE [] END,
+                                                  CASE WHEN upload_id % 7 = 0 THEN [20] ELSE [] END))
+                     ELSE [0] END) AS wait
+            FROM chunks
+            UNION ALL
+            SELECT upload_id, NULL, total_chunks, 0 FROM bad_chunks
+            UNION ALL
+            SELECT upload_id, chunk_index, total_chunks,
+                   unnest(list_concat([0], list_concat(CASE WHEN upload_id % 3 = 0 THEN [1800] ELSE [] END,
+                                                       CASE WHEN upload_id % 7 = 0 THEN [20] ELSE [] END)))
+            FROM chunks WHERE chunk_index = 0 AND upload_id % 5 = 0
+        ), timed AS (
+            SELECT *, TIMESTAMP '2024-01-01' + to_hours(upload_id) AS start,
+                   epoch(TIMESTAMP '2024-01-01' + to_hours(upload_id) + to_minutes(wait)) AS arrived
+            FROM sent
+        ), staged AS (
+            SELECT *, least(floor((arrived - min(arrived) OVER ())
+                                    / ((max(arrived) OVER () - min(arrived) OVER ()) / 4.0)), 3) AS stage
+            FROM timed
+        ), marks AS (
+            SELECT s.stage, (SELECT max(start) FROM staged t WHERE t.stage < s.stage) AS mark
+            FROM (SELECT DISTINCT stage FROM staged) s
+        ), seen AS (
+            SELECT *, coalesce(mark >= start + INTERVAL 24 HOUR, false) AS late,
+                   coalesce(mark > start + INTERVAL 48 HOUR, false) AS gone
+            FROM staged JOIN marks USING (stage)
+        ), counted AS (
+            SELECT upload_id, start, max(total_chunks) AS total_chunks,
+                   count(DISTINCT chunk_index) AS n_chunks,
+                   count(*) FILTER (chunk_index IS NULL) AS n_rejected
+            FROM seen WHERE NOT late GROUP BY ALL
+        )
+        SELECT upload_id, strftime(start, '%Y-%m-%d %H:%M:%S.%f') AS started_at,
+               CASE WHEN n_chunks = total_chunks AND n_rejected = 0 THEN 'complete' ELSE 'expired' END
+                 AS outcome, n_chunks, total_chunks, n_rejected, 0 AS n_late
+        FROM counted
+        WHERE (n_chunks = total_chunks AND n_rejected = 0)
+           OR start + INTERVAL 24 HOUR <= (SELECT max(start) FROM staged)
+        UNION ALL
+        SELECT upload_id, strftime(s.start, '%Y-%m-%d %H:%M:%S.%f'), 'late', n_chunks,
+               c.total_chunks, c.n_rejected, count(*)
+        FROM seen s JOIN counted c USING (upload_id)
+        WHERE late AND NOT gone AND NOT (n_chunks = c.total_chunks AND c.n_rejected = 0)
+        GROUP BY ALL""",
     "stream_expire_runs": """
         SELECT doc_id, count(*) AS n_batches, count(*) - 1 AS n_reported,
                count(*) FILTER (bad AND batch_no > 0) AS n_failed
@@ -511,6 +583,8 @@ def _statement(sql: str) -> str:
         f"{name} AS ({_VIEWS[name].format(fault=FAULT).strip()})" for name in _needed(sql)
     )
     body = sql.replace("{{", "{").replace("}}", "}").strip()
+    if body.startswith("WITH"):
+        body = f"SELECT * FROM ({body})"
     return f"WITH {views}\n{body}" if views else body
 
 

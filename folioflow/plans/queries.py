@@ -18,7 +18,7 @@ from folioflow.operators import (
 from folioflow.plans.document_run import Run, merged_sections, run_documents
 from folioflow.plans.views import Views, sample_page_function, text_time
 from folioflow.sources import storage
-from folioflow.streaming import runs, sinks, uploads
+from folioflow.streaming import runs, sinks, upload_state, uploads
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -701,7 +701,34 @@ def _landed_parts(
     uploads.start_parts(
         stream, f"{folder}/parts", f"{folder}/parts_log", available_now=True
     ).awaitTermination()
-    return sinks.file_stream(v.spark, f"{folder}/parts", uploads.parts_schema(chunks)), folder
+    files = len(storage.read_table(v.spark, f"{folder}/parts").inputFiles())
+    each = files // MICRO_BATCHES or 1
+    return sinks.file_stream(v.spark, f"{folder}/parts", uploads.parts_schema(chunks), each), folder
+
+
+def _driven(v: Views, streams: list[tuple[DataFrame, str]], start) -> str:
+    """Run a stream four times from its checkpoint, each time over a further stretch of its
+    sources (rows, column of the time they come in), and return its folder.
+
+    All sources share the stretches, so what comes in together is read together.
+    `start` takes the opened sources and the folder.
+    """
+    folder = storage.shared_folder(v.spark)
+    tables = [storage.written(rows, f"{folder}/rows{i}") for i, (rows, _) in enumerate(streams)]
+    spans = [
+        table.agg(F.min(time).cast("double").alias("a"), F.max(time).cast("double").alias("b")).first()
+        for table, (_, time) in zip(tables, streams)
+    ]
+    low = min(span.a for span in spans if span.a is not None)
+    width = (max(span.b for span in spans if span.b is not None) - low) / MICRO_BATCHES or 1.0
+    for k in range(MICRO_BATCHES):
+        opened = []
+        for i, (table, (_, time)) in enumerate(zip(tables, streams)):
+            place = F.floor((F.col(time).cast("double") - low) / width)
+            storage.append_rows(table.where(F.least(place, F.lit(MICRO_BATCHES - 1)) == k), f"{folder}/in{i}")
+            opened.append(sinks.file_stream(v.spark, f"{folder}/in{i}", table.schema))
+        start(*opened, folder).awaitTermination()
+    return folder
 
 
 @query
@@ -753,13 +780,54 @@ def reported(v: Views, started_at: Column) -> DataFrame:
 @query
 def stream_gather(v: Views) -> DataFrame:
     results = reported(v, F.lit("2024-01-01 00:00:00").cast("timestamp"))
-    stream, folder = _streamed(v, results)
+    again = results.where(F.col("doc_id") % 4 == 0).withColumn(
+        "started_at", F.col("started_at") + F.make_dt_interval(hours=F.lit(1))
+    )
+    stream, folder = _streamed(v, results.unionByName(again))
     finished = runs.stream_gather(stream)
     sinks.updates_to(
         finished, f"{folder}/finished", f"{folder}/finished_log", available_now=True
     ).awaitTermination()
     return storage.read_table(v.spark, f"{folder}/finished").select(
-        "doc_id", "n_batches", "n_failed"
+        "doc_id", text_time(F.col("started_at")).alias("started_at"), "n_batches", "n_failed"
+    )
+
+
+def started_runs(v: Views) -> DataFrame:
+    """Runs of the documents, one hour apart; every fourth document is run again two days later."""
+    hour = F.make_dt_interval(hours=F.col("doc_id").cast("int"))
+    begun = F.lit("2024-01-01 00:00:00").cast("timestamp") + hour
+    runs_of = expected_batches(v).withColumn("started_at", begun)
+    again = runs_of.where(F.col("doc_id") % 4 == 0).withColumn(
+        "started_at", F.col("started_at") + F.make_dt_interval(days=F.lit(2))
+    )
+    return runs_of.unionByName(again)
+
+
+@query
+def stream_runs(v: Views) -> DataFrame:
+    """What became of each run: some documents never report, some runs lack a batch or get it
+    too late, some batches report twice."""
+    starts = started_runs(v)
+    results = v.batch_results().select("doc_id", "batch_no", "status")
+    later = F.when((F.col("doc_id") % 5 == 1) & (F.col("batch_no") == 0), 30 * 60).otherwise(
+        10 + F.col("doc_id") % 7
+    )
+    reports = results.join(starts.drop("n_batches"), "doc_id").withColumn(
+        "reported_at", F.col("started_at") + F.make_dt_interval(mins=later.cast("int"))
+    )
+    reports = reports.where((F.col("doc_id") % 7 != 3) & ~((F.col("doc_id") % 3 == 0) & (F.col("batch_no") == 0)))
+    twice = reports.where(F.col("doc_id") % 2 == 0).withColumn(
+        "reported_at", F.col("reported_at") + F.make_dt_interval(mins=F.lit(5))
+    )
+
+    def start(begun, reported_rows, folder):
+        return runs.start_outcomes(begun, reported_rows, f"{folder}/runs", f"{folder}/runs_log", True)
+
+    folder = _driven(v, [(starts, "started_at"), (reports.unionByName(twice), "reported_at")], start)
+    return storage.read_table(v.spark, f"{folder}/runs").select(
+        "doc_id", text_time(F.col("started_at")).alias("started_at"), "n_batches", "n_reported",
+        "n_failed", "outcome",
     )
 
 
@@ -807,6 +875,29 @@ def daily_chunks(v: Views) -> DataFrame:
     return v.chunks().withColumn("started_at", start)
 
 
+@query
+def stream_upload_state(v: Views) -> DataFrame:
+    """What becomes of uploads started one hour apart: complete, expired, or late chunks. Every third upload
+    sends its first chunk once more 30 hours after its start, every seventh 20 minutes after."""
+    chunks = daily_chunks(v).drop("body").withColumn("arrived", F.col("started_at"))
+    first = chunks.where(F.col("chunk_index") == 0)
+    late = first.where(F.col("upload_id") % 3 == 0).withColumn(
+        "arrived", F.col("arrived") + F.make_dt_interval(hours=F.lit(30))
+    )
+    again = first.where(F.col("upload_id") % 7 == 0).withColumn(
+        "arrived", F.col("arrived") + F.make_dt_interval(mins=F.lit(20))
+    )
+
+    def start(arriving, folder):
+        return upload_state.start_outcomes(arriving, f"{folder}/ends", f"{folder}/ends_log", True)
+
+    with sinks.rocksdb_state(v.spark):
+        folder = _driven(v, [(chunks.unionByName(late).unionByName(again), "arrived")], start)
+    return storage.read_table(v.spark, f"{folder}/ends").withColumn(
+        "started_at", text_time(F.col("started_at"))
+    )
+
+
 @query
 def expired_uploads(v: Views) -> DataFrame:
     chunks = daily_chunks(v)

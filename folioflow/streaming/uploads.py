@@ -14,6 +14,7 @@ from pyspark.sql.types import BooleanType, DateType, StringType, StructField, St
 from folioflow.operators.ingest import (
     SEGMENT_CHUNKS, assemble_segments, check_chunks, upload_files,
 )
+from folioflow.sources.storage import written
 from folioflow.streaming import sinks
 
 # Fixed value: the time an upload may take.
@@ -121,7 +122,9 @@ def start_files(
     """
 
     def write(done: DataFrame, batch_id: int) -> None:
-        whole = parts_of(landed, done)
+        # The stateful plan runs once; what it found is read as often as needed.
+        known = written(done, f"{path}_completed/batch_id={batch_id}")
+        whole = parts_of(landed, known)
         marked = upload_files(whole, projects, order)
         marked.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 

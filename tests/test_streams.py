@@ -1,11 +1,12 @@
 import random
 
+import numpy as np
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
 from folioflow.operators import ingest, status
-from folioflow.streaming import runs, sinks, uploads
+from folioflow.streaming import runs, sinks, upload_state, uploads
 
 START = 1_700_000_000
 HOUR = 3600
@@ -182,3 +183,109 @@ def test_gather_stream_fires_once_when_all_reported(spark, tmp_path):
     feed.add([row(1, 1, 3, "Failed"), row(2, 0, 1, "Failed")])
     run()
     assert finished["rows"] == [(1, 3, 1), (2, 1, 1)]
+
+
+def test_a_second_run_of_a_document_is_finished_too(spark, tmp_path):
+    feed = Feed(spark, tmp_path / "in", RESULT)
+    row = lambda b, n, hours: (1, b, n, "Processed", times(spark, hours * HOUR))
+    feed.add([row(0, 2, 0), row(1, 2, 0)])
+    feed.add([row(0, 2, 1), row(0, 2, 1)])
+    feed.add([row(1, 2, 1)])
+    done = runs.stream_gather(feed.stream())
+    sinks.updates_to(done, f"{tmp_path}/g", f"{tmp_path}/l", True).awaitTermination()
+    found = spark.read.schema(done.schema).parquet(f"{tmp_path}/g").select("started_at", "n_reported")
+    assert rows(found) == [(times(spark, 0), 2), (times(spark, HOUR), 2)]
+
+
+RESULT = "doc_id int, batch_no int, n_batches int, status string, started_at timestamp"
+RUN = "doc_id int, started_at timestamp, n_batches int"
+REPORT = "doc_id int, started_at timestamp, batch_no int, status string, reported_at timestamp"
+
+
+def test_every_run_ends_once_also_over_restarts(spark, tmp_path):
+    starts, reports = Feed(spark, tmp_path / "s", RUN), Feed(spark, tmp_path / "r", REPORT)
+    begun = lambda doc, hour, n: (doc, times(spark, hour * HOUR), n)
+
+    def report(doc, hour, batch, after, status="Processed"):
+        return (doc, times(spark, hour * HOUR), batch, status, times(spark, (hour + after) * HOUR))
+
+    def run():
+        runs.start_outcomes(
+            starts.stream(), reports.stream(), f"{tmp_path}/out", f"{tmp_path}/log", True
+        ).awaitTermination()
+        found = spark.read.parquet(f"{tmp_path}/out")
+        return [tuple(r)[:1] + tuple(r)[1:] for r in rows(found.select("doc_id", "n_reported", "n_failed", "outcome"))]
+
+    starts.add([begun(1, 0, 2), begun(2, 0, 1), begun(3, 0, 2), begun(4, 0, 1)])
+    reports.add([report(1, 0, 0, 1), report(1, 0, 1, 2), report(1, 0, 1, 2)])
+    reports.add([report(3, 0, 0, 3, "Failed"), report(1, 0, 1, 9, "Failed")])
+    assert run() == []
+    # Time goes on: document 2 never reports, 4 does so too late.
+    reports.add([report(4, 0, 0, 25)])
+    starts.add([begun(1, 30, 1)])
+    reports.add([report(1, 30, 0, 1)])
+    assert run() == [(1, 2, 1, "finished"), (2, 0, 0, "never reported"), (3, 1, 1, "unfinished"),
+                     (4, 0, 0, "never reported")]
+    starts.add([begun(5, 70, 1)])
+    reports.add([report(5, 70, 0, 1)])
+    assert run()[1] == (1, 2, 1, "finished") and len(run()) == 5
+
+
+def ends(spark, feed, folder):
+    with sinks.rocksdb_state(spark):
+        upload_state.start_outcomes(
+            feed.stream(), f"{folder}/ends", f"{folder}/log", True
+        ).awaitTermination()
+    return rows(spark.read.parquet(f"{folder}/ends").select("upload_id", "outcome", "n_chunks", "n_rejected", "n_late"))
+
+
+def test_uploads_with_state_end_as_complete_expired_or_late(spark, feed, tmp_path):
+    feed.add([chunk(spark, "fine", 2, 3, ""), chunk(spark, "fine", 0, 3, ""), chunk(spark, "stuck", 0, 2, "")])
+    feed.add([chunk(spark, "fine", 0, 3, ""), chunk(spark, "bad", 5, 2, ""), chunk(spark, "bad", 0, 2, "")])
+    assert ends(spark, feed, tmp_path) == []
+    feed.add([chunk(spark, "fine", 1, 3, ""), chunk(spark, "bad", 1, 2, ""), chunk(spark, "bad", None, 2, "")])
+    assert ends(spark, feed, tmp_path) == [("fine", "complete", 3, 0, 0)]
+    feed.add([chunk(spark, "fine", 1, 3, ""), chunk(spark, "later", 0, 2, "", 25 * HOUR)])
+    now = [("bad", "expired", 2, 2, 0), ("fine", "complete", 3, 0, 0), ("stuck", "expired", 1, 0, 0)]
+    assert ends(spark, feed, tmp_path) == now
+    # What comes after the end is told, until the state is gone.
+    feed.add([chunk(spark, "stuck", 1, 2, ""), chunk(spark, "new", 0, 2, "", 0)])
+    now = sorted([*now, ("stuck", "late", 1, 0, 1), ("new", "late", 0, 0, 1)])
+    assert ends(spark, feed, tmp_path) == now
+    feed.add([chunk(spark, "last", 0, 2, "", 90 * HOUR)])
+    now = sorted([*now, ("later", "expired", 1, 0, 0)])
+    assert ends(spark, feed, tmp_path) == now
+    feed.add([chunk(spark, "stuck", 1, 2, "")])
+    assert ends(spark, feed, tmp_path) == now
+
+
+def test_ranges_of_chunk_indices():
+    rng = random.Random(4)
+    for _ in range(200):
+        held, ranges = set(), np.zeros((0, 2), dtype="<i8")
+        for _ in range(rng.randint(1, 6)):
+            new = [rng.randint(0, 30) for _ in range(rng.randint(0, 8))]
+            held |= set(new)
+            ranges = upload_state.merged(ranges, np.array(new, dtype="<i8"))
+            listed = [i for a, b in ranges for i in range(a, b + 1)]
+            assert listed == sorted(held)
+            assert all(b + 1 < c for (_, b), (c, _) in zip(ranges, ranges[1:]))
+
+
+@pytest.mark.parametrize("name", ["stream_assemble", "stream_upload_to_files"])
+def test_stateful_upload_queries_take_several_batches(spark, name, monkeypatch):
+    from folioflow.plans import queries
+
+    batches = []
+    for starter in ("start_completions", "start_files"):
+        inner = getattr(uploads, starter)
+
+        def started(*args, _inner=inner, **kwargs):
+            query = _inner(*args, **kwargs)
+            query.awaitTermination()
+            batches.append(sum(p.numInputRows > 0 for p in query.recentProgress))
+            return query
+
+        monkeypatch.setattr(uploads, starter, started)
+    queries.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert batches and batches[0] >= 4
