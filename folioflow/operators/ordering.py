@@ -22,7 +22,8 @@ def running_total(
     the number of their partition. The sums of each group and partition, one row for each
     that has any, are accumulated, and only the rows of one partition are windowed together;
     so a group of any size, and a table without groups, is spread over many tasks. Rows with
-    a null group or position are kept, with a null total.
+    a null group or position are kept, with a null total. The ranges are drawn from a sample, so the
+    rows are computed twice: write them first if that is dear.
     """
     keys = [F.col(column) for column in group]
     known = F.col(position).isNotNull()

@@ -450,6 +450,38 @@ _QUERIES = {
         FROM (SELECT doc_id, page, generate_subscripts(levels, 1) AS pos,
                      unnest(levels) AS level, unnest(titles) AS title FROM headings)""",
     "reattach_outline": _REATTACHED,
+    "outline_tree": f"""
+        WITH entries AS (
+            SELECT doc_id, pos, line FROM ({_REATTACHED.replace("pos, line,", "pos, o.line,")})
+        ), every AS (
+            FROM entries UNION ALL
+            SELECT -1, doc_id * 1000000 + pos, line FROM entries WHERE doc_id % 3 = 0
+        ), above AS (
+            SELECT *, max(CASE WHEN line = 1 THEN pos END) OVER w AS first,
+                   max(CASE WHEN line = 2 THEN pos END) OVER w AS second
+            FROM every
+            WINDOW w AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+        ), placed AS (
+            SELECT doc_id, pos,
+                   list_concat(
+                     CASE WHEN line > 1 AND first IS NOT NULL THEN [first] ELSE [] END,
+                     list_concat(CASE WHEN line > 2 AND second IS NOT NULL
+                                           AND (first IS NULL OR second > first) THEN [second] ELSE [] END,
+                                 [pos])) AS way
+            FROM above
+        )
+        SELECT doc_id, pos, way[-2] AS parent_pos, CAST(len(way) AS INTEGER) AS depth,
+               array_to_string(way, '/') AS path
+        FROM placed""",
+    "unique_against_stored": """
+        SELECT doc_id, accepted,
+               CASE WHEN NOT accepted THEN 'already registered' END AS reject_reason
+        FROM (SELECT doc_id,
+                     doc_id = min(doc_id) OVER (PARTITION BY md5(text), doc_id % 3 = 0)
+                     AND (doc_id % 3 = 0 OR md5(text) IS NULL OR md5(text) NOT IN
+                          (SELECT md5(text) FROM documents WHERE doc_id % 3 = 0 AND text IS NOT NULL))
+                       AS accepted
+              FROM documents)""",
     "strip_document_fields": "SELECT doc_id, page_no, md5(text) AS text_md5 FROM pages_long",
     "recognise_batches": f"""
         SELECT doc_id, batch_no, start_page, end_page,

@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from folioflow.functions import names, rules
 from folioflow.operators import (
-    batching, catalog, ingest, maintenance, merge, outline, recognise, status,
+    batching, catalog, ingest, maintenance, merge, outline, recognise, status, stored_keys,
 )
+from folioflow.operators import outline_tree as trees
 from folioflow.plans.document_run import Run, merged_sections, run_documents
 from folioflow.plans.views import Views, sample_page_function, text_time
 from folioflow.sources import storage
@@ -458,6 +459,22 @@ def unique_first(v: Views) -> DataFrame:
     return marked.select("doc_id", "accepted", "reject_reason")
 
 
+@query
+def unique_against_stored(v: Views) -> DataFrame:
+    """Every third document's text is taken in first; the others are held against those."""
+    documents = v.documents().select("doc_id", F.md5("text").alias("key"))
+    blocks = 1 + documents.count() // 2000
+    earlier = documents.where(F.col("doc_id") % 3 == 0)
+    begun = ingest.unique_first(earlier, F.col("key"), "doc_id")
+    folder = storage.shared_folder(v.spark)
+    table = f"stored_keys_{folder.rsplit('/', 1)[1]}"
+    filters = stored_keys.take_in(v.spark, begun.where("accepted"), table, None, blocks, folder)
+    later = stored_keys.unique_against_stored(
+        documents.where(F.col("doc_id") % 3 != 0), F.col("key"), "doc_id", v.spark.table(table), filters, blocks
+    )
+    return begun.unionByName(later).select("doc_id", "accepted", "reject_reason")
+
+
 @query
 def page_total(v: Views) -> DataFrame:
     return catalog.page_total(catalog.catalog(v.clients(), v.projects(), v.files()), 20)
@@ -567,12 +584,29 @@ def extract_outline(v: Views) -> DataFrame:
 
 @query
 def reattach_outline(v: Views) -> DataFrame:
-    kept = recognise.apply_policy(v.batch_results(), "skip")
-    return outline.reattach_outline(v.outline(), kept).select(
+    return outline.reattach_outline(v.outline(), kept_ranges(v)).select(
         "doc_id", "pos", "line", "page", F.md5("bookmark").alias("bookmark_md5")
     )
 
 
+def kept_ranges(v: Views) -> DataFrame:
+    """Page ranges of the batches that did not fail, written, as they are read more than once."""
+    kept = recognise.apply_policy(v.batch_results(), "skip").select("doc_id", "start_page", "end_page")
+    return storage.written(kept, storage.shared_folder(v.spark))
+
+
+@query
+def outline_tree(v: Views) -> DataFrame:
+    """Trees of the outlines after failed batches are left out, and one of every third document's
+    entries together."""
+    entries = outline.reattach_outline(v.outline(), kept_ranges(v)).select("doc_id", "pos", "line")
+    together = entries.where(F.col("doc_id") % 3 == 0).select(
+        F.lit(-1).cast("bigint").alias("doc_id"),
+        (F.col("doc_id") * 1_000_000 + F.col("pos")).alias("pos"), "line",
+    )
+    return trees.outline_tree(entries.unionByName(together))
+
+
 @query
 def strip_document_fields(v: Views) -> DataFrame:
     pages = batching.pages_long(v.table("documents"), carry=["lang", "source", "n_chars"])
