@@ -332,6 +332,18 @@ _QUERIES = {
     "delete_projects": """
         SELECT id, project_id, file_name FROM files WHERE project_id NOT IN
           (SELECT p.id FROM projects p JOIN clients c ON client_id = c.id WHERE c.name = 'ASIA')""",
+    "delete_projects_written": """
+        SELECT 'projects' AS table_name, CAST(p.id AS BIGINT) AS id, p.name
+        FROM projects p JOIN clients c ON client_id = c.id WHERE c.name <> 'ASIA'
+        UNION ALL
+        SELECT 'files', f.id, file_name FROM files f JOIN projects p ON project_id = p.id
+          JOIN clients c ON client_id = c.id WHERE c.name <> 'ASIA'""",
+    "deleted_paths": """
+        SELECT unnest(['upload', 'merged', 'final']) AS kind,
+               unnest([file_path, file_path[:-5] || '_OCRed.pdf',
+                       file_path[:-5] || '_OCRed_with_bookmarks.pdf']) AS path
+        FROM files f JOIN projects p ON project_id = p.id JOIN clients c ON client_id = c.id
+        WHERE c.name = 'ASIA'""",
     "delete_projects_counts": """
         SELECT 'projects' AS table_name, count(*) AS n_rows
         FROM projects p JOIN clients c ON client_id = c.id WHERE c.name = 'ASIA'

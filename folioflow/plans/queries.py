@@ -18,7 +18,7 @@ from folioflow.operators import (
 from folioflow.operators import outline_tree as trees
 from folioflow.plans.document_run import Run, merged_sections, run_documents
 from folioflow.plans.views import Views, sample_page_function, text_time
-from folioflow.sources import storage
+from folioflow.sources import storage, versions
 from folioflow.streaming import runs, sinks, upload_state, uploads
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -317,6 +317,36 @@ def delete_projects_counts(v: Views) -> DataFrame:
     return done.removed.unionByName(kept)
 
 
+def doomed_projects(v: Views) -> DataFrame:
+    gone = v.clients().where(F.col("name") == DELETED_CLIENT).select(F.col("id").alias("client_id"))
+    return v.projects().join(gone, "client_id", "left_semi").select("id")
+
+
+@query
+def delete_projects_written(v: Views) -> DataFrame:
+    """Both tables stored, the projects of a client deleted, and the new versions read back."""
+    folder = storage.shared_folder(v.spark)
+    tables = {}
+    for name, rows, keys in (
+        ("projects", v.projects(), ["client_id", "id"]), ("files", v.files(), ["project_id", "id"])
+    ):
+        versions.create(rows, f"{folder}/{name}", keys)
+        tables[name] = (f"{folder}/{name}", rows.schema)
+    maintenance.delete_written(v.spark, tables, doomed_projects(v))
+    rows = {name: versions.read(v.spark, *place) for name, place in tables.items()}
+    projects = rows["projects"].select(
+        F.lit("projects").alias("table_name"), F.col("id").cast("bigint").alias("id"), "name"
+    )
+    return projects.unionByName(
+        rows["files"].select(F.lit("files").alias("table_name"), "id", F.col("file_name").alias("name"))
+    )
+
+
+@query
+def deleted_paths(v: Views) -> DataFrame:
+    return maintenance.deleted_paths(v.files(), doomed_projects(v))
+
+
 @query
 def results_to_file(v: Views) -> DataFrame:
     # Orders with the documents' keys own the results; the others belong to no document.
