@@ -11,8 +11,8 @@ and whose share of toxic texts differs from the sample's by `least_z` standard e
 weights: invented and misspelt words, most of the distinct ones, would only add noise.
 
 Training reads a bounded sample: at most `max_labelled` labelled documents (the ones with the
-smallest hashes of their ids), whose term buckets go to the driver. Bound: 20,000 documents by
-default, about 250 buckets of 4 bytes each. Scoring reads every text in full.
+smallest hashes of their ids), whose term buckets go to the driver as bytes. Bound: 20,000 documents
+by default, about 250 buckets of 4 bytes each. Scoring reads every text in full.
 
 Null or empty texts have no terms and get the machine's constant as their score. Labels that
 are null are not used; an id labelled twice counts as toxic if one label says so, and
@@ -90,20 +90,21 @@ def term_buckets(text: str, buckets: int) -> set[int]:
 
 
 def term_rows(docs: DataFrame, buckets: int) -> DataFrame:
-    """doc_id, label and the sorted buckets of every text."""
+    """label and the sorted buckets of every text, as little-endian 32-bit integers."""
 
     def gather(batches):
+        import numpy as np
         import pyarrow as pa
 
         for batch in batches:
             found = [sorted(term_buckets(t.as_py(), buckets)) for t in batch.column(1)]
+            raw = [np.array(own, dtype="<i4").tobytes() for own in found]
             yield pa.record_batch(
-                [batch.column(0), pa.array(found, type=pa.list_(pa.int32()))],
-                names=["label", "buckets"],
+                [batch.column(0), pa.array(raw, type=pa.binary())], names=["label", "buckets"]
             )
 
     rows = docs.select(F.col("label").cast("int").alias("label"), whole_text().alias("text"))
-    return rows.mapInArrow(gather, "label int, buckets array<int>")
+    return rows.mapInArrow(gather, "label int, buckets binary")
 
 
 def held_out(doc_id: Column, folds: int = 4, fold: int = 2) -> Column:
@@ -112,7 +113,7 @@ def held_out(doc_id: Column, folds: int = 4, fold: int = 2) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, settings: Settings) -> list:
-    """(label, buckets) of the bounded sample."""
+    """(label, buckets as bytes) of the bounded sample."""
     chosen = (
         labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
         .where(~held_out(F.col("doc_id")))
@@ -124,32 +125,37 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, settings: Settings) -> l
     # The sample has at most max_labelled rows of 12 bytes, so a broadcast is bounded.
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     rows = rows.groupBy("doc_id", "label").agg(F.max("text").alias("text"))
-    return [(row.label, row.buckets) for row in term_rows(rows, settings.buckets).toLocalIterator()]
+    return [(row.label, bytes(row.buckets)) for row in term_rows(rows, settings.buckets).collect()]
+
+
+def _raw(buckets) -> bytes:
+    import numpy as np
+
+    return buckets if isinstance(buckets, bytes) else np.array(buckets, dtype="<i4").tobytes()
 
 
 def fit(sample: list, settings: Settings = Settings()) -> Machine:
-    """Adaptive gradient steps on the logistic loss of the sample."""
+    """Adaptive gradient steps on the logistic loss of the sample; buckets as bytes or numbers."""
     import numpy as np
 
-    sample = sorted(sample)
-    support = np.bincount(
-        np.concatenate([np.array(b, dtype=np.int64) for _, b in sample] or [np.zeros(0, int)]),
-        minlength=settings.buckets,
-    )
+    sample = sorted((label, _raw(buckets)) for label, buckets in sample)
     label = np.array([y for y, _ in sample], dtype=float)
+    flat = np.frombuffer(b"".join(raw for _, raw in sample), dtype="<i4")
+    stops = np.cumsum([len(raw) // 4 for _, raw in sample], dtype=np.int64)
+    starts = np.concatenate((np.zeros(1, dtype=np.int64), stops))
+    support = np.bincount(flat, minlength=settings.buckets)
     share = label.mean() if len(label) else 0.0
-    positive = np.bincount(
-        np.concatenate([np.array(b, dtype=np.int64) for y, b in sample if y] or [np.zeros(0, int)]),
-        minlength=settings.buckets,
-    )
+    toxic = np.repeat(label > 0, np.diff(starts))
+    positive = np.bincount(flat[toxic], minlength=settings.buckets)
     spread = np.sqrt(np.maximum(support * share * (1 - share), 1e-9))
     telling = np.abs(positive - support * share) >= settings.least_z * spread
     used = np.flatnonzero((support >= settings.least_support) & telling)
     none = len(used)
     slot = np.full(settings.buckets, none, dtype=np.int32)
     slot[used] = np.arange(none)
-    texts = [slot[np.array(buckets, dtype=np.int64)] for _, buckets in sample]
+    texts = [slot[flat[a:b]] for a, b in zip(starts[:-1], starts[1:])]
     texts = [np.append(slots[slots < none], none) for slots in texts]
+    del sample, flat, toxic
     rng = np.random.default_rng(settings.seed)
     weights, vectors = np.zeros(none + 1), rng.normal(0, 0.02, (none + 1, settings.factors))
     vectors[none] = 0
