@@ -22,6 +22,13 @@ NO_FILE = "File not found"
 NO_IDS = "No project IDs provided"
 INVALID_OPTION = "Invalid OCR option provided."
 
+# What a reader is offered for a file in each state, and where links begin.
+ACTIONS = {
+    PROCESSED: "Download", NOT_PROCESSED: "Start OCR", PROCESSING: "Processing...",
+    FAILED: "Show Error",
+}
+DOWNLOAD_LINK, ERROR_LINK = "/download/", "/error/"
+
 
 def has_domain(email: Column, domains: Sequence[str]) -> Column:
     """True where the address ends with one of the allowed `@domain` suffixes."""
@@ -52,21 +59,18 @@ def is_valid_option(option: Column) -> Column:
 
 def status_action(status: Column) -> Column:
     """What a reader can do next with a file in this state; empty for unknown states."""
-    return (
-        F.when(status == PROCESSED, "Download")
-        .when(status == NOT_PROCESSED, "Start OCR")
-        .when(status == PROCESSING, "Processing...")
-        .when(status == FAILED, "Show Error")
-        .otherwise("")
-    )
+    action = F.lit("")
+    for state, label in ACTIONS.items():
+        action = F.when(status == state, label).otherwise(action)
+    return action
 
 
 def download_url(status: Column, file_id: Column) -> Column:
-    return F.when(status == PROCESSED, F.concat(F.lit("/download/"), file_id.cast("string")))
+    return F.when(status == PROCESSED, F.concat(F.lit(DOWNLOAD_LINK), file_id.cast("string")))
 
 
 def error_url(status: Column, file_id: Column) -> Column:
-    return F.when(status == FAILED, F.concat(F.lit("/error/"), file_id.cast("string")))
+    return F.when(status == FAILED, F.concat(F.lit(ERROR_LINK), file_id.cast("string")))
 
 
 def key_uuid(*key: Column) -> Column:

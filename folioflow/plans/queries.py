@@ -746,6 +746,7 @@ def _streamed(v: Views, rows: DataFrame, time: str | None = None) -> tuple[DataF
     folder = storage.shared_folder(v.spark)
     source = f"{folder}/source"
     if time:
+        rows = storage.written(rows, f"{folder}/rows")  # read once for each stretch
         ends = rows.agg(F.min(time).cast("double").alias("a"), F.max(time).cast("double").alias("b")).first()
         width = (ends.b - ends.a) / MICRO_BATCHES or 1.0
         place = F.floor((F.col(time).cast("double") - ends.a) / width)
