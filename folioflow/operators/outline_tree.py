@@ -110,7 +110,10 @@ def outline_tree(outline: DataFrame, key: str = "doc_id") -> DataFrame:
     order = [F.col(key).cast("string").alias("doc"), F.col("pos")]
     ranged = narrow.repartitionByRange(*order).sortWithinPartitions(*order)
     table = written(_passed(ranged, key), shared_folder(outline.sparkSession))
-    before = _merged(table.where(~F.col("entry")).select("doc", "part", "pos", "line", "lowest"))
+    stacks = table.where(~F.col("entry")).select("doc", "part", "pos", "line", "lowest")
+    # Only documents that lie in several tasks have anything to merge: fewer than there are tasks.
+    spread = stacks.groupBy("doc").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a < b")
+    before = _merged(stacks.join(spread.select("doc"), "doc", "left_semi"))
     entries = table.where("entry").drop("entry").join(before, ["doc", "part"], "left")
     # Ancestors in earlier tasks are those of a level below the lowest met in the stretch so far.
     outer = F.size(F.filter("lines", lambda line: line < F.col("lowest")))
