@@ -9,13 +9,15 @@ Candidates share a band key. First, each text of a bucket meets the bucket's sma
 whose estimated similarity (equal low bits by bit counts, corrected for chance collisions) is
 near or above the threshold are confirmed on their full sets, and confirmed links give
 components. Then buckets that still hold several components, besides the smallest id, are
-compared in blocks of a bounded number of texts: pairs of different components that the
-estimate lets through are confirmed there. Texts that links connect already need no further
-comparison, so a block returns fewer links than it has texts, and none between components is
-lost.
+compared in blocks of a bounded number of texts. Their texts get a longer signature, whose estimate
+is fine enough to tell texts of one template from near duplicates; blocks compare these signatures
+and the sizes of the sets first. Only texts that could be linked with one of another component
+bring their full sets to the same blocks, where the pairs are confirmed. Texts that links connect
+already need no further comparison, so a block returns fewer links than it has texts, and none
+between components is lost.
 
-At similarity 0.85, 25 bands of 5 minima miss a pair with probability 7e-7; the estimate's
-margin is five standard errors.
+At similarity 0.85, 25 bands of 5 minima miss a pair with probability 7e-7; the margin of both
+estimates is five standard errors.
 
 Null and empty texts have no shingles and are linked with nothing. Fewer than five words are
 one shingle. Rows with the same doc_id are one document with several texts: what one of
@@ -26,7 +28,7 @@ and they are kept. Other columns are not used.
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,6 +47,7 @@ class Settings:
     rows: int = 5
     bands: int = 25
     minima: int = 128  # a multiple of 64, at least rows * bands
+    fine: int = 1024  # minima of texts in buckets that stay open, a multiple of 64
     block: int = 512  # signatures compared at once
     seed: int = 20
 
@@ -245,54 +248,118 @@ def _pass(pairs: DataFrame, nodes: DataFrame, settings: Settings) -> DataFrame:
     )
 
 
-def _blocks(rows: DataFrame, sizes: DataFrame, settings: Settings) -> DataFrame:
+def fine_sets(sets: DataFrame, settings: Settings, slice_rows: int = 64) -> DataFrame:
+    """(id, size, planes, set): the non-empty sets with packed low bits of `fine` minima."""
+    fine = replace(settings, minima=settings.fine, bands=0)
+
+    def profile(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, slice_rows):
+                rows = batch.slice(at, slice_rows)
+                found = [row.values.to_numpy(zero_copy_only=False).view("<u8") for row in rows.column(1)]
+                planes = signature(minima(found, fine), fine)[1]
+                yield pa.record_batch(
+                    [
+                        rows.column(0),
+                        pa.array([len(x) for x in found], type=pa.int64()),
+                        pa.array(list(planes), type=pa.list_(pa.int64())),
+                        rows.column(1),
+                    ],
+                    names=["id", "size", "planes", "set"],
+                )
+
+    return sets.where(F.size("set") > 0).mapInArrow(profile, "id long, size long, planes array<long>, set array<long>")
+
+
+def _frame_planes(frame, settings: Settings):
+    """Planes of the rows of a block, and the number of the component of each."""
+    import numpy as np
+
+    planes = np.stack(frame["planes"].to_numpy()).view(np.uint64)
+    _, part = np.unique(frame["root"].to_numpy(), return_inverse=True)
+    return planes.reshape(len(frame), BITS, settings.minima // 64), part
+
+
+def _near(planes, at, other, settings: Settings):
+    """Those of other whose estimate with one row is high enough, the nearest first."""
+    import numpy as np
+
+    bits = np.bitwise_or.reduce(planes[other] ^ planes[at], axis=1)
+    equal = 1 - np.bitwise_count(bits).sum(axis=1) / settings.minima
+    near = (equal - 2.0**-BITS) / (1 - 2.0**-BITS) >= settings.least_estimate
+    return other[near][np.argsort(-equal[near], kind="stable")]
+
+
+def _blocks(rows: DataFrame, sizes: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame:
     """Links between different components within buckets, by comparing blocks of texts.
 
-    rows: key, id, root, planes, set; sizes: key, members. A bucket's rows go to blocks by a
-    hash of the id, and each pair of blocks is one bounded group. Pairs that the estimate lets
-    through are confirmed on the spot, unless links found before connect them already; so a
-    group returns fewer links than it has rows.
+    rows: key, id, root; sizes: key, members; sets: `fine_sets`. A bucket's rows go to blocks by a
+    hash of the id, and each pair of blocks is one bounded group. It first meets without sets and
+    returns its texts that could be linked; then these meet with them. Pairs are confirmed on the
+    spot, unless links found before connect them already; so a group returns fewer links than
+    it has rows.
     """
-    least = settings.least_estimate
+    fine = replace(settings, minima=settings.fine)
+
+    def others(at, right, same_block, part):
+        after = right[right > at] if same_block else right
+        return after[part[after] != part[at]]
+
+    def flag(frame):
+        import numpy as np
+
+        planes, part = _frame_planes(frame, fine)
+        size, block = frame["size"].to_numpy(), frame["block"].to_numpy()
+        i, j = frame["i"].iloc[0], frame["j"].iloc[0]
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        could = np.zeros(len(frame), dtype=bool)
+        for at in left:
+            other = others(at, right, i == j, part)
+            low, high = np.minimum(size[other], size[at]), np.maximum(size[other], size[at])
+            other = other[100 * low >= settings.percent * high]
+            near = _near(planes, at, other, fine) if len(other) else other
+            could[near] = True
+            could[at] |= len(near) > 0
+        return frame.loc[could, ["key", "i", "j", "block", "id", "root"]].drop_duplicates()
 
     def compare(frame):
         import numpy as np
         import pandas as pd
 
-        planes = np.stack(frame["planes"].to_numpy()).view(np.uint64)
-        planes = planes.reshape(len(frame), BITS, settings.minima // 64)
+        planes, part = _frame_planes(frame, fine)
         ids, sets, block = (frame[name].to_numpy() for name in ("id", "set", "block"))
-        _, part = np.unique(frame["root"].to_numpy(), return_inverse=True)
         i, j = frame["i"].iloc[0], frame["j"].iloc[0]
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
         found = []
         for at in left:
-            other = right[right > at] if i == j else right
-            other = other[part[other] != part[at]]
-            if not len(other):
-                continue
-            bits = np.bitwise_or.reduce(planes[other] ^ planes[at], axis=1)
-            equal = 1 - np.bitwise_count(bits).sum(axis=1) / settings.minima
-            near = (equal - 2.0**-BITS) / (1 - 2.0**-BITS) >= least
-            for b in other[near][np.argsort(-equal[near], kind="stable")]:
+            other = others(at, right, i == j, part)
+            for b in _near(planes, at, other, fine) if len(other) else ():
                 if part[b] != part[at] and similar(sets[at], sets[b], settings.percent):
                     part[part == part[b]] = part[at]
                     found.append((ids[at], ids[b]))
         return pd.DataFrame(found, columns=["u", "v"]).astype("int64")
 
     count = F.ceil(F.col("members") / settings.block).cast("int")
-    placed = rows.join(sizes, "key").withColumn("blocks", count)
+    placed = rows.join(sets.select("id", "size", "planes"), "id").join(sizes, "key")
+    placed = placed.withColumn("blocks", count)
     placed = placed.withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     placed = placed.withColumn("i", F.least("block", "other")).withColumn(
         "j", F.greatest("block", "other")
     )
+    flagged = (
+        placed.select("key", "i", "j", "block", "id", "root", "size", "planes")
+        .groupBy("key", "i", "j")
+        .applyInPandas(flag, "key long, i int, j int, block int, id long, root long")
+    )
     return (
-        placed.select("key", "i", "j", "block", "id", "root", "planes", "set")
+        written(flagged, "open-texts").join(sets.select("id", "planes", "set"), "id")
         .groupBy("key", "i", "j")
         .applyInPandas(compare, "u long, v long")
         .distinct()
-    )
+    )
 
 
 def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -345,9 +412,12 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
         .where("least < most")
         .select("key", "members")
     )
-    left = rest.select("key", "id", "root").join(open_keys.select("key"), "key", "left_semi")
-    left = left.join(nodes.select("id", "planes"), "id").join(sets, "id")
-    found = written(_blocks(left, open_keys, settings), "second-links")
+    left = written(
+        rest.select("key", "id", "root").join(open_keys.select("key"), "key", "left_semi"), "open-rows"
+    )
+    wanted = left.select("id").distinct()
+    fine = written(fine_sets(sets.join(wanted, "id", "left_semi"), settings), "fine-sets")
+    found = written(_blocks(left, open_keys, fine, settings), "second-links")
     final = components(links.union(found))
     resolved = (
         classes.join(final, "id", "left")

@@ -147,6 +147,34 @@ def test_near_duplicates_in_one_crowded_bucket(spark):
     assert found == brute.components(texts)
 
 
+@pytest.mark.parametrize("count", [200, 500])
+def test_near_duplicates_of_one_template(spark, monkeypatch, count):
+    """Texts of one template with similarity 0.7 stay in crowded buckets, but hardly any of their
+    full sets meet there; near copies among them are found."""
+    base = LONG.split(" ")[:300]
+    texts = []
+    for n in range(count):
+        words = base[:120] + [f"own{n}x{k}" for k in range(48)] + base[168:]
+        texts.append((n, " ".join(words)))
+        if n % 50 == 0:
+            texts.append((1000 + n, " ".join(words[:290] + ["another", "end"])))
+    rows = {}
+    keep = near_dedup.written
+
+    def counted(table, name):
+        table = keep(table, name)
+        rows[name] = table.count()
+        return table
+
+    monkeypatch.setattr(near_dedup, "written", counted)
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
+    settings = near_dedup.Settings(block=64)
+    found = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs, settings).collect()}
+    assert found == brute.components(texts)
+    assert sum(i != c for i, c in found.items()) == count // 50
+    assert rows["open-rows"] > count and rows["open-texts"] < count // 20
+
+
 @pytest.mark.parametrize("table", ["odd", "given"])
 @pytest.mark.parametrize("settings", [
     substrings.Settings(), substrings.Settings(stretch=300, block=1, batch=10),
