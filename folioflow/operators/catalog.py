@@ -141,6 +141,11 @@ def with_action(rows: DataFrame) -> DataFrame:
 SEARCH_COLUMNS = ("client_name", "project_name", "file_name", "created_at", "status", "action")
 
 
+def searched_text(columns: Sequence[str] = SEARCH_COLUMNS) -> Column:
+    """What a search looks into: the cells joined by a space, lowered."""
+    return F.lower(F.concat_ws(" ", *[F.col(c).cast("string") for c in columns]))
+
+
 def search_rows(
     rows: DataFrame, text: str, columns: Sequence[str] = SEARCH_COLUMNS
 ) -> DataFrame:
@@ -148,8 +153,7 @@ def search_rows(
 
     Plain text search: paging the result pages the filtered rows.
     """
-    cells = F.concat_ws(" ", *[F.col(c).cast("string") for c in columns])
-    return rows.where(F.lower(cells).contains(text.lower()))
+    return rows.where(searched_text(columns).contains(text.lower()))
 
 
 def sort_keys(column: str, dtype: str, key: str, descending: bool) -> list[Column]:
@@ -181,7 +185,8 @@ def paginate(
     """Page `page` (from 1) of the sorted rows.
 
     Planned as a top-k: each task keeps page*size rows at most and only those meet. For
-    pages far down a large result use `next_page`, whose cost does not grow with depth.
+    pages far down a large result use `next_page` or stored `sorted_pages`, whose cost does
+    not grow with depth.
     """
     if size not in PAGE_SIZES:
         raise ValueError(f"size must be one of {PAGE_SIZES}")

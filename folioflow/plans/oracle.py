@@ -275,6 +275,12 @@ _QUERIES = {
         SELECT {_CATALOG}, {_ACTION} AS action FROM catalog
         WHERE contains(lower(concat_ws(' ', client_name, project_name, file_name,
           strftime(created_at, '%Y-%m-%d %H:%M:%S'), status, {_ACTION})), 'asia nation_1')""",
+    "search_index": f"""
+        SELECT search, file_id, project_name
+        FROM catalog, (SELECT unnest(['asia nation_1', '1', 'PR', 'bro', 'F.pdf', '1995-03-1',
+                              'processing...', 'start ocr', 'no such text']) AS search)
+        WHERE contains(lower(concat_ws(' ', client_name, project_name, file_name,
+          strftime(created_at, '%Y-%m-%d %H:%M:%S'), status, {_ACTION})), lower(search))""",
     "project_listing": """
         SELECT project_id, id, file_name AS name, status,
                CASE WHEN status = 'Processed' THEN '/download/' || id END AS download_url,
@@ -440,6 +446,11 @@ _QUERIES = {
     "paginate": f"""
         SELECT {_CATALOG} FROM (SELECT * FROM catalog
         ORDER BY lower(client_name) DESC, file_id LIMIT 20 OFFSET 40)""",
+    "page_at": f"""
+        SELECT {_CATALOG}, CAST((place - 1) // 20 + 1 AS INTEGER) AS page
+        FROM (SELECT *, row_number() OVER (ORDER BY lower(client_name) DESC, file_id) AS place,
+                     (count(*) OVER () + 19) // 20 AS last_page FROM catalog) catalog
+        WHERE (place - 1) // 20 + 1 IN (1, (last_page + 1) // 2, last_page)""",
     "next_page": f"""
         SELECT {_CATALOG} FROM (SELECT * FROM catalog
         WHERE lower(client_name) > 'asia' OR (lower(client_name) = 'asia' AND file_id > 1000)
@@ -501,6 +512,12 @@ _QUERIES = {
                CASE WHEN bad THEN '{FAULT_TEXT}' END AS error,
                CASE WHEN NOT bad THEN md5(replace(pages, 'e', 'E')) END AS pages_md5
         FROM batches""",
+    "recognise_balanced": f"""
+        SELECT doc_id, batch_no, start_page, end_page,
+               CASE WHEN bad THEN 'Failed' ELSE 'Processed' END AS status,
+               CASE WHEN bad THEN '{FAULT_TEXT}' END AS error,
+               CASE WHEN NOT bad THEN md5(replace(pages, 'e', 'E')) END AS pages_md5
+        FROM batches""",
     "failure_policy": """
         SELECT 'fallback' AS on_error, doc_id, n_pages FROM counts
         UNION ALL SELECT 'skip', doc_id, n_pages FROM kept

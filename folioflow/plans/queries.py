@@ -13,12 +13,12 @@ from pyspark.sql import functions as F
 
 from folioflow.functions import names, rules
 from folioflow.operators import (
-    batching, catalog, ingest, maintenance, merge, outline, recognise, status, stored_keys,
+    balance, batching, catalog, ingest, maintenance, merge, outline, recognise, status, stored_keys,
 )
 from folioflow.operators import outline_tree as trees
 from folioflow.plans.document_run import Run, merged_sections, run_documents
 from folioflow.plans.views import Views, sample_page_function, text_time
-from folioflow.sources import storage, versions
+from folioflow.sources import sorted_pages, storage, text_index, versions
 from folioflow.streaming import runs, sinks, upload_state, uploads
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -211,6 +211,25 @@ def search_rows(v: Views) -> DataFrame:
     return shown_files(catalog.search_rows(rows, SEARCH))
 
 
+SEARCHES = (SEARCH, "1", "PR", "bro", "F.pdf", "1995-03-1", "processing...", "start ocr", "no such text")
+
+
+@query
+def search_index(v: Views) -> DataFrame:
+    """Several searches through the index, which is made of every other row and then of the rest."""
+    folder = storage.shared_folder(v.spark)
+    listed = catalog.with_action(catalog.catalog(v.clients(), v.projects(), v.files()))
+    rows = storage.written(listed, f"{folder}/rows")
+    for half in (0, 1):
+        text_index.append(rows.where(F.col("file_id") % 2 == half), f"{folder}/index")
+    found = None
+    for text in SEARCHES:
+        hits = text_index.search(rows, f"{folder}/index", text)
+        hits = hits.select(F.lit(text).alias("search"), "file_id", "project_name")
+        found = hits if found is None else found.unionByName(hits)
+    return found
+
+
 @query
 def project_listing(v: Views) -> DataFrame:
     return catalog.file_listing(v.files())
@@ -540,6 +559,21 @@ def paginate(v: Views) -> DataFrame:
     return shown_files(catalog.paginate(rows, 3, 20, "client_name", descending=True))
 
 
+@query
+def page_at(v: Views) -> DataFrame:
+    """First, middle and last page, opened by number."""
+    rows = catalog.catalog(v.clients(), v.projects(), v.files())
+    folder = storage.shared_folder(v.spark)
+    sorted_pages.create(rows, folder, "client_name", descending=True)
+    last = sorted_pages.page_total(v.spark, folder, 20)
+    found = None
+    for page in sorted({1, (last + 1) // 2, last} - {0}):
+        opened = sorted_pages.page_at(v.spark, folder, rows.schema, page, 20)
+        opened = opened.withColumn("page", F.lit(page))
+        found = opened if found is None else found.unionByName(opened)
+    return shown_files(found if found is not None else rows.limit(0).withColumn("page", F.lit(0)))
+
+
 @query
 def next_page(v: Views) -> DataFrame:
     rows = catalog.catalog(v.clients(), v.projects(), v.files())
@@ -656,6 +690,16 @@ def recognise_batches(v: Views) -> DataFrame:
     )
 
 
+@query
+def recognise_balanced(v: Views) -> DataFrame:
+    """All batches, in tasks of about equal bytes of text."""
+    dealt = balance.spread_by_cost(v.batches(), 16)
+    return recognise.recognise_batches(dealt, sample_page_function).select(
+        "doc_id", "batch_no", "start_page", "end_page", "status", "error",
+        digest(F.col("pages")).alias("pages_md5"),
+    )
+
+
 @query
 def failure_policy(v: Views) -> DataFrame:
     """Pages left in each document under each policy."""
