@@ -230,22 +230,17 @@ def page_total(rows: DataFrame, size: int) -> DataFrame:
 STATUSES = (rules.NOT_PROCESSED, rules.PROCESSING, rules.PROCESSED, rules.FAILED)
 
 
-def project_summary(clients: DataFrame, projects: DataFrame, files: DataFrame) -> DataFrame:
-    """File counts by client and project name, in total and by status.
+# Columns that count the files in each state.
+STATUS_COUNTS = {
+    "n_not_processed": rules.NOT_PROCESSED,
+    "n_processing": rules.PROCESSING,
+    "n_processed": rules.PROCESSED,
+    "n_failed": rules.FAILED,
+}
 
-    Projects with the same names count together; projects without files count zero. Files
-    are counted per project id before any join, so only one row per project travels on.
-    """
-    named = {
-        "n_not_processed": rules.NOT_PROCESSED,
-        "n_processing": rules.PROCESSING,
-        "n_processed": rules.PROCESSED,
-        "n_failed": rules.FAILED,
-    }
-    counts = files.groupBy("project_id").agg(
-        F.count(F.lit(1)).alias("n_files"),
-        *[F.count_if(F.col("status") == s).alias(n) for n, s in named.items()],
-    )
+
+def named_summary(clients: DataFrame, projects: DataFrame, counts: DataFrame) -> DataFrame:
+    """Counts by project_id summed by client and project name; projects without any count zero."""
     owners = project_client(projects, clients).select(
         F.col("id").alias("project_id"), F.col("name").alias("project_name"), "client_name"
     )
@@ -253,8 +248,21 @@ def project_summary(clients: DataFrame, projects: DataFrame, files: DataFrame) -
     return (
         owners.join(counts, "project_id", "left")
         .groupBy("client_name", "project_name")
-        .agg(*[F.coalesce(F.sum(n), zero).alias(n) for n in ["n_files", *named]])
+        .agg(*[F.coalesce(F.sum(n), zero).alias(n) for n in ["n_files", *STATUS_COUNTS]])
+    )
+
+
+def project_summary(clients: DataFrame, projects: DataFrame, files: DataFrame) -> DataFrame:
+    """File counts by client and project name, in total and by status.
+
+    Projects with the same names count together; projects without files count zero. Files
+    are counted per project id before any join, so only one row per project travels on.
+    """
+    counts = files.groupBy("project_id").agg(
+        F.count(F.lit(1)).alias("n_files"),
+        *[F.count_if(F.col("status") == s).alias(n) for n, s in STATUS_COUNTS.items()],
     )
+    return named_summary(clients, projects, counts)
 
 
 def distinct_names(projects: DataFrame, clients: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -535,6 +535,14 @@ _QUERIES = {
     ),
     "stream_assemble": _SEGMENTS.format(size=16, where=_COMPLETE),
     "stream_status": _STATUS,
+    "stream_project_summary": """
+        SELECT c.name AS client_name, p.name AS project_name, count(l.file_id) AS n_files,
+               count(*) FILTER (status = 'Not processed') AS n_not_processed,
+               count(*) FILTER (status = 'Processing') AS n_processing,
+               count(*) FILTER (status = 'Processed') AS n_processed,
+               count(*) FILTER (status = 'Failed') AS n_failed
+        FROM projects p JOIN clients c ON p.client_id = c.id LEFT JOIN latest l ON l.file_id % 28 = p.id
+        GROUP BY ALL""",
     "stream_gather": """
         SELECT doc_id, '2024-01-01 0' || again || ':00:00.000000' AS started_at,
                count(*) AS n_batches, count(*) FILTER (bad) AS n_failed

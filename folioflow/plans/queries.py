@@ -19,7 +19,7 @@ from folioflow.operators import outline_tree as trees
 from folioflow.plans.document_run import Run, merged_sections, run_documents
 from folioflow.plans.views import Views, sample_page_function, text_time
 from folioflow.sources import sorted_pages, storage, text_index, versions
-from folioflow.streaming import runs, sinks, upload_state, uploads
+from folioflow.streaming import runs, sinks, summary, upload_state, uploads
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -874,6 +874,20 @@ def stream_status(v: Views) -> DataFrame:
     return now.withColumns({c: text_time(F.col(c)) for c in ("updated_at", "completed_at")})
 
 
+def project_events(v: Views) -> DataFrame:
+    return v.status_events().withColumn("project_id", F.col("file_id") % 28)
+
+
+@query
+def stream_project_summary(v: Views) -> DataFrame:
+    """The summary after four micro-batches of status changes."""
+    with sinks.rocksdb_state(v.spark):
+        folder = _driven(v, [(project_events(v), "ts")], lambda events, folder: summary.start_changes(
+            events, f"{folder}/changes", f"{folder}/changes_log", True))
+    changes = storage.read_table(v.spark, f"{folder}/changes")
+    return summary.live_summary(v.clients(), v.projects(), changes)
+
+
 def expected_batches(v: Views) -> DataFrame:
     counts = batching.source_page_counts(v.documents()).where(F.col("n_pages") > 0)
     return counts.select(
