@@ -2,9 +2,14 @@
 
 from pathlib import Path
 
+import pyarrow as pa
+import pyarrow.compute as pc
+import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
+from folioflow.operators import batching, recognise
+from folioflow.plans.document_run import merged_sections
 from folioflow.plans.queries import QUERIES
 from folioflow.sources import storage
 
@@ -32,3 +37,37 @@ def test_written_documents_with_repeated_and_null_keys(spark, tmp_path):
     found = {p.name: sorted(p.read_text().splitlines()) for p in (tmp_path / "out").rglob("*.txt")}
     assert found == {
         "doc_id=7.txt": ["a", "b"], "doc_id=8.txt": [""], "doc_id=__HIVE_DEFAULT_PARTITION__.txt": ["c"]}
+
+
+def bytes_of_call(pages):
+    return pa.array([str(pc.sum(pc.binary_length(pages)).as_py())] * len(pages))
+
+
+@pytest.mark.parametrize("kind", ["documents", "pages", "options"])
+def test_a_call_takes_a_bounded_part_of_an_arrow_batch(spark, kind):
+    """Of 3,000 rows that come in one Arrow batch of 12 MB, and one row of 2 MB."""
+    text = F.concat_ws("\n", *[F.repeat(F.lit("x"), 400)] * 10)
+    documents = spark.range(0, 3000, 1, 1).select(
+        F.col("id").alias("doc_id"),
+        F.when(F.col("id") == 5, F.repeat(F.lit("y"), 2 << 20)).otherwise(text).alias("text"),
+        F.when(F.col("id") % 7 > 0, "Basic").otherwise("fast").alias("option"),
+    )
+    if kind == "pages":
+        documents = batching.pages_long(documents)
+    merged = merged_sections(documents, bytes_of_call, vectorised=True, option="option" if kind == "options" else None)
+    calls = merged.select("doc_id", "n_pages", "n_failed", F.col("pages")[0].alias("size")).collect()
+    assert len(calls) == 3000 and sum(r.n_pages for r in calls) == 29_991
+    sizes = [int(r.size) for r in calls if not r.n_failed]
+    assert (2 << 20) <= max(sizes) < (3 << 20) + 4000
+    assert sorted(sizes)[len(sizes) // 2] <= (1 << 20) + 4000
+    assert sum(r.n_failed for r in calls) == (429 if kind == "options" else 0)
+
+
+def test_blocks_of_rows_without_pages_and_of_slices():
+    kind = pa.list_(pa.list_(pa.string()))
+    assert list(recognise.blocks(pa.array([[], []], kind))) == [slice(0, 2)]
+    assert list(recognise.blocks(pa.array([], kind))) == [slice(0, 0)]
+    big = "z" * recognise.BLOCK_BYTES
+    found = pa.array([[["a"]], [], [["b", None], [big]], [["c"]], []], kind)
+    assert list(recognise.blocks(found)) == [slice(0, 3), slice(3, 5)]
+    assert list(recognise.blocks(found.slice(2, 2))) == [slice(0, 1), slice(1, 2)]
