@@ -189,22 +189,27 @@ _MET = (
 )
 
 
-def _meet(keyed: DataFrame, lists: DataFrame, settings: Settings, keep) -> DataFrame:
-    """Documents meet their anchors: settled ones (done), those that wait for the sorting, with
-    their bytes, and the contexts to sort."""
-
-    def squeeze(batches):
-        import pyarrow as pa
-        import zstandard
-
-        compress = zstandard.ZstdCompressor(level=1).compress
-        for batch in batches:
-            packed = [compress(t.as_py().encode()) for t in batch.column(3)]
+def squeezed(batches):
+    """doc_id, row, tag and compressed text, in small parts: a task holds one Arrow batch of
+    texts, but not all that becomes of it."""
+    import pyarrow as pa
+    import zstandard
+
+    compress = zstandard.ZstdCompressor(level=1).compress
+    for batch in batches:
+        for at in range(0, batch.num_rows, 64):
+            part = batch.slice(at, 64)
+            packed = [compress(t.as_py().encode()) for t in part.column(3)]
             yield pa.record_batch(
-                [*batch.columns[:3], pa.array(packed, type=pa.binary())],
+                [*part.columns[:3], pa.array(packed, type=pa.binary())],
                 names=["doc_id", "row", "tag", "packed"],
             )
 
+
+def _meet(keyed: DataFrame, lists: DataFrame, settings: Settings, keep) -> DataFrame:
+    """Documents meet their anchors: settled ones (done), those that wait for the sorting, with
+    their bytes, and the contexts to sort."""
+
     def meet(batches):
         import pyarrow as pa
         import zstandard
@@ -243,7 +248,7 @@ def _meet(keyed: DataFrame, lists: DataFrame, settings: Settings, keep) -> DataF
                     names=names,
                 )
 
-    packed = keyed.mapInArrow(squeeze, "doc_id long, row long, tag int, packed binary")
+    packed = keyed.mapInArrow(squeezed, "doc_id long, row long, tag int, packed binary")
     met = packed.join(lists, ["row", "tag"], "left").select(
         "doc_id", "row", "tag", "packed", "whole", "open"
     )

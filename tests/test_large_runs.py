@@ -8,6 +8,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
+from folioflow.llm import substrings
 from folioflow.operators import batching, recognise
 from folioflow.plans.document_run import merged_sections
 from folioflow.plans.queries import QUERIES
@@ -71,3 +72,16 @@ def test_blocks_of_rows_without_pages_and_of_slices():
     found = pa.array([[["a"]], [], [["b", None], [big]], [["c"]], []], kind)
     assert list(recognise.blocks(found)) == [slice(0, 3), slice(3, 5)]
     assert list(recognise.blocks(found.slice(2, 2))) == [slice(0, 1), slice(1, 2)]
+
+
+def test_texts_are_compressed_in_small_parts():
+    import zstandard
+
+    texts = [f"text {i} é" for i in range(1000)]
+    numbers = pa.array(range(1000), pa.int64())
+    whole = pa.record_batch([numbers, numbers, numbers.cast(pa.int32()), pa.array(texts)],
+                            names=["doc_id", "row", "tag", "text"])
+    parts = list(substrings.squeezed([whole, whole.slice(0, 0)]))
+    assert max(p.num_rows for p in parts) <= 64
+    back = [(x["doc_id"], zstandard.decompress(x["packed"]).decode()) for p in parts for x in p.to_pylist()]
+    assert back == list(enumerate(texts))
