@@ -17,13 +17,13 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folioflow.llm.encoding import Encoder
+from folioflow.llm.encoding import Encoder, blocks, values
 from folioflow.llm.tables import whole_text
 
 FILE_SCHEMA = "part int, start_in_part long, doc_id long, n_tokens int, ids array<int>"
 
 
-def encoded(docs: DataFrame, tokenizer: str, end_id: int, word_level: bool, slice_rows: int = 256):
+def encoded(docs: DataFrame, tokenizer: str, end_id: int, word_level: bool):
     """Rows of FILE_SCHEMA in the order of each partition's rows (doc_id, text)."""
 
     def encode(batches):
@@ -33,26 +33,23 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int, word_level: bool, slic
 
         encoder = Encoder(tokenizer, word_level)
         part, total = TaskContext.get().partitionId(), 0
-        end = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, slice_rows):
-                rows = batch.slice(at, slice_rows)
-                raw = [x + end for x in encoder.encode(rows.column(1).to_pylist())]
-                sizes = np.array([len(x) // 4 for x in raw], dtype=np.int64)
-                stops = np.cumsum(sizes)
-                ids = np.frombuffer(b"".join(raw), dtype="<u4").astype(np.int32)
-                offsets = np.concatenate(([0], stops)).astype(np.int32)
+            for rows in blocks(batch, 1):
+                ids, bounds = values(encoder.encode_column(rows.column(1)))
+                ids = np.insert(ids, bounds[1:], end_id).astype(np.int32)
+                offsets = bounds + np.arange(len(bounds))
+                sizes = np.diff(offsets)
                 yield pa.record_batch(
                     [
-                        pa.array(np.full(len(raw), part, dtype=np.int32)),
-                        pa.array(total + stops - sizes),
+                        pa.array(np.full(len(sizes), part, dtype=np.int32)),
+                        pa.array(total + offsets[:-1]),
                         rows.column(0),
                         pa.array(sizes.astype(np.int32)),
-                        pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids)),
+                        pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids)),
                     ],
                     names=["part", "start_in_part", "doc_id", "n_tokens", "ids"],
                 )
-                total += int(stops[-1])
+                total += len(ids)
 
     return docs.mapInArrow(encode, FILE_SCHEMA)
 
