@@ -85,3 +85,46 @@ def test_texts_are_compressed_in_small_parts():
     assert max(p.num_rows for p in parts) <= 64
     back = [(x["doc_id"], zstandard.decompress(x["packed"]).decode()) for p in parts for x in p.to_pylist()]
     assert back == list(enumerate(texts))
+
+
+def test_a_large_tree_is_listed_and_read_by_tasks(spark, tmp_path, monkeypatch):
+    """The driver's plan names no file, and the rows are those of Spark's reader."""
+    root = tmp_path / "in"
+    for folder in ("", "deep", "deep/er", "sp ace%20é", "_hidden", "_a=1", ".hidden", "empty"):
+        (root / folder).mkdir(parents=True, exist_ok=True)
+        for name in ("a.pdf", "b.PDF", "ü#?%41.pdf", "x{1}.pdf", "_u.pdf", "_u=1.pdf", ".d.pdf", "c.txt", "e.pdf._COPYING_"):
+            if folder != "empty":
+                (root / folder / name).write_bytes(f"{folder} {name}".encode())
+    (root / "none.pdf").write_bytes(b"")
+    (root / "broken.pdf").symlink_to(root / "gone")
+    (root / "big.pdf").write_bytes(b"x" * (5 << 20))
+    (root / "linked").symlink_to(root / "deep")
+    for pattern in (storage.DOCUMENT_GLOB, "*.{pdf,txt}", "[!b]*"):
+        for content in (True, False):
+            monkeypatch.setattr(storage, "DRIVER_FILES", 1000)
+            small = storage.scan_documents(spark, f"file://{root}", pattern, content)
+            monkeypatch.setattr(storage, "DRIVER_FILES", 10)
+            large = storage.scan_documents(spark, f"file://{root}", pattern, content)
+            assert large.dtypes == small.dtypes and rows(large) == rows(small), (pattern, content)
+            assert "binaryFile" not in large._jdf.queryExecution().toString()
+    assert storage.scan_documents(spark, str(root)).count() == 36
+
+
+def test_a_large_tree_checks_the_sums_of_hadoop(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(storage, "DRIVER_FILES", 1)
+    spark.createDataFrame([("a" * 1300,)], "value string").coalesce(1).write.text(str(tmp_path / "in"))
+    assert list((tmp_path / "in").glob(".part-*.crc"))
+    scan = storage.scan_documents(spark, str(tmp_path / "in"), "*.txt")
+    assert [bytes(r.content) for r in scan.collect()] == [b"a" * 1300 + b"\n"]
+    next((tmp_path / "in").glob("part-*")).write_text("b" * 1301)
+    with pytest.raises(Exception, match="checksum error"):
+        scan.collect()
+
+
+def test_all_documents_of_many_files_come_back(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(storage, "DRIVER_FILES", 20)
+    documents = spark.range(90).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 > 0, F.concat(F.lit("é\n"), "id")).alias("text"))
+    documents.write.parquet(str(tmp_path / "documents.parquet"))
+    found = QUERIES["scan_documents"](spark, str(tmp_path))
+    assert rows(found) == rows(documents.select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5")))
+    assert "binaryFile" not in found._jdf.queryExecution().toString()
