@@ -146,3 +146,54 @@ def test_index_of_short_and_missing_cells(spark, tmp_path):
     for text in ("ab", "abc", "abcd", ""):
         found = text_index.search(table, f"{tmp_path}/i", text, columns=["file_name"])
         assert rows(found) == rows(catalog.search_rows(table, text, ["file_name"]))
+
+
+def brute_postings(texts):
+    found = {}
+    for at, text in enumerate(texts):
+        for gram in {text[i : i + 3] for i in range(len(text) - 2)}:
+            found.setdefault(gram, []).append(at)
+    return found
+
+
+@pytest.mark.parametrize("letters", ["ab", "abc 0123456é", "\U0001f600文档a", "".join(map(chr, range(0x4E00, 0x6E00)))])
+def test_postings_hold_the_places_of_their_trigram(letters):
+    rng = random.Random(5)
+    for sizes in ([0], [1, 2], [3], [0, 1, 2, 3, 5, 30]):
+        for n in (1, 2, 9, 2000):
+            texts = ["".join(rng.choices(letters, k=rng.choice(sizes))) for _ in range(n)]
+            found = {g: (size, text_index.hits_of([(size, p)], n).nonzero()[0].tolist(), len(p))
+                     for g, size, p in text_index.postings_of(texts)}
+            assert {g: places for g, (_, places, _) in found.items()} == brute_postings(texts)
+            assert all(size == len(places) and held <= -(-n // 8) or held == 2 * size for size, places, held in found.values())
+
+
+def test_an_index_holds_a_posting_for_a_chunk_and_trigram(spark, tmp_path, monkeypatch):
+    """Not one for each row and trigram, which for 54 million rows are billions."""
+    texts = [f"some words in all rows {i % 7}" for i in range(4000)]
+    table = spark.createDataFrame(list(enumerate(texts)), "file_id long, file_name string").coalesce(1)
+    for rows_of_chunk, chunks in ((1 << 16, 1), (1500, 3)):
+        monkeypatch.setattr(text_index, "CHUNK_ROWS", rows_of_chunk)
+        root = f"{tmp_path}/{chunks}"
+        text_index.append(table, root, columns=["file_name"])
+        postings = spark.read.parquet(f"{root}/postings")
+        assert postings.count() == chunks * len(brute_postings(texts))
+        assert postings.agg(F.sum("n_rows")).first()[0] == sum(map(len, brute_postings(texts).values()))
+        assert postings.agg(F.max(F.length("places"))).first()[0] <= 500
+        for text in ("rows 3", "words", "s 7", "zzz"):
+            found = text_index.search(table, root, text, columns=["file_name"])
+            assert rows(found) == rows(catalog.search_rows(table, text, ["file_name"])), text
+
+
+@pytest.mark.parametrize("limit", ["CHUNK_ROWS", "CHUNK_CHARACTERS"])
+def test_chunks_across_arrow_batches_and_text_keys(spark, tmp_path, monkeypatch, limit):
+    monkeypatch.setattr(text_index, limit, 37)
+    table = listing(spark).withColumn("file_id", F.concat(F.lit("k"), "file_id"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        text_index.append(table, f"{tmp_path}/i", columns=["client_name", "file_name"])
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for text in ("asia file 1", "file 49", "äsia", "499"):
+        found = text_index.search(table, f"{tmp_path}/i", text, columns=["client_name", "file_name"])
+        assert rows(found) == rows(catalog.search_rows(table, text, ["client_name", "file_name"])), text
